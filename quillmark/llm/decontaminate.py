@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import pieces, ship, text_bytes
-from .kernels import U, expand, lower, prefix_sums, span_hashes, window_hashes, word_spans
+from .kernels import U, expand, fold, prefix_sums, span_hashes, window_hashes, word_spans
 
 #: Words are runs of ASCII letters, digits and bytes over 127, so that case, blanks and marks don't hide a passage.
 _APART = np.ones(256, bool)
@@ -39,10 +39,7 @@ class Settings:
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, first word of each document and the end). Case is folded for A-Z and the letters of Latin-1."""
-    data = lower(data)
-    if len(data) > 1:
-        up = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        data[1:][up] += 0x20
+    data = fold(data)
     starts, ends, first = word_spans(data, offsets, _APART)
     return span_hashes(prefix_sums(data), starts, ends), first
 

@@ -33,9 +33,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def lower(data: np.ndarray) -> np.ndarray:
-    """A-Z alone, in UTF-8 bytes."""
-    return _LOWER[data]
+def fold(data: np.ndarray) -> np.ndarray:
+    """A-Z and the capital letters of Latin-1, in UTF-8 bytes."""
+    data = _LOWER[data]
+    if len(data) > 1:
+        up = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        data[1:][up] += 0x20
+    return data
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

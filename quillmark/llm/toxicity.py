@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import pieces, ship, text_bytes
-from .kernels import U, lower, prefix_sums, span_hashes, word_spans
+from .kernels import U, fold, prefix_sums, span_hashes, word_spans
 
 #: Terms are runs of ASCII letters and digits and of all bytes over 127.
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
+#: Lengths in bytes of the beginnings of words that are terms too.
+STEMS = (4, 5, 6, 7, 8)
 
 
 @dataclass(frozen=True)
@@ -30,11 +32,11 @@ class Settings:
 
     bits: int = 20
     sample: int = 24_000
-    terms: int = 1024
-    least_z: float = 4.0
+    terms: int = 2048
+    least_z: float = 3.0
     rank: int = 4
     epochs: int = 60
-    rate: float = 0.1
+    rate: float = 0.2
     decay: float = 1e-4
     threshold: float = 0.7
     seed: int = 7
@@ -58,11 +60,17 @@ class Machine:
 
 
 def hashed_terms(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash value) of each term occurrence."""
-    data = lower(data)
+    """(document, hash value) of each term occurrence: words, and the first bytes of longer ones, which endings don't change."""
+    data = fold(data)
     starts, ends, first = word_spans(data, offsets, _APART)
-    h = span_hashes(prefix_sums(data), starts, ends) >> U(64 - bits)
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(first)), h.astype(np.int64)
+    sums = prefix_sums(data)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    docs, hashes = [doc], [span_hashes(sums, starts, ends)]
+    for n in STEMS:
+        at = np.flatnonzero(ends - starts > n)
+        docs.append(doc[at])
+        hashes.append(span_hashes(sums, starts[at], starts[at] + n))
+    return np.concatenate(docs), (np.concatenate(hashes) >> U(64 - bits)).astype(np.int64)
 
 
 def distinct_pairs(doc: np.ndarray, term: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
