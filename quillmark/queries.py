@@ -1,14 +1,30 @@
-"""Queries over the driver's tables, one or more for each operator, and their SQL."""
+"""Queries over the driver's tables, one or more for each operator, and their SQL.
+
+Stand-ins: a lineitem is an observation (section p_type, topic p_brand, year of shipping, difficulty by return flag, confidence from its discount); orders by
+priority and year are series; a user's events are a paper; documents are question texts.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .functions import fixed, normalize as nz, text as tx
+from .operators import allocate as al
+from .operators import evaluate as ev
+from .operators import extract as ex
+from .operators import features as ft
+from .operators import frequency as fq
+from .operators import mining as mn
+from .operators import rank as rk
+from .operators import sequence as sq
+from .operators import similarity as sm
+from .operators import trend as tr
+from .plans import models as pm
+from .plans import study as st
+from .sources import readers as rd
+from .sources import writers as wr
+from .streaming import live
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,18 +42,288 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""
-WITH obs AS (SELECT p_type AS section, p_brand AS topic, year(l_shipdate) AS yr FROM lineitem JOIN part ON l_partkey = p_partkey),
-c AS (SELECT section, topic, yr, count(*) AS cnt FROM obs GROUP BY ALL),
-s AS (SELECT section, topic, yr, cnt * 100.0 / sum(cnt) OVER (PARTITION BY yr) AS pct FROM c)
-SELECT section, topic, count(*) AS n_years, round(regr_slope(pct, yr), 8) AS slope, round(avg(pct), 8) AS mean_share FROM s GROUP BY section, topic HAVING count(*) >= 3
-ORDER BY slope DESC, section, topic LIMIT 10
-""")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """obs_id, section, topic, year, difficulty, confidence."""
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    level = F.when(F.col("l_returnflag") == "A", "easy").when(F.col("l_returnflag") == "N", "medium").otherwise("hard")
+    return j.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("obs_id"), F.col("p_type").alias("section"), F.col("p_brand").alias("topic"), F.year("l_shipdate").alias("year"), level.alias("difficulty"), (F.lit(1.0) - F.col("l_discount")).alias("confidence"))
+
+
+OBS = """WITH obs AS (SELECT l_orderkey * 10 + l_linenumber AS obs_id, p_type AS section, p_brand AS topic, year(l_shipdate) AS year,
+ CASE l_returnflag WHEN 'A' THEN 'easy' WHEN 'N' THEN 'medium' ELSE 'hard' END AS difficulty, 1.0 - l_discount AS confidence FROM lineitem JOIN part ON l_partkey = p_partkey) """
+
+
+def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topic (priority), year, cnt of orders over 300,000: a short, uneven series."""
+    o = table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > 300000)
+    return fq.counts(o.select(F.col("o_orderpriority").alias("topic"), F.year("o_orderdate").alias("year")), "topic", "year")
+
+
+SERIES = "WITH series AS (SELECT o_orderpriority AS topic, year(o_orderdate) AS year, count(*) AS cnt FROM orders WHERE o_totalprice > 300000 GROUP BY ALL) "
+
+
+def customer_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topic (nation), year, cnt: 25 series."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return fq.counts(o.filter(F.col("o_totalprice") > 350000).select(F.col("c_nationkey").alias("topic"), F.year("o_orderdate").alias("year")), "topic", "year")
+
+
+NATION = "WITH series AS (SELECT c_nationkey AS topic, year(o_orderdate) AS year, count(*) AS cnt FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 350000 GROUP BY ALL) "
+GRID = ", grid AS (SELECT t.topic, y.year, coalesce(s.cnt, 0) AS cnt FROM (SELECT DISTINCT topic FROM series) t CROSS JOIN (SELECT DISTINCT year FROM series) y LEFT JOIN series s ON s.topic = t.topic AND s.year = y.year) "
+
+
+def paper_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, qnum (by time), section (event type), confidence (k / 100), page."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("qnum"), F.col("event_type").alias("section"), (k / 100.0).alias("confidence"), F.col("event_id"))
+
+
+PAPER = "WITH paper AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS qnum, event_type AS section, CAST(json_extract_string(props, '$.k') AS INT) / 100.0 AS confidence, event_id FROM events) "
+
+
+def r(df: DataFrame, *columns: str, n: int = 6) -> DataFrame:
+    for c in columns:
+        df = df.withColumn(c, F.round(c, n))
+    return df
+
+
+# --- counts and shares ---
+@query(OBS + """, c AS (SELECT section, topic, year, count(*) AS cnt FROM obs GROUP BY ALL),
+s AS (SELECT section, topic, year, cnt * 100.0 / sum(cnt) OVER (PARTITION BY year) AS share FROM c)
+SELECT section, topic, count(*) AS n, round(regr_slope(share, year), 8) AS slope, round(avg(share), 8) AS mean_share FROM s GROUP BY section, topic HAVING count(*) >= 3 ORDER BY slope DESC, section, topic LIMIT 10""")
 def topic_trend_linreg(spark, sf_dir):
-    obs = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("section"), F.col("p_brand").alias("topic"), F.year("l_shipdate").alias("yr"))
-    from pyspark.sql import Window
+    s = fq.share(fq.counts(observations(spark, sf_dir), "section", "topic", "year"), "cnt", ["year"])
+    g = s.groupBy("section", "topic").agg(F.count("*").alias("n"), F.round(F.regr_slope("share", "year"), 8).alias("slope"), F.round(F.avg("share"), 8).alias("mean_share")).filter("n >= 3")
+    return rk.latest(g, [F.desc("slope"), F.col("section"), F.col("topic")], 10)
+
+
+@query(OBS + "SELECT year, topic, count(*) AS cnt FROM obs GROUP BY ALL")
+def count_by_year_topic(spark, sf_dir):
+    return fq.counts(observations(spark, sf_dir), "year", "topic")
+
+
+@query(OBS + "SELECT section, topic, count(*) AS cnt FROM obs GROUP BY ALL")
+def count_by_section_topic(spark, sf_dir):
+    return fq.counts(observations(spark, sf_dir), "section", "topic")
+
+
+@query(OBS + "SELECT year, section, topic, count(*) AS cnt FROM obs GROUP BY ALL")
+def prediction_format(spark, sf_dir):
+    return fq.counts(observations(spark, sf_dir), "year", "section", "topic")
+
+
+@query(OBS + ", l AS (SELECT topic, arg_max(section, obs_id) AS section FROM obs GROUP BY topic) SELECT o.topic, o.year, l.section, count(*) AS cnt FROM obs o JOIN l USING (topic) GROUP BY ALL")
+def topic_years_last_section(spark, sf_dir):
+    return fq.topic_years(observations(spark, sf_dir), "topic", "year", "section", "obs_id")
+
+
+@query(OBS + "SELECT year, count(*) AS cnt, round(avg(CASE difficulty WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END), 6) AS avg_level FROM obs WHERE topic = 'Brand#11' GROUP BY year")
+def topic_history_avg_level(spark, sf_dir):
+    return r(fq.level_history(observations(spark, sf_dir).filter("topic = 'Brand#11'"), "year", F.col("difficulty")), "avg_level")
+
+
+@query(OBS + "SELECT topic, section, count(*) AS cnt, round(avg(confidence), 6) AS avg_confidence FROM obs GROUP BY ALL")
+def topic_list_confidence(spark, sf_dir):
+    return r(fq.topic_list(observations(spark, sf_dir), "topic", "section", "confidence"), "avg_confidence")
+
+
+@query(OBS + """SELECT CASE grouping_id(difficulty, section) WHEN 3 THEN 'all' WHEN 1 THEN 'difficulty' ELSE 'section' END AS part, CASE grouping_id(difficulty, section) WHEN 1 THEN difficulty WHEN 2 THEN section END AS value,
+count(*) AS cnt, count(DISTINCT topic) AS n_topics, count(DISTINCT year) AS n_years FROM obs GROUP BY GROUPING SETS ((), (difficulty), (section))""")
+def bank_statistics_grouping_sets(spark, sf_dir):
+    return fq.bank_statistics(observations(spark, sf_dir), "topic", "year", "difficulty", "section")
+
+
+@query(OBS + "SELECT d.difficulty, coalesce(c.cnt, 0) AS cnt FROM (VALUES ('easy'), ('medium'), ('hard'), ('unknown')) d(difficulty) LEFT JOIN (SELECT difficulty, count(*) AS cnt FROM obs GROUP BY 1) c USING (difficulty)")
+def difficulty_zero_filled(spark, sf_dir):
+    return fq.filled_counts(observations(spark, sf_dir), "difficulty", ["easy", "medium", "hard", "unknown"])
+
+
+@query(OBS + """, p AS (SELECT section, topic, count(*) AS cnt, count(*) FILTER (difficulty = 'easy') AS n_easy, count(*) FILTER (difficulty = 'medium') AS n_medium, count(*) FILTER (difficulty = 'hard') AS n_hard FROM obs GROUP BY ALL),
+f AS (SELECT section, topic, obs_id, row_number() OVER (PARTITION BY section, topic ORDER BY obs_id) AS rn FROM obs), s AS (SELECT section, topic, string_agg(CAST(obs_id AS VARCHAR), '|' ORDER BY rn) AS samples FROM f WHERE rn <= 3 GROUP BY ALL)
+SELECT * FROM p JOIN s USING (section, topic)""")
+def difficulty_pivot_first3_samples(spark, sf_dir):
+    return fq.simple_format(observations(spark, sf_dir), ["section", "topic"], "difficulty", ["easy", "medium", "hard"], "obs_id", F.col("obs_id").cast("string"))
+
+
+@query(OBS + ", c AS (SELECT difficulty, count(*) AS cnt FROM obs GROUP BY 1) SELECT difficulty, cnt, round(cnt * 100.0 / sum(cnt) OVER (), 1) AS pct FROM c")
+def percent_distribution(spark, sf_dir):
+    return fq.percentages(observations(spark, sf_dir), "difficulty")
+
+
+@query(OBS + ", c AS (SELECT difficulty, count(*) AS cnt, avg(confidence) AS a FROM obs GROUP BY 1) SELECT difficulty, coalesce(cnt, 0) AS cnt, round(coalesce(a, 0), 6) AS avg_confidence, round(coalesce(cnt, 0) * 100.0 / sum(cnt) OVER (), 6) AS pct FROM (VALUES ('easy'), ('medium'), ('hard'), ('none')) d(difficulty) LEFT JOIN c USING (difficulty)")
+def difficulty_statistics(spark, sf_dir):
+    return r(fq.level_statistics(observations(spark, sf_dir), "difficulty", "confidence", ["easy", "medium", "hard", "none"]), "avg_confidence", "pct")
+
+
+@query(OBS + ", c AS (SELECT year, topic, count(*) AS cnt FROM obs GROUP BY ALL), s AS (SELECT topic, cnt * 100.0 / sum(cnt) OVER (PARTITION BY year) AS share FROM c) SELECT topic, round(avg(share), 8) AS mean_share FROM s GROUP BY topic ORDER BY mean_share DESC, topic LIMIT 10")
+def share_per_100_top10(spark, sf_dir):
+    s = fq.share(fq.counts(observations(spark, sf_dir), "year", "topic"), "cnt", ["year"])
+    return r(fq.mean_share_top(s, "topic", "share"), "mean_share", n=8)
+
+
+@query(OBS + "SELECT year, count(*) AS cnt, greatest(1, CAST(round_even(count(*) / 100, 0) AS INT)) AS shifts, round(count(*) / greatest(1, CAST(round_even(count(*) / 100, 0) AS INT)), 2) AS per_shift FROM obs GROUP BY year")
+def est_shifts(spark, sf_dir):
+    return fq.estimated_shifts(observations(spark, sf_dir), "year")
+
+
+@query(OBS + "SELECT min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS n_years FROM obs")
+def year_range(spark, sf_dir):
+    return fq.year_range(observations(spark, sf_dir), "year")
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY md5(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))")
+def md5_dedupe(spark, sf_dir):
+    return fq.distinct_questions(table(spark, sf_dir, "documents").select("doc_id", "text"), tx.text_key(F.col("text")), "doc_id").select("doc_id", "n_copies")
+
+
+@query("SELECT doc_id FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 = 0 AND b.text = d.text)")
+def new_questions_anti(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fq.new_questions(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), lambda x: F.md5(x["text"])).select("doc_id")
+
+
+# --- series ---
+@query(SERIES + """, o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY year DESC) AS b, count(*) OVER (PARTITION BY topic) AS n FROM series),
+g AS (SELECT topic, sum(cnt) AS total, avg(cnt) AS a, max(year) AS last_year, avg(cnt) FILTER (b <= 2) AS r, avg(cnt) FILTER (b > 2) AS o, max(n) AS n, count(*) AS streak FROM o GROUP BY topic),
+h AS (SELECT *, CASE WHEN n >= 3 AND o > 0 THEN (r - o) / o ELSE 0.0 END AS t FROM g)
+SELECT topic, CAST(total AS BIGINT) AS total, round(a, 6) AS avg, last_year, round(t, 6) AS trend_ratio, CASE WHEN t > 0.15 THEN 'rising' WHEN t < -0.15 THEN 'declining' ELSE 'stable' END AS trend, CAST(streak AS INT) AS streak FROM h""")
+def series_stats(spark, sf_dir):
+    return r(ft.series_stats(order_series(spark, sf_dir), ["topic"]), "avg", "trend_ratio")
+
+
+@query(NATION + GRID + "SELECT * FROM grid")
+def dense_series(spark, sf_dir):
+    return fq.dense(customer_series(spark, sf_dir), ["topic"])
+
+
+@query(NATION + """, o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY year) - 1 AS x, row_number() OVER (PARTITION BY topic ORDER BY year DESC) AS b FROM series WHERE year >= 1992),
+g AS (SELECT topic, avg(cnt) AS a, avg(cnt) FILTER (b <= 2) AS r, regr_slope(cnt, x) AS s, count(*) AS n, max(year) AS ly, stddev_pop(cnt) AS sd, max(cnt) AS hi, min(cnt) AS lo, list(cnt ORDER BY year) FILTER (b <= 5) AS v FROM o GROUP BY topic)
+SELECT topic, round(a, 6) AS avg, round(r, 6) AS recent, round(CASE WHEN n >= 3 THEN s ELSE 0 END, 6) AS trend, 2002 - ly AS since_last, CAST(n AS INT) AS streak, round(sd, 6) AS std, hi, lo, coalesce(v[1], 0) AS last1, coalesce(v[2], 0) AS last2, coalesce(v[3], 0) AS last3, coalesce(v[4], 0) AS last4, coalesce(v[5], 0) AS last5 FROM g""")
+def features13_sparse(spark, sf_dir):
+    return r(ft.features13(customer_series(spark, sf_dir), ["topic"], 2002, slope=True), "avg", "recent", "trend", "std")
+
+
+@query(NATION + """, sh AS (SELECT topic, year, cnt * 100.0 / sum(cnt) OVER (PARTITION BY year) AS share FROM series), o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY year DESC) AS b, year - row_number() OVER (PARTITION BY topic ORDER BY year) AS i FROM sh),
+ru AS (SELECT topic, arg_max(n, e) AS run FROM (SELECT topic, i, count(*) AS n, max(year) AS e FROM o GROUP BY ALL) GROUP BY topic),
+g AS (SELECT topic, avg(share) AS a, avg(share) FILTER (b <= 2) AS r, regr_slope(share, year) AS s, regr_slope(share, year) FILTER (b <= 3) AS l, count(*) AS n, max(year) AS ly, stddev_pop(share) AS sd, max(share) AS hi, min(share) AS lo, list(share ORDER BY year) FILTER (b <= 4) AS v FROM o GROUP BY topic),
+h AS (SELECT *, CASE WHEN n >= 2 THEN coalesce(s, 0) ELSE 0 END AS os FROM g), k AS (SELECT *, CASE WHEN n >= 3 THEN coalesce(l, 0) ELSE os END AS ls FROM h)
+SELECT topic, round(a, 6) AS avg, round(r, 6) AS recent, round(os, 6) AS slope, 2002 - ly AS since_last, run, round(sd, 6) AS std, round(hi, 6) AS hi, round(lo, 6) AS lo, round(ls, 6) AS late_slope, round(ls - os, 6) AS acceleration, n AS n_years, round(coalesce(v[1], 0), 6) AS last1, round(coalesce(v[2], 0), 6) AS last2, round(coalesce(v[3], 0), 6) AS last3, round(coalesce(v[4], 0), 6) AS last4 FROM k JOIN ru USING (topic)""")
+def features15_norm(spark, sf_dir):
+    s = fq.share(customer_series(spark, sf_dir), "cnt", ["year"])
+    return r(ft.features15(s, ["topic"], 2002), "avg", "recent", "slope", "std", "hi", "lo", "late_slope", "acceleration", "last1", "last2", "last3", "last4")
+
+
+@query(NATION + GRID + """, o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY year) - 1 AS x, row_number() OVER (PARTITION BY topic ORDER BY year DESC) AS b FROM grid)
+SELECT topic, round(avg(cnt), 6) AS avg, round(avg(cnt) FILTER (b <= 2), 6) AS recent, round(regr_slope(cnt, x), 6) AS slope, round(stddev_pop(cnt), 6) AS std, max(cnt) AS hi, min(cnt) AS lo, count(*) FILTER (cnt > 0) AS n_present, round((arg_max(cnt, year) - arg_min(cnt, year)) / greatest(arg_min(cnt, year), 1), 6) AS growth FROM o GROUP BY topic""")
+def features8_dense(spark, sf_dir):
+    return r(ft.features8(fq.dense(customer_series(spark, sf_dir), ["topic"]), ["topic"]), "avg", "recent", "slope", "std", "growth")
+
+
+@query(NATION + GRID + """, o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY year) - 1 AS x, row_number() OVER (PARTITION BY topic ORDER BY year DESC) AS b, count(*) OVER (PARTITION BY topic) AS n FROM grid)
+SELECT topic, round(regr_slope(cnt, x), 6) AS slope, round(avg(cnt) FILTER (b <= 3), 6) AS ma3, round(sum(cnt * CASE WHEN x = 0 THEN pow(0.7, n - 1) ELSE 0.3 * pow(0.7, n - 1 - x) END), 6) AS ema, round(abs(avg(cnt) FILTER (x % 2 = 0) - avg(cnt) FILTER (x % 2 = 1)), 6) AS alternation, arg_max(cnt, year) AS last, count(*) AS n FROM o GROUP BY topic""")
+def temporal_features(spark, sf_dir):
+    return r(ft.temporal_features(fq.dense(customer_series(spark, sf_dir), ["topic"]), ["topic"]), "slope", "ma3", "ema", "alternation")
+
+
+@query(SERIES + "SELECT topic, year, cnt, round(avg(cnt) OVER (PARTITION BY topic ORDER BY year ROWS 2 PRECEDING), 6) AS ma3 FROM series")
+def moving_avg3(spark, sf_dir):
+    return r(ft.moving_mean(order_series(spark, sf_dir), ["topic"]), "ma3")
+
+
+@query(NATION + ", o AS (SELECT topic, year, year - row_number() OVER (PARTITION BY topic ORDER BY year) AS i FROM series), g AS (SELECT topic, i, count(*) AS n, max(year) AS e FROM o GROUP BY ALL) SELECT topic, arg_max(n, e) AS run FROM g GROUP BY topic")
+def consecutive_year_run(spark, sf_dir):
+    return ft.calendar_run(customer_series(spark, sf_dir), ["topic"])
+
+
+# --- trends and forecasts ---
+PVALUE = """, m AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY year) - 1 AS x FROM {src}), g AS (SELECT topic, count(*) AS n, regr_slope(cnt, x) AS slope, regr_sxx(cnt, x) AS sxx, regr_syy(cnt, x) AS syy, regr_sxy(cnt, x) AS sxy FROM m GROUP BY topic HAVING count(*) = 7),
+a AS (SELECT *, atan(abs(slope) / sqrt(greatest(syy - sxy * sxy / sxx, 0) / 5 / sxx) / sqrt(5)) AS th FROM g), p AS (SELECT topic, n, slope, greatest(0, 1 - 2 / pi() * (th + sin(th) * (cos(th) + 2.0 / 3 * pow(cos(th), 3)))) AS p FROM a) """
+
+
+@query(NATION + GRID + PVALUE.format(src="grid") + "SELECT topic, n, round(slope, 6) AS slope, round(p, 6) AS p, CASE WHEN p < 0.05 AND slope > 0.1 THEN 'rising' WHEN p < 0.05 AND slope < -0.1 THEN 'declining' ELSE 'stable' END AS trend FROM p")
+def slope_pvalue(spark, sf_dir):
+    return r(tr.trend_test(fq.dense(customer_series(spark, sf_dir), ["topic"]), ["topic"]), "slope", "p")
+
+
+@query(NATION + "SELECT topic, count(*) AS n, round(regr_slope(cnt, year), 6) AS slope, round(regr_intercept(cnt, year), 4) AS intercept, round(CASE WHEN var_pop(cnt) = 0 THEN 0 ELSE regr_r2(cnt, year) END, 6) AS r2 FROM series GROUP BY topic HAVING count(*) >= 3")
+def linear_trend_calendar(spark, sf_dir):
+    return r(r(tr.linear_trend(customer_series(spark, sf_dir), ["topic"], x="year"), "slope", "r2"), "intercept", n=4)
+
+
+@query(NATION + GRID + """, m AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY year) - 1 AS x FROM grid), g AS (SELECT topic, count(*) AS n, avg(cnt) AS mean, count(*) FILTER (x % 2 = 0) AS n0, count(*) FILTER (x % 2 = 1) AS n1, avg(cnt) FILTER (x % 2 = 0) AS m0, avg(cnt) FILTER (x % 2 = 1) AS m1, var_samp(cnt) FILTER (x % 2 = 0) AS v0, var_samp(cnt) FILTER (x % 2 = 1) AS v1 FROM m GROUP BY topic),
+t AS (SELECT *, v0 * (n0 - 1) + v1 * (n1 - 1) AS ss FROM g), a AS (SELECT *, CASE WHEN ss > 0 THEN atan(abs(m0 - m1) / sqrt(ss / 5 * (1.0 / n0 + 1.0 / n1)) / sqrt(5)) END AS th FROM t), p AS (SELECT *, CASE WHEN ss = 0 THEN CASE WHEN m0 <> m1 THEN 0.0 END ELSE greatest(0, 1 - 2 / pi() * (th + sin(th) * (cos(th) + 2.0 / 3 * pow(cos(th), 3)))) END AS p FROM a)
+SELECT topic, n, round(p, 6) AS p, round(abs(m0 - m1) / (mean + 0.01), 6) AS strength, coalesce(p < 0.05, false) AS alternates FROM p""")
+def alternation_ttest(spark, sf_dir):
+    return r(tr.alternation(fq.dense(customer_series(spark, sf_dir), ["topic"]), ["topic"]), "p", "strength")
+
+
+@query(NATION + GRID + """, m AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY year) - 1 AS x FROM grid), sp AS (SELECT a.topic, a.x AS k, a.year AS y, count(*) FILTER (b.x < a.x) AS n1, count(*) FILTER (b.x >= a.x) AS n2, avg(b.cnt) FILTER (b.x < a.x) AS m1, avg(b.cnt) FILTER (b.x >= a.x) AS m2, var_samp(b.cnt) FILTER (b.x < a.x) AS v1, var_samp(b.cnt) FILTER (b.x >= a.x) AS v2, avg(b.cnt) AS mean FROM m a JOIN m b ON a.topic = b.topic GROUP BY ALL),
+t AS (SELECT *, v1 * (n1 - 1) + v2 * (n2 - 1) AS ss FROM sp WHERE n1 + n2 >= 6 AND k >= 2 AND k <= n1 + n2 - 3), a AS (SELECT *, CASE WHEN ss > 1e-9 THEN atan(abs(m1 - m2) / sqrt(ss / 5 * (1.0 / n1 + 1.0 / n2)) / sqrt(5)) END AS th FROM t),
+p AS (SELECT *, CASE WHEN th IS NULL THEN CASE WHEN m1 <> m2 THEN 0.0 END ELSE 1 - 2 / pi() * (th + sin(th) * (cos(th) + 2.0 / 3 * pow(cos(th), 3))) END AS p, round(abs(m2 - m1) / (mean + 0.01), 9) AS change FROM a),
+b AS (SELECT topic, max(change) FILTER (p < 0.05) AS c, arg_max(y, (change, -k)) FILTER (p < 0.05) AS y FROM p GROUP BY topic)
+SELECT topic, coalesce(c > 0.3, false) AS detected, CASE WHEN c > 0.3 THEN y END AS break_year, round(coalesce(c, 0), 6) AS magnitude FROM b""")
+def structural_break(spark, sf_dir):
+    return r(tr.structural_break(fq.dense(customer_series(spark, sf_dir), ["topic"]), ["topic"]), "magnitude")
+
+
+@query(NATION + GRID + """, m AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY year) - 1 AS x, row_number() OVER (PARTITION BY topic ORDER BY year DESC) AS b FROM grid),
+g AS (SELECT topic, count(*) AS n, avg(cnt) AS mean, stddev_pop(cnt) AS sd, avg(cnt) FILTER (b <= 3) AS m3, stddev_pop(cnt) FILTER (b <= 3) AS s3, regr_slope(cnt, x) AS sl, regr_intercept(cnt, x) AS ic, regr_sxx(cnt, x) AS sxx, regr_syy(cnt, x) AS syy, regr_sxy(cnt, x) AS sxy FROM m GROUP BY topic),
+e AS (SELECT topic, sum(cnt * CASE WHEN x = 0 THEN pow(0.7, nn - 1) ELSE 0.3 * pow(0.7, nn - 1 - x) END) AS ema FROM (SELECT *, count(*) OVER (PARTITION BY topic) AS nn FROM m) GROUP BY topic),
+h AS (SELECT *, ic + sl * n AS line, sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx) * sqrt(n) AS sp FROM g JOIN e USING (topic))
+SELECT topic, round(mean, 6) AS f_mean, round(greatest(mean - 1.96 * sd, 0), 6) AS mean_low, round(mean + 1.96 * sd, 6) AS mean_high, round(m3, 6) AS f_ma3, round(ema, 6) AS f_ema, round(greatest(ema - 1.96 * s3, 0), 6) AS ema_low, round(ema + 1.96 * s3, 6) AS ema_high, round(line, 6) AS f_line, round(greatest(line - 1.96 * sp, 0), 6) AS line_low, round(line + 1.96 * sp, 6) AS line_high FROM h""")
+def forecast_methods(spark, sf_dir):
+    out = tr.forecasts(fq.dense(customer_series(spark, sf_dir), ["topic"]), ["topic"])
+    return r(out, *out.columns[1:])
+
+
+@query()
+def trend_report(spark, sf_dir):
+    return tr.trend_report(fq.dense(customer_series(spark, sf_dir), ["topic"]), ["topic"])
+
+
+HOT = NATION + GRID + PVALUE.format(src="grid") + ", h AS (SELECT topic, slope, CASE WHEN p < 0.9 AND slope > 0.1 THEN 'rising' WHEN p < 0.9 AND slope < -0.1 THEN 'declining' ELSE 'stable' END AS trend FROM p), w AS (SELECT topic, avg(cnt) AS predicted FROM grid GROUP BY topic) "
+
+
+@query(HOT + "SELECT topic, round(slope, 6) AS slope, round(predicted, 6) AS predicted, round(predicted * (1 + abs(slope)), 6) AS heat FROM h JOIN w USING (topic) WHERE trend = 'rising' ORDER BY predicted * (1 + abs(slope)) DESC, topic LIMIT 10")
+def hot_topics(spark, sf_dir):
+    d = fq.dense(customer_series(spark, sf_dir), ["topic"])
+    rep = tr.trend_test(d, ["topic"], alpha=0.9).join(d.groupBy("topic").agg(F.avg("cnt").alias("predicted")), "topic")
+    return r(tr.hot_topics(rep, ["topic"], "predicted"), "slope", "predicted", "heat").select("topic", "slope", "predicted", "heat")
+
+
+@query(HOT + "SELECT topic, round(slope, 6) AS slope, trend FROM h WHERE trend = 'declining' ORDER BY abs(slope) DESC, topic LIMIT 5")
+def cold_topics(spark, sf_dir):
+    d = fq.dense(customer_series(spark, sf_dir), ["topic"])
+    return r(tr.cold_topics(tr.trend_test(d, ["topic"], alpha=0.9), ["topic"]), "slope").select("topic", "slope", "trend")
+
+
+@query(NATION + """, g AS (SELECT topic, avg(cnt) FILTER (year >= 1999) AS r, avg(cnt) FILTER (year BETWEEN 1995 AND 1998) AS o, max(year) AS last_seen, count(DISTINCT year) AS n_years, string_agg(year || ':' || cnt, ',' ORDER BY year) AS history FROM series GROUP BY topic),
+p AS (SELECT *, CASE WHEN o > 0 THEN (coalesce(r, 0) - o) / o * 100 WHEN r > 0 THEN 100.0 ELSE 0.0 END AS pct FROM g)
+SELECT topic, round(pct, 6) AS pct_change, CASE WHEN pct > 30 THEN 'rising' WHEN pct < -30 THEN 'declining' ELSE 'stable' END AS trend, n_years, last_seen, history FROM p""")
+def recent_vs_old_pct(spark, sf_dir):
+    return r(tr.recent_against_old(customer_series(spark, sf_dir), ["topic"], 1999, (1995, 1998)), "pct_change")
+
+
+@query(NATION + GRID + ", o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY year) AS a, row_number() OVER (PARTITION BY topic ORDER BY year DESC) AS b FROM grid), g AS (SELECT topic, avg(cnt) FILTER (a <= 2) AS f, avg(cnt) FILTER (b <= 2) AS l FROM o GROUP BY topic) SELECT topic, round(f, 6) AS first2, round(l, 6) AS last2, round(CASE WHEN f > 0 THEN least((l - f) / f * 100, 500) WHEN l > 0 THEN 100 ELSE 0 END, 6) AS growth FROM g")
+def growth_first_last(spark, sf_dir):
+    return r(tr.growth_ends(fq.dense(customer_series(spark, sf_dir), ["topic"]), ["topic"]), "first2", "last2", "growth")
+
+
+@query(NATION + ", o AS (SELECT *, pow(0.5, row_number() OVER (PARTITION BY topic ORDER BY year DESC) - 1) AS w, lag(cnt) OVER (PARTITION BY topic ORDER BY year) AS p FROM series), g AS (SELECT topic, sum(cnt * w) / sum(w) AS h, avg(cnt) AS s, arg_max(cnt - coalesce(p, cnt), year) AS d FROM o GROUP BY topic) SELECT topic, round(h, 6) AS weighted, round(s, 6) AS simple, round(h * CASE WHEN d > 0 THEN 1.1 WHEN d < 0 THEN 0.9 ELSE 1 END, 6) AS adjusted FROM g")
+def halflife_weighted(spark, sf_dir):
+    return r(tr.half_life_mean(customer_series(spark, sf_dir), ["topic"]), "weighted", "simple", "adjusted")
+
+
+@query(NATION + ", o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY year DESC) AS b FROM series), w AS (SELECT *, pow(row_number() OVER (PARTITION BY topic ORDER BY year), 2) AS w FROM o WHERE b <= 5) SELECT topic, round(sum(cnt * w) / sum(w), 6) AS base, round(sum(cnt * w) / sum(w) * 1.1 * 1.05, 6) AS predicted FROM w GROUP BY topic")
+def quadratic_weighted(spark, sf_dir):
+    return r(tr.quadratic_mean(customer_series(spark, sf_dir), ["topic"], F.lit(1.1), F.lit(0.05)), "base", "predicted")
+
 
-    c = obs.groupBy("section", "topic", "yr").agg(F.count("*").alias("cnt"))
-    s = c.withColumn("pct", F.col("cnt") * 100.0 / F.sum("cnt").over(Window.partitionBy("yr")))
-    out = s.groupBy("section", "topic").agg(F.count("*").alias("n_years"), F.round(F.regr_slope("pct", "yr"), 8).alias("slope"), F.round(F.avg("pct"), 8).alias("mean_share")).filter("n_years >= 3")
-    return out.orderBy(F.desc("slope"), "section", "topic").limit(10)
+@query(SERIES + ", g AS (SELECT topic, max(year) AS last_year FROM series WHERE cnt > 3 GROUP BY topic) SELECT topic, last_year FROM g WHERE 2002 - last_year >= 1")
+def dormant_topics(spark, sf_dir):
+    return tr.dormant(order_series(spark, sf_dir).filter("cnt > 3").groupBy("topic").agg(F.max("year").alias("last_year")), 2002, 1)
