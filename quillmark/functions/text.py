@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate value once for all its uses in body: long score expressions would otherwise be repeated in the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def any_of(flags: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, flags)
 
@@ -158,14 +163,21 @@ def first_largest(scores: dict[str, Column]) -> Column:
 
 def question_type(text: Column) -> tuple[Column, Column]:
     """(type, confidence): patterns count two, keywords one; unknown without any."""
-    low = F.lower(text)
-    scores = {k: reduce(lambda a, b: a + b, [2 * low.rlike(p).cast("int") for p in ps]) + n_holding(low, fixed.TYPE_KEYWORDS[k]) for k, ps in fixed.TYPE_PATTERNS.items()}
-    total, best = reduce(lambda a, b: a + b, scores.values()), F.greatest(*scores.values())
-    return F.when(best > 0, first_largest(scores)).otherwise("unknown"), F.when(best > 0, best / total).otherwise(0.0)
+    def judged(low):
+        scores = {k: reduce(lambda a, b: a + b, [2 * low.rlike(p).cast("int") for p in ps]) + n_holding(low, fixed.TYPE_KEYWORDS[k]) for k, ps in fixed.TYPE_PATTERNS.items()}
+        return bind(F.struct(*(v.alias(k) for k, v in scores.items())), _type_of)
 
+    got = bind(F.lower(text), judged)
+    return got["kind"], got["confidence"]
 
-def section_scores(text: Column) -> dict[str, Column]:
-    low = F.lower(text)
+
+def _type_of(row: Column) -> Column:
+    s = {k: row[k] for k in fixed.TYPE_PATTERNS}
+    best, total = F.greatest(*s.values()), reduce(lambda a, b: a + b, s.values())
+    return F.struct(F.when(best > 0, first_largest(s)).otherwise("unknown").alias("kind"), F.when(best > 0, best / total).otherwise(0.0).alias("confidence"))
+
+
+def section_scores(text: Column, low: Column) -> dict[str, Column]:
     s = {k: F.when(holds_any(low, a), w).otherwise(0) + F.when(holds_any(low, b), v).otherwise(0) for (k, (a, b)), (w, v) in zip(fixed.SECTION_WORDS.items(), fixed.SECTION_WEIGHTS.values())}
     digits = F.regexp_count(text, F.lit("[0-9]"))
     s["numerical_ability"] += F.when(text.rlike(r"\d+\s*[+\-×÷*/=<>%]\s*\d+"), 4).otherwise(0) + F.when(text.rlike(r"\d+\s*:\s*\d+"), 3).otherwise(0) + F.when(digits > 8, 2).when(digits > 4, 1).otherwise(0)
@@ -177,24 +189,29 @@ def section_scores(text: Column) -> dict[str, Column]:
 
 def section_of(text: Column) -> Column:
     """A guard for verbal questions, then the first largest of four scores; under two, by the shape of the question."""
-    low = F.lower(text)
-    s = section_scores(text)
-    plain = F.when(low.rlike(fixed.ASKING), "general_awareness").when(text.rlike("[0-9]") & (F.length(text) < 200), "numerical_ability").otherwise("general_awareness")
-    return F.when(low.rlike(fixed.VERBAL_GUARD) | text.rlike(fixed.BLANKS), "verbal_ability").when(F.greatest(*s.values()) < 2, plain).otherwise(first_largest(s))
-
-
-def news_class(text: Column) -> dict[str, Column]:
-    """category, relevance, probability. Words count as substrings."""
-    low = F.lower(text)
-    s = {k: n_holding(low, w) for k, w in fixed.NEWS_WORDS.items()}
-    best, at = F.greatest(*s.values()), first_largest(s)
-    names = F.coalesce(*(F.when(at == k, F.lit(v)) for k, v in fixed.NEWS_NAMES.items()))
-    relevance = F.least(best / 5, F.lit(1.0))
-    return {
-        "category": F.when(best > 0, names).otherwise("General"),
-        "relevance": F.when(best > 0, relevance).otherwise(0.1),
-        "probability": F.when(best > 0, relevance * F.when(at.isin(*fixed.NEWS_FULL_WEIGHT), 1.0).otherwise(0.7)).otherwise(0.1),
-    }
+    def judged(low):
+        plain = F.when(low.rlike(fixed.ASKING), "general_awareness").when(text.rlike("[0-9]") & (F.length(text) < 200), "numerical_ability").otherwise("general_awareness")
+        row = F.struct(*(v.alias(k) for k, v in section_scores(text, low).items()))
+        scored = bind(row, lambda s: F.when(F.greatest(*(s[k] for k in fixed.SECTION_WORDS)) >= 2, first_largest({k: s[k] for k in fixed.SECTION_WORDS})))
+        return F.when(low.rlike(fixed.VERBAL_GUARD) | text.rlike(fixed.BLANKS), "verbal_ability").otherwise(F.coalesce(scored, plain))
+
+    return bind(F.lower(text), judged)
+
+
+def news_class(text: Column) -> Column:
+    """struct<category, relevance, probability>. Words count as substrings."""
+    def judged(row):
+        s = {k: row[k] for k in fixed.NEWS_WORDS}
+        best = F.greatest(*s.values())
+        relevance = F.least(best / 5, F.lit(1.0))
+        named = lambda at: F.struct(
+            F.when(best > 0, F.coalesce(*(F.when(at == k, F.lit(v)) for k, v in fixed.NEWS_NAMES.items()))).otherwise("General").alias("category"),
+            F.when(best > 0, relevance).otherwise(0.1).alias("relevance"),
+            F.when(best > 0, relevance * F.when(at.isin(*fixed.NEWS_FULL_WEIGHT), 1.0).otherwise(0.7)).otherwise(0.1).alias("probability"),
+        )
+        return bind(first_largest(s), named)
+
+    return bind(F.lower(text), lambda low: bind(F.struct(*(n_holding(low, w).alias(k) for k, w in fixed.NEWS_WORDS.items())), judged))
 
 
 def key_facts(text: Column) -> Column:
