@@ -17,7 +17,7 @@ def t_pvalue(t: Column, df: Column) -> Column:
     zero = F.struct(start.alias("term"), F.when(df > 1, start).otherwise(0.0).alias("sum"))
     total = F.aggregate(steps, zero, lambda a, k: F.struct((a["term"] * c * c * (k - 1) / k).alias("term"), (a["sum"] + a["term"] * c * c * (k - 1) / k).alias("sum")), lambda a: a["sum"])
     inside = F.when(df % 2 == 0, s * total).otherwise(2 / F.pi() * (angle + s * total))
-    return F.greatest(F.lit(0.0), 1 - inside)
+    return F.when(inside.isNotNull(), F.greatest(F.lit(0.0), 1 - inside))
 
 
 def pooled_t_pvalue(n1: Column, m1: Column, v1: Column, n2: Column, m2: Column, v2: Column) -> Column:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def roi(questions: Column, trend: Column, p: Column, difficulty: Column) -> Column:
-    """[A41, F28] Expected marks for the time: q x trend x (3 p - (1 - p)) / max(t, .1)."""
+def roi(questions: Column, trend: Column, p: Column, time: Column) -> Column:
+    """[A41, F28] Expected marks for the time: q x trend x (3 p - (1 - p)) / max(time, .1)."""
     factor = F.when(trend == "rising", 1.2).when(trend == "declining", 0.8).otherwise(1.0)
-    return questions * factor * (3 * p - (1 - p)) / F.greatest(difficulty, F.lit(0.1))
+    return questions * factor * (3 * p - (1 - p)) / F.greatest(time, F.lit(0.1))
 
 
 def to_quota(rows: DataFrame, value: str, section: str, quota: str, out: str = "scaled", rounds: bool = False) -> DataFrame:

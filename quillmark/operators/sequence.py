@@ -130,9 +130,9 @@ def without_overlap(rows: DataFrame, group: list[str], start: str, end: str) ->
     return g.select(*group, F.explode(F.aggregate("p", zero, step, lambda a: a["kept"])).alias("z")).select(*group, F.col("z.s").alias(start), F.col("z.e").alias(end))
 
 
-def renumber(rows: DataFrame, group: list[str], order: list[str], number: str) -> DataFrame:
-    """[W18, E3] Rows without a number take the missing ones, in order; those left over stay null."""
-    free = missing_numbers(rows.filter(F.col(number).isNotNull()), group, number, F.count("*") + F.max(number) - F.count(number))
+def renumber(rows: DataFrame, group: list[str], order: list[str], number: str, upto: Column | None = None) -> DataFrame:
+    """[W18, E3] Rows without a number take the missing ones of 1..upto (by default the largest number), in order; those left over stay null."""
+    free = missing_numbers(rows.filter(F.col(number).isNotNull()), group, number, upto)
     free = free.withColumn("__k", F.row_number().over(Window.partitionBy(*group).orderBy(number))).withColumnRenamed(number, "__free")
     bare = rows.filter(F.col(number).isNull()).withColumn("__k", F.row_number().over(in_order(group, order))).join(free, [*group, "__k"], "left").withColumn(number, F.col("__free")).drop("__k", "__free")
     return rows.filter(F.col(number).isNotNull()).unionByName(bare)

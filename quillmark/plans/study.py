@@ -20,22 +20,26 @@ def cycle_plan(topics: DataFrame, section: str, topic: str, value: str, sections
     return plan.withColumn("phase", (F.floor((F.col("day") - 1) * 4 / days) + 1).cast("int")).drop("round")
 
 
-def roi_plan(series: DataFrame, difficulty: Column, hours: float = 200.0, n: int = 15) -> DataFrame:
-    """[X10, A41, A69, O11, J2] series (pos, topic, section, year, cnt): half-life mean to one decimal, confidence, ROI, the n best, hours by rounded ROI.
-
-    Ties keep the order of pos."""
-    from ..operators.allocate import hours_by_share, roi
+def roi_plan(series: DataFrame, hours: float = 200.0, n: int = 15) -> DataFrame:
+    """[X10, A38, A41, A69, O11, J2] series (pos, topic, section, year, cnt): half-life means adjusted by the trend, ROI from plain means, the n best, hours in
+    proportion to rounded ROI among all topics that have any. Ties keep the order of pos."""
+    from ..operators.allocate import roi
     from ..operators.features import but_last, last_n, mean_of, values_in_order
 
     weight = F.pow(F.lit(0.5), F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("year"))) - 1)
-    g = series.withColumn("__w", weight).groupBy("pos", "topic", "section").agg((F.sum(F.col("cnt") * F.col("__w")) / F.sum("__w")).alias("x"), F.count("*").alias("n"), values_in_order().alias("v"))
+    g = series.withColumn("__w", weight).groupBy("pos", "topic", "section").agg((F.sum(F.col("cnt") * F.col("__w")) / F.sum("__w")).alias("x"), F.count("*").alias("n"), F.avg("cnt").alias("avg"), values_in_order().alias("v"))
     recent, rest = mean_of(last_n(F.col("v"), 2)), mean_of(but_last(F.col("v"), 2))
-    ratio = F.when(rest > 0, (recent - rest) / rest).otherwise(0.0)
-    g = g.withColumn("trend", F.when(ratio > 0.15, "rising").when(ratio < -0.15, "declining").otherwise("stable"))
-    g = g.withColumn("confidence", F.least(0.5 + 0.1 * F.col("n"), F.lit(0.9))).withColumn("predicted", F.round("x", 1)).withColumn("difficulty", difficulty)
-    g = g.withColumn("roi", F.round(roi(F.lit(1.0), F.col("trend"), F.col("confidence"), F.col("difficulty")) * F.col("x"), 2))
-    best = g.orderBy(F.desc("roi"), "pos").limit(n)
-    return hours_by_share(best, "roi", [], hours).select("pos", "topic", "section", "predicted", "confidence", "trend", "roi", "difficulty", "hours")
+    g = g.withColumn("c", F.when((F.col("n") >= 3) & (rest > 0), (recent - rest) / rest).otherwise(0.0))
+    g = g.withColumn("trend", F.when(F.col("c") > 0.15, "rising").when(F.col("c") < -0.15, "declining").otherwise("stable"))
+    hard = F.when(F.col("section") == "numerical_ability", 0.6).when(F.col("section") == "general_awareness", 0.4).otherwise(0.5)
+    g = g.select(
+        "pos", "topic", "section", F.round(F.greatest(F.col("x") * (1 + F.col("c")), F.lit(0.0)), 1).alias("predicted"),
+        F.round(F.least(0.6 + 0.05 * F.col("n") + 0.1 * (1 - F.least(F.abs("c"), F.lit(0.5))), F.lit(0.9)), 2).alias("confidence"), "trend",
+        F.round(roi(F.col("avg"), F.col("trend"), 1 - hard, F.lit(1.0)), 2).alias("roi"), F.when(hard > 0.55, "high").when(hard < 0.45, "low").otherwise("medium").alias("difficulty"),
+    )
+    total = F.sum(F.greatest("roi", F.lit(0.0))).over(Window.partitionBy())
+    g = g.withColumn("hours", F.round(F.when(F.col("roi") > 0, hours * F.col("roi") / total).otherwise(0.0), 1))
+    return g.orderBy(F.desc("roi"), "pos").limit(n)
 
 
 def mock_test(pool: DataFrame, wants: DataFrame, topic: str, section: str, quota: Column, key: str, seed: int = 42) -> DataFrame:
