@@ -110,20 +110,19 @@ def mix_digest(docs: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each time that a document is used, a partial use cut after its share of words."""
+    """The mix itself, with the columns of docs: a row for each time that a document is used, a partial use cut after its share of words. In training order.
+
+    docs' rows travel as one struct, so that no name of theirs clashes.
+    """
     columns = docs.columns
-    sized = docs.withColumn("size", n_words(F.col("text"))) if "size" not in columns else docs.withColumn("__size", F.col("size")).withColumn("size", n_words(F.col("text")))
-    sizes = materialize(sized.select("doc_id", "source", "size"), "mix-sizes")
-    kept = mix(sized, sizes, c).filter("taken > 0")
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*columns).alias("row"))
+    kept = mix(sized, materialize(sized.select("doc_id", "source", "size"), "mix-sizes"), c).filter("taken > 0")
     uses = kept.withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    left = F.col("taken") - (F.col("use") - 1) * F.col("size")
-    head = F.regexp_extract(F.col("text"), r"\A[\x20\x09-\x0D]*", 0)
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
-    cut = F.rtrim(F.concat(head, F.array_join(F.slice(words, 1, left.cast("int")), "")))
-    uses = uses.withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(cut))
-    if "n_chars" in columns:
-        uses = uses.withColumn("n_chars", F.when(left >= F.col("size"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    if "size" in columns:
-        uses = uses.withColumn("size", F.col("__size"))
+    left, text = F.col("taken") - (F.col("use") - 1) * F.col("size"), F.col("row.text")
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
+    cut = F.rtrim(F.concat(F.regexp_extract(text, r"\A[\x20\x09-\x0D]*", 0), F.array_join(F.slice(words, 1, left.cast("int")), "")))
+    out = F.when(left >= F.col("size"), text).otherwise(cut)
+    made = {"text": out} | ({"n_chars": F.when(left >= F.col("size"), F.col("row.n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return uses.repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id").select(*columns)
+    ordered = uses.repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return ordered.select(*(made[k].alias(k) if k in made else F.col("row")[k].alias(k) for k in columns))
