@@ -68,3 +68,44 @@ def digest(rows: DataFrame, category: str, score: str, key: str, order: list[str
     """[A62] The best n of each category, categories in a fixed order, others last."""
     place = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(x) for x in order)), F.col(category)), F.lit(0)), F.lit(len(order) + 1))
     return top_per_group(rows, [category], [F.desc(score), key], 1, n).withColumn("category_place", place)
+
+
+def distinct_sorted(rows: DataFrame, *columns: str) -> DataFrame:
+    """[A15] Different values, in order."""
+    return rows.select(*columns).distinct().orderBy(*columns)
+
+
+def valid_rows(rows: DataFrame, text: str, topic: str, section: str, least: int = 10) -> DataFrame:
+    """[P7] Rows with a known topic and section, a text of `least` characters and no placeholder in it."""
+    known = lambda c: F.coalesce(F.upper(F.trim(F.col(c))), F.lit("")).isin("", "UNKNOWN")
+    return rows.filter(~known(topic) & ~known(section) & (F.length(F.trim(F.col(text))) >= least) & ~F.lower(text).contains("placeholder"))
+
+
+def with_default(rows: DataFrame, other: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """[J4] The other table's value, or the row's own; the first by value where a key repeats."""
+    o = other.groupBy(key).agg(F.min(value).alias("__v"))
+    return rows.join(o, key, "left").withColumn(out, F.coalesce("__v", value)).drop("__v")
+
+
+def boosted(rows: DataFrame, chosen: DataFrame, key: str, value: str, factor: float = 1.5) -> DataFrame:
+    """[J10] Values of chosen keys times the factor."""
+    c = chosen.select(key).distinct().withColumn("__c", F.lit(factor))
+    return rows.join(c, key, "left").withColumn(value, F.col(value) * F.coalesce("__c", F.lit(1.0))).drop("__c")
+
+
+def category_counts(rows: DataFrame, category: str, score: str, strong: float = 0.7) -> DataFrame:
+    """[A63]"""
+    return rows.groupBy(category).agg(F.count("*").alias("cnt"), F.count_if(F.col(score) >= strong).alias("n_strong"))
+
+
+def confidence(n: Column, trend: Column, how: str = "simple") -> Column:
+    """[P24] From the number of years: .6 + .05 n up to .85, .65 + .05 n up to .9, or with up to .1 for a steady trend."""
+    base = {"simple": (0.6, 0.85), "weighted": (0.65, 0.90), "trend": (0.6, 0.90)}[how]
+    steady = 0.1 * (1 - F.least(F.abs(trend), F.lit(0.5))) if how == "trend" else F.lit(0.0)
+    return F.least(base[0] + 0.05 * n + steady, F.lit(base[1]))
+
+
+def or_default_shares(shares: DataFrame, difficulty: str, share: str, defaults: dict[str, float]) -> DataFrame:
+    """[P40] Shares by difficulty; a fixed share where there are no rows."""
+    every = shares.sparkSession.createDataFrame(list(defaults.items()), f"{difficulty} string, __d double")
+    return every.join(shares, difficulty, "left").select(difficulty, F.coalesce(share, "__d").alias(share))

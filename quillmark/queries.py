@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import fixed, normalize as nz, text as tx
+from .functions import fixed, matching as mt, normalize as nz, text as tx
 from .operators import allocate as al
 from .operators import evaluate as ev
 from .operators import extract as ex
@@ -917,3 +917,55 @@ def training_format(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     q = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.col("p_type").alias("section"), F.col("p_brand").alias("topic_code"), F.lit("easy").alias("difficulty"), F.array("p_brand", "p_type").alias("options"))
     return wr.training_rows(q).select(F.col("id").alias("p_partkey"), "choices_text")
+
+
+@query("SELECT DISTINCT p_brand, p_type FROM part ORDER BY 1, 2")
+def distinct_topics(spark, sf_dir):
+    return rk.distinct_sorted(table(spark, sf_dir, "part"), "p_brand", "p_type")
+
+
+@query("SELECT p_partkey, round(coalesce(m, p_retailprice), 6) AS capped FROM part LEFT JOIN (SELECT l_partkey, min(l_extendedprice) AS m FROM lineitem WHERE l_quantity > 49 GROUP BY 1) l ON l_partkey = p_partkey")
+def default_own_value(spark, sf_dir):
+    o = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"), F.col("l_extendedprice").alias("p_retailprice"))
+    return r(rk.with_default(table(spark, sf_dir, "part"), o, "p_partkey", "p_retailprice", "capped"), "capped").select("p_partkey", "capped")
+
+
+@query("SELECT c_custkey, round(c_acctbal * CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) THEN 1.5 ELSE 1.0 END, 6) AS c_acctbal FROM customer")
+def rising_boost(spark, sf_dir):
+    chosen = table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    return r(rk.boosted(table(spark, sf_dir, "customer"), chosen, "c_custkey", "c_acctbal"), "c_acctbal").select("c_custkey", "c_acctbal")
+
+
+@query("SELECT doc_id FROM documents WHERE trim(coalesce(lang, '')) <> '' AND upper(trim(lang)) <> 'UNKNOWN' AND trim(coalesce(source, '')) <> '' AND upper(trim(source)) <> 'UNKNOWN' AND length(trim(text)) >= 400 AND NOT contains(lower(text), 'placeholder')")
+def valid_questions(spark, sf_dir):
+    return rk.valid_rows(table(spark, sf_dir, "documents"), "text", "lang", "source", 400).select("doc_id")
+
+
+@query(PRED + "SELECT topic, round(least(0.6 + 0.05 * want, 0.85), 6) AS simple, round(least(0.65 + 0.05 * want, 0.9), 6) AS weighted, round(least(0.6 + 0.05 * want + 0.1 * (1 - least(abs(v / 100), 0.5)), 0.9), 6) AS trend FROM g")
+def confidence_formulas(spark, sf_dir):
+    p = predictions(spark, sf_dir)
+    return p.select("topic", *(F.round(rk.confidence(F.col("want"), F.col("v") / 100, k), 6).alias(k) for k in ("simple", "weighted", "trend")))
+
+
+@query("WITH s AS (SELECT CASE l_returnflag WHEN 'A' THEN 'easy' ELSE 'medium' END AS difficulty, count(*) * 1.0 / (SELECT count(*) FROM lineitem) AS share FROM lineitem GROUP BY 1) SELECT d.difficulty, round(coalesce(share, d.x), 6) AS share FROM (VALUES ('easy', 0.3), ('medium', 0.5), ('hard', 0.2)) d(difficulty, x) LEFT JOIN s USING (difficulty)")
+def default_shares(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_returnflag") == "A", "easy").otherwise("medium").alias("difficulty"))
+    s = fq.share(fq.counts(li, "difficulty"), "cnt", [], "share", 1.0)
+    return r(rk.or_default_shares(s, "difficulty", "share", {"easy": 0.3, "medium": 0.5, "hard": 0.2}), "share")
+
+
+@query("WITH c AS (SELECT event_type, count(*) AS cnt, count(*) FILTER (value >= 0.7) AS n_strong FROM events GROUP BY 1) SELECT * FROM c")
+def category_counts(spark, sf_dir):
+    return rk.category_counts(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("SELECT p_partkey, instr(p_brand, regexp_extract(p_brand, '[0-9]+')) - 1 AS start, instr(p_brand, regexp_extract(p_brand, '[0-9]+')) - 1 + length(regexp_extract(p_brand, '[0-9]+')) AS \"end\", regexp_extract(p_brand, '[0-9]+') AS match FROM part")
+def match_places(spark, sf_dir):
+    return mt.match_places(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "[0-9]+")
+
+
+@query()
+def typed_templates(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    t = F.concat(F.lit("A train goes "), F.col("p_size"), F.lit(" km in "), F.col("p_partkey"), F.lit(" hours for Rs. "), F.col("p_size") + 3)
+    return p.select("p_partkey", mt.template_of(t).alias("template"))

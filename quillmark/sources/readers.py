@@ -208,3 +208,8 @@ def sample_news(spark: SparkSession) -> DataFrame:
         ("Local fair opens", "A fair opened downtown.", "desk", "2024-06-01", "u5"),
     ]
     return spark.createDataFrame(rows, "title string, content string, source string, day string, url string").select("title", "content", "source", F.to_timestamp_ntz("day").alias("published"), "url")
+
+
+def read_bank(spark: SparkSession, path: str) -> DataFrame:
+    """[S10, X18] The question bank as it was appended, columns of later versions too."""
+    return spark.read.option("mergeSchema", True).parquet(path)

@@ -95,3 +95,10 @@ def rename_plan(files: DataFrame, mapping: DataFrame) -> DataFrame:
     return j.select(F.coalesce("file", "old").alias("name"), F.col("new").alias("new_name"), status.alias("status"))
 
 
+
+
+def write_importances(rows: DataFrame, path: str) -> None:
+    """[K12] One file each, JSON and CSV: a row a feature."""
+    one = rows.coalesce(1)
+    one.write.mode("overwrite").json(f"{path}/json")
+    one.write.mode("overwrite").option("header", True).csv(f"{path}/csv")

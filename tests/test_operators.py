@@ -289,3 +289,19 @@ def test_streaming_digest(spark, tmp_path):
     u = live.first_seen(s, "ts", F.col("k")).writeStream.format("memory").queryName("first_out").trigger(availableNow=True).start()
     u.awaitTermination(120)
     assert spark.table("first_out").count() == 1
+
+
+def test_typed_template_and_places(spark):
+    from quillmark.functions import matching as mt
+
+    # Units are looked for as they stand, so the m of "more" is one.
+    assert mt.typed_template("A train goes 60 km in 2 hours, 5 more") == "A train goes 1_distance km in 1_time hours, 2_distance more"
+    assert mt.typed_template("7 of 9") == "{num1} of {num2}"
+    d = spark.createDataFrame([(1, "é12 x3"), (2, None)], "id int, t string")
+    assert [(r.id, r.start, r.end, r.match) for r in mt.match_places(d, "id", "t", r"\d+").collect()] == [(1, 1, 3, "12"), (1, 5, 6, "3")]
+
+
+def test_command_line(capsys):
+    from quillmark.cli import main
+
+    assert main([]) == 0 and "topic_trend_linreg" in capsys.readouterr().out
