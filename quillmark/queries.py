@@ -127,9 +127,9 @@ def topic_history_avg_level(spark, sf_dir):
     return r(fq.level_history(observations(spark, sf_dir).filter("topic = 'Brand#11'"), "year", F.col("difficulty")), "avg_level")
 
 
-@query(OBS + "SELECT topic, section, count(*) AS cnt, round(avg(confidence), 6) AS avg_confidence FROM obs GROUP BY ALL")
+@query(OBS + "SELECT topic, section, count(*) AS cnt, round(avg(confidence), 10) AS avg_confidence FROM obs GROUP BY ALL")
 def topic_list_confidence(spark, sf_dir):
-    return r(fq.topic_list(observations(spark, sf_dir), "topic", "section", "confidence"), "avg_confidence")
+    return r(fq.topic_list(observations(spark, sf_dir), "topic", "section", "confidence"), "avg_confidence", n=10)
 
 
 @query(OBS + """SELECT CASE grouping_id(difficulty, section) WHEN 3 THEN 'all' WHEN 1 THEN 'difficulty' ELSE 'section' END AS part, CASE grouping_id(difficulty, section) WHEN 1 THEN difficulty WHEN 2 THEN section END AS value,
@@ -155,9 +155,9 @@ def percent_distribution(spark, sf_dir):
     return fq.percentages(observations(spark, sf_dir), "difficulty")
 
 
-@query(OBS + ", c AS (SELECT difficulty, count(*) AS cnt, avg(confidence) AS a FROM obs GROUP BY 1) SELECT difficulty, coalesce(cnt, 0) AS cnt, round(coalesce(a, 0), 6) AS avg_confidence, round(coalesce(cnt, 0) * 100.0 / sum(cnt) OVER (), 6) AS pct FROM (VALUES ('easy'), ('medium'), ('hard'), ('none')) d(difficulty) LEFT JOIN c USING (difficulty)")
+@query(OBS + ", c AS (SELECT difficulty, count(*) AS cnt, avg(confidence) AS a FROM obs GROUP BY 1) SELECT difficulty, coalesce(cnt, 0) AS cnt, round(coalesce(a, 0), 10) AS avg_confidence, round(coalesce(cnt, 0) * 100.0 / sum(cnt) OVER (), 6) AS pct FROM (VALUES ('easy'), ('medium'), ('hard'), ('none')) d(difficulty) LEFT JOIN c USING (difficulty)")
 def difficulty_statistics(spark, sf_dir):
-    return r(fq.level_statistics(observations(spark, sf_dir), "difficulty", "confidence", ["easy", "medium", "hard", "none"]), "avg_confidence", "pct")
+    return r(fq.level_statistics(observations(spark, sf_dir), "difficulty", "confidence", ["easy", "medium", "hard", "none"]), "pct").withColumn("avg_confidence", F.round("avg_confidence", 10))
 
 
 @query(OBS + ", c AS (SELECT year, topic, count(*) AS cnt FROM obs GROUP BY ALL), s AS (SELECT topic, cnt * 100.0 / sum(cnt) OVER (PARTITION BY year) AS share FROM c) SELECT topic, round(avg(share), 8) AS mean_share FROM s GROUP BY topic ORDER BY mean_share DESC, topic LIMIT 10")
