@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,11 @@ STEMS = (4, 5, 6, 7, 8)
 @dataclass(frozen=True)
 class Settings:
     """bits: of a term's hash. sample: labelled rows to train on at most, by the smallest hash of their doc_id. terms: kept after training's own
-    counts, by how surely they tell the labels apart (|z| at least `least_z`). rank: length of the pair vectors."""
+    counts, by how surely they tell the labels apart (|z| at least `least_z`). rank: length of the pair vectors.
+    weight: of a toxic example in training, against a clean one."""
 
     bits: int = 20
-    sample: int = 24_000
+    sample: int = 12_000
     terms: int = 2048
     least_z: float = 3.0
     rank: int = 4
@@ -39,6 +41,7 @@ class Settings:
     rate: float = 0.2
     decay: float = 1e-4
     threshold: float = 0.7
+    weight: float = 1.0
     seed: int = 7
 
 
@@ -81,26 +84,29 @@ def distinct_pairs(doc: np.ndarray, term: np.ndarray, n_terms: int) -> tuple[np.
 def train(docs: list[np.ndarray], labels: np.ndarray, s: Settings = Settings()) -> Machine:
     """docs: the distinct hash values of each document. One class alone, or no documents: the bias is all there is."""
     y = labels.astype(float)
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs]) if docs else np.zeros(0, np.int64)
-    term = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
     n, n1 = len(y), y.sum()
     bias = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
     place = np.zeros(1 << s.bits, np.int32)
     if n1 in (0, n):
         return Machine(s.bits, place, bias, np.zeros(0), np.zeros((0, s.rank)))
-    a, b = np.bincount(term, y[doc], 1 << s.bits), np.bincount(term, 1 - y[doc], 1 << s.bits)
+    # Documents with each term, by label; a few hundred documents at a time, so that no wide copy of all terms is made.
+    a, b = np.zeros(1 << s.bits), np.zeros(1 << s.bits)
+    for i in range(0, n, 256):
+        for side, on in ((a, y[i : i + 256] > 0), (b, y[i : i + 256] <= 0)):
+            some = [d for d, k in zip(docs[i : i + 256], on) if k]
+            if some:
+                ids, times = np.unique(np.concatenate(some), return_counts=True)
+                side[ids] += times
     z = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n - n1 - b + 0.5))
     z /= np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n - n1 - b + 0.5))
     kept = np.argsort(-np.abs(z), kind="stable")[: s.terms]
     kept = kept[np.abs(z[kept]) >= min(s.least_z, np.sqrt(n1) / 2)]
     place[kept] = np.arange(1, len(kept) + 1)
-    at = place[term] > 0
-    doc, term = doc[at], place[term[at]] - 1
+    rows = [x[x > 0] - 1 for x in (place[d] for d in docs)]
+    doc, term = np.repeat(np.arange(n), [len(x) for x in rows]), np.concatenate(rows)
     rng = np.random.default_rng(s.seed)
     w, v = np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), s.rank))
     gw, gv, gb = np.full(len(kept), 1e-8), np.full(v.shape, 1e-8), 1e-8
-    order = np.argsort(doc, kind="stable")
-    doc, term = doc[order], term[order]
     size = 256
     starts = np.searchsorted(doc, np.arange(0, n + size, size))
     for _ in range(s.epochs):
@@ -114,7 +120,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, s: Settings = Settings())
             sums = np.stack([np.bincount(d, x[:, k], m) for k in range(s.rank)], 1)
             squares = np.stack([np.bincount(d, x[:, k] ** 2, m) for k in range(s.rank)], 1)
             out = bias + np.bincount(d, w[t], m) + 0.5 * (sums**2 - squares).sum(1)
-            g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - part) / m
+            g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - part) * np.where(part > 0, s.weight, 1.0) / m
             uses = np.bincount(t, minlength=len(w)) > 0
             dw = np.bincount(t, g[d], len(w)) + s.decay * w * uses
             dv = np.stack([np.bincount(t, g[d] * (sums[d, k] - x[:, k]), len(w)) for k in range(s.rank)], 1) + s.decay * v * uses[:, None]
@@ -158,10 +164,12 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Machine
     rows = training_rows(docs.withColumn("doc_id", F.col("doc_id").cast("long")), labels, s).mapInArrow(run, "doc_id long, label int, terms array<int>").toArrow()
     if not rows.num_rows:
         return train([], np.zeros(0), s)
-    rows = rows.sort_by("doc_id").combine_chunks()  # the same order, whatever the partitions
-    flat = rows["terms"].combine_chunks()
+    ids, labels_, flat = (rows[c].combine_chunks() for c in ("doc_id", "label", "terms"))
+    del rows
     offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-    return train([values[a:b] for a, b in zip(offsets, offsets[1:])], rows["label"].to_numpy(), s)
+    # The same order, whatever the partitions: by doc_id, then by terms where an id repeats.
+    order = sorted(range(len(ids)), key=lambda i, k=ids.to_numpy(): (k[i], offsets[i + 1] - offsets[i], crc32(values[offsets[i] : offsets[i + 1]])))
+    return train([values[offsets[i] : offsets[i + 1]] for i in order], labels_.to_numpy()[order], s)
 
 
 def _scored(docs: DataFrame, machine: Machine, columns: list[str]) -> DataFrame:
