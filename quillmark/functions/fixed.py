@@ -11,7 +11,7 @@ DIRECTIVE_CUES = [
     r"who\s+(?:is|are|was|were)", r"where\s+(?:is|are|was|were)", r"when\s+(?:is|was|did)", r"how\s+(?:many|much|is|are)", r"identify\s+the",
     r"solve\s+(?:the|for)", r"calculate", r"simplify", r"answer\s+figure", r"read\s+the\s+passage",
 ]
-OPTION_MARK = r"\([abcd]\)|\b[abcd]\s*[.:)]"
+OPTION_MARK = r"\([abcd]\)|(?:^|[^\p{L}\p{N}_])[abcd]\s*[.:)]"
 PLACEHOLDER_MARKERS = [
     "placeholder", "question not available", "text not extracted", "ocr failed", "[verbal", "[ga", "[reasoning", "[math", "trailing placeholder", "inferred",
 ]
@@ -61,7 +61,8 @@ SECTION_WORDS = {
 SECTION_WEIGHTS = {"numerical_ability": (3, 2), "verbal_ability": (4, 2), "reasoning": (4, 2), "general_awareness": (4, 2)}
 PASSAGE = r"read the (following )?passage|based on the passage|according to the passage"
 FIGURE = r"figure|diagram|image|pattern|shape"
-ASKING = r"^(who|what|which|where|when|how many|name the)\b"
+ASKING = r"^(who|what|which|where|when|how many|name the)([^\p{L}\p{N}_]|$)"
+YEAR = r"(?:^|[^\p{L}\p{N}_])(19|20)\d{2}(?:[^\p{L}\p{N}_]|$)"
 
 # --- fixed values: formulas, numbers and difficulty ---
 FORMULAS = [r"\d+\s*[+\-×÷*/^]\s*\d+", r"[A-Za-z]\s*=\s*[^,]+", r"\d+\s*:\s*\d+", r"\d+%", r"√\d+", r"\d+°"]

@@ -183,7 +183,7 @@ def section_scores(text: Column, low: Column) -> dict[str, Column]:
     s["numerical_ability"] += F.when(text.rlike(r"\d+\s*[+\-×÷*/=<>%]\s*\d+"), 4).otherwise(0) + F.when(text.rlike(r"\d+\s*:\s*\d+"), 3).otherwise(0) + F.when(digits > 8, 2).when(digits > 4, 1).otherwise(0)
     s["verbal_ability"] += F.when(low.rlike(fixed.PASSAGE), 5).otherwise(0)
     s["reasoning"] += F.when(low.rlike(fixed.FIGURE), 2).otherwise(0)
-    s["general_awareness"] += F.when(text.rlike(r"\b(19|20)\d{2}\b"), 1).otherwise(0)
+    s["general_awareness"] += F.when(text.rlike(fixed.YEAR), 1).otherwise(0)
     return s
 
 

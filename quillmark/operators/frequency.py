@@ -30,9 +30,9 @@ def share(rows: DataFrame, value: str, over: list[str], out: str = "share", scal
     return rows.withColumn(out, F.try_divide(F.col(value) * scale, total))
 
 
-def level_history(obs: DataFrame, year: str, level: Column) -> DataFrame:
-    """[A5] Per year: rows and the mean level, 1 easy, 2 medium, 3 anything else, null too."""
-    return obs.groupBy(year).agg(F.count("*").alias("cnt"), F.avg(F.when(level == "easy", 1).when(level == "medium", 2).otherwise(3)).alias("avg_level"))
+def level_history(obs: DataFrame, by: list[str], level: Column) -> DataFrame:
+    """[A5] Per topic and year: rows and the mean level, 1 easy, 2 medium, 3 anything else, null too."""
+    return obs.groupBy(*by).agg(F.count("*").alias("cnt"), F.avg(F.when(level == "easy", 1).when(level == "medium", 2).otherwise(3)).alias("avg_level"))
 
 
 def topic_list(obs: DataFrame, topic: str, section: str, confidence: str) -> DataFrame:

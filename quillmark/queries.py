@@ -122,9 +122,9 @@ def topic_years_last_section(spark, sf_dir):
     return fq.topic_years(observations(spark, sf_dir), "topic", "year", "section", "obs_id")
 
 
-@query(OBS + "SELECT year, count(*) AS cnt, round(avg(CASE difficulty WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END), 6) AS avg_level FROM obs WHERE topic = 'Brand#11' GROUP BY year")
+@query(OBS + "SELECT topic, year, count(*) AS cnt, round(avg(CASE difficulty WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END), 10) AS avg_level FROM obs GROUP BY topic, year")
 def topic_history_avg_level(spark, sf_dir):
-    return r(fq.level_history(observations(spark, sf_dir).filter("topic = 'Brand#11'"), "year", F.col("difficulty")), "avg_level")
+    return r(fq.level_history(observations(spark, sf_dir), ["topic", "year"], F.col("difficulty")), "avg_level", n=10)
 
 
 @query(OBS + "SELECT topic, section, count(*) AS cnt, round(avg(confidence), 10) AS avg_confidence FROM obs GROUP BY ALL")
@@ -181,10 +181,9 @@ def md5_dedupe(spark, sf_dir):
     return fq.distinct_questions(table(spark, sf_dir, "documents").select("doc_id", "text"), tx.text_key(F.col("text")), "doc_id").select("doc_id", "n_copies")
 
 
-@query("SELECT doc_id FROM documents d WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 = 0 AND b.text = d.text)")
+@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.text = b.text)")
 def new_questions_anti(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fq.new_questions(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"), lambda x: F.md5(x["text"])).select("doc_id")
+    return fq.new_questions(table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "benchmark"), lambda x: F.md5(x["text"])).select("item_id")
 
 
 # --- series ---
@@ -371,9 +370,9 @@ def min_probability(spark, sf_dir):
     return rk.at_least(table(spark, sf_dir, "events"), "value", 50.0, "event_id").select("event_id", "value")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_type LIKE '%STANDARD%' THEN 'S' WHEN contains(lower(p_name), 'red') THEN 'C_RED' WHEN contains(lower(p_name), 'blue') THEN 'C_BLUE' WHEN contains(lower(p_name), 'e') THEN 'C_E' ELSE 'X_' || upper(substr(p_name, 1, 10)) END AS code FROM part WHERE p_type NOT LIKE '%STANDARD%'""")
+@query("""SELECT p_partkey, CASE WHEN contains(lower(p_name), 'red') THEN 'C_RED' WHEN contains(lower(p_name), 'blue') THEN 'C_BLUE' WHEN contains(lower(p_name), 'e') THEN 'C_E' ELSE 'X_' || upper(substr(p_name, 1, 10)) END AS code FROM part""")
 def first_substring_code(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter(~F.col("p_type").contains("STANDARD"))
+    p = table(spark, sf_dir, "part")
     return p.select("p_partkey", nz.first_code(F.col("p_name"), [("red", "C_RED"), ("blue", "C_BLUE"), ("e", "C_E")], F.lit("X")).alias("code"))
 
 
@@ -470,15 +469,16 @@ def bias_metrics(spark, sf_dir):
     return r(out, *(c for c in out.columns if c not in ("n", "n_missing")))
 
 
-@query(PRED + ", c AS (SELECT *, v * CASE WHEN topic % 3 = 0 THEN 1.15 ELSE 0.85 END AS w FROM g) SELECT topic, section, round(w * quota / sum(w) OVER (PARTITION BY section), 6) AS corrected FROM c")
+@query(PRED + ", c AS (SELECT *, v * CASE WHEN topic IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) THEN 1.15 ELSE 0.85 END AS w FROM g) SELECT topic, section, round(w * quota / sum(w) OVER (PARTITION BY section), 6) AS corrected FROM c")
 def bias_correction(spark, sf_dir):
     p = predictions(spark, sf_dir)
-    return r(al.recall_corrected(p, "v", "topic", p.filter("topic % 3 = 0").select("topic"), "section", F.col("quota")), "corrected").select("topic", "section", "corrected")
+    return r(al.recall_corrected(p, "v", "topic", table(spark, sf_dir, "nation").filter("n_regionkey = 0").select(F.col("n_nationkey").alias("topic")), "section", F.col("quota")), "corrected").select("topic", "section", "corrected")
 
 
-@query(PRED + ", o AS (SELECT topic, v FROM g WHERE topic % 4 <> 0) SELECT topic, round(v, 6) AS v, false AS imputed FROM o UNION ALL SELECT n_nationkey, round((SELECT avg(v) * 0.5 FROM o), 6), true FROM nation WHERE n_nationkey NOT IN (SELECT topic FROM o)")
+@query(PRED + ", o AS (SELECT topic, v FROM g WHERE topic IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)) SELECT topic, round(v, 6) AS v, false AS imputed FROM o UNION ALL SELECT n_nationkey, round((SELECT avg(v) * 0.5 FROM o), 6), true FROM nation WHERE n_nationkey NOT IN (SELECT topic FROM o)")
 def impute_missing_topics(spark, sf_dir):
-    o = predictions(spark, sf_dir).filter("topic % 4 <> 0")
+    seen = table(spark, sf_dir, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("topic"))
+    o = predictions(spark, sf_dir).join(seen, "topic", "left_semi")
     return r(al.impute_missing(o, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("topic")), "topic", "v"), "v")
 
 
@@ -508,9 +508,9 @@ def priority_bands(spark, sf_dir):
     return predictions(spark, sf_dir).select("topic", al.priority_band(v).alias("band"), al.study_hours(v).alias("hours"), al.generation_level(v / 10).alias("level"))
 
 
-@query(PRED + ", l AS (SELECT topic, CAST(max(cnt) AS DOUBLE) AS most FROM series WHERE topic % 2 = 0 GROUP BY topic) SELECT topic, round(least(v * 2, CASE WHEN most IS NOT NULL THEN least(most * 1.2, most + 2) ELSE 5.0 END, 8.0), 6) AS capped FROM (SELECT g.topic, v, most FROM g LEFT JOIN l USING (topic))")
+@query(PRED + ", l AS (SELECT topic, CAST(max(cnt) AS DOUBLE) AS most FROM series WHERE topic IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2) GROUP BY topic) SELECT topic, round(least(v * 2, CASE WHEN most IS NOT NULL THEN least(most * 1.2, most + 2) ELSE 5.0 END, 8.0), 6) AS capped FROM (SELECT g.topic, v, most FROM g LEFT JOIN l USING (topic))")
 def historic_cap(spark, sf_dir):
-    limits = customer_series(spark, sf_dir).filter("topic % 2 = 0").groupBy("topic").agg(F.max("cnt").alias("most"))
+    limits = customer_series(spark, sf_dir).join(table(spark, sf_dir, "nation").filter("n_regionkey < 2").select(F.col("n_nationkey").alias("topic")), "topic", "left_semi").groupBy("topic").agg(F.max("cnt").alias("most"))
     p = predictions(spark, sf_dir).withColumn("v", F.col("v") * 2)
     return r(al.historic_cap(p, "v", limits, "topic", F.lit(5.0), F.lit(8.0)), "capped").select("topic", "capped")
 
@@ -545,26 +545,26 @@ def boundaries(spark, sf_dir):
     return sq.boundaries(paper_rows(spark, sf_dir), ["user_id"], ["qnum"], "section", "qnum")
 
 
-@query("WITH c AS (SELECT conv_id, turn + 1 AS n FROM conversations WHERE turn % 3 <> 1), m AS (SELECT conv_id, max(n) AS m FROM c GROUP BY 1) SELECT conv_id, CAST(k AS INT) AS n FROM (SELECT conv_id, unnest(range(1, m + 1)) AS k FROM m) x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = x.conv_id AND c.n = x.k)")
+@query("WITH c AS (SELECT conv_id, turn + 1 AS n FROM conversations WHERE role <> 'assistant'), m AS (SELECT conv_id, max(n) AS m FROM c GROUP BY 1) SELECT conv_id, CAST(k AS INT) AS n FROM (SELECT conv_id, unnest(range(1, m + 1)) AS k FROM m) x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = x.conv_id AND c.n = x.k)")
 def missing_turns_anti(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("turn % 3 <> 1").select("conv_id", (F.col("turn") + 1).alias("n"))
+    c = table(spark, sf_dir, "conversations").filter("role <> 'assistant'").select("conv_id", (F.col("turn") + 1).alias("n"))
     return sq.missing_numbers(c, ["conv_id"], "n")
 
 
-@query("WITH c AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations WHERE turn % 3 <> 1) SELECT conv_id, turn AS after, nx AS before, unnest(range(turn + 1, nx)) AS missing FROM c WHERE nx - turn BETWEEN 2 AND 4")
+@query("WITH c AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations WHERE role <> 'assistant') SELECT conv_id, turn AS after, nx AS before, unnest(range(turn + 1, nx)) AS missing FROM c WHERE nx - turn BETWEEN 2 AND 4")
 def gap_spans(spark, sf_dir):
-    return sq.gaps(table(spark, sf_dir, "conversations").filter("turn % 3 <> 1").select("conv_id", "turn"), ["conv_id"], "turn")
+    return sq.gaps(table(spark, sf_dir, "conversations").filter("role <> 'assistant'").select("conv_id", "turn"), ["conv_id"], "turn")
 
 
-@query("WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role END AS v FROM conversations) SELECT conv_id, turn, CASE WHEN v IS NULL AND lag(v) OVER w = lead(v) OVER w THEN lag(v) OVER w ELSE v END AS filled FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+@query("WITH c AS (SELECT conv_id, turn, CASE WHEN role <> 'assistant' THEN role END AS v FROM conversations) SELECT conv_id, turn, CASE WHEN v IS NULL AND lag(v) OVER w = lead(v) OVER w THEN lag(v) OVER w ELSE v END AS filled FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def neighbour_fill(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("role")).alias("v"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") != "assistant", F.col("role")).alias("v"))
     return sq.fill_between(c, ["conv_id"], ["turn"], "v", "filled").select("conv_id", "turn", "filled")
 
 
 @query()
 def neighbour_inference(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 3).alias("page"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("v"), F.col("text").contains("z").alias("nv"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 3).alias("page"), F.when(F.col("role") != "assistant", F.col("role")).alias("v"), F.col("text").contains("z").alias("nv"))
     return sq.neighbour_inference(c, ["conv_id"], ["turn"], "turn", "page", "v", "nv").select("conv_id", "turn", "score", "inferred", "was_inferred")
 
 
@@ -597,9 +597,9 @@ def overlap_removal(spark, sf_dir):
     return sq.without_overlap(p, ["user_id"], "qnum", "to")
 
 
-@query(PAPER + ", b AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN NULL ELSE qnum END AS n FROM paper), f AS (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY k) AS i FROM (SELECT user_id, unnest(range(1, CAST(count(*) + max(n) - count(n) + 1 AS BIGINT))) AS k FROM b WHERE n IS NOT NULL GROUP BY user_id) x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = x.user_id AND b.n = x.k)), z AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM b WHERE n IS NULL) SELECT event_id, CAST(n AS INT) AS n FROM b WHERE n IS NOT NULL UNION ALL SELECT z.event_id, CAST(f.k AS INT) FROM z LEFT JOIN f USING (user_id, i)")
+@query(PAPER + ", b AS (SELECT *, CASE WHEN section = 'click' THEN NULL ELSE qnum END AS n FROM paper), f AS (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY k) AS i FROM (SELECT user_id, unnest(range(1, CAST(count(*) + max(n) - count(n) + 1 AS BIGINT))) AS k FROM b WHERE n IS NOT NULL GROUP BY user_id) x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.user_id = x.user_id AND b.n = x.k)), z AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM b WHERE n IS NULL) SELECT event_id, CAST(n AS INT) AS n FROM b WHERE n IS NOT NULL UNION ALL SELECT z.event_id, CAST(f.k AS INT) FROM z LEFT JOIN f USING (user_id, i)")
 def renumber_missing(spark, sf_dir):
-    p = paper_rows(spark, sf_dir).select("user_id", "event_id", F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("qnum")).cast("int").alias("n"))
+    p = paper_rows(spark, sf_dir).select("user_id", "event_id", F.when(F.col("section") == "click", None).otherwise(F.col("qnum")).cast("int").alias("n"))
     return sq.renumber(p, ["user_id"], ["event_id"], "n").select("event_id", "n")
 
 
@@ -628,18 +628,18 @@ def text_stats(spark, sf_dir):
 
 
 CUES = " OR ".join("regexp_matches(l, '" + c.replace("'", "''") + "')" for c in fixed.DIRECTIVE_CUES)
-SCORE = f"""WITH d AS (SELECT doc_id, text, lower(text) AS l, length(trim(text)) AS n, regexp_matches(lower(text), '\\([abcd]\\)|\\b[abcd]\\s*[.:)]') AS o FROM benchmark_or_docs), q AS (SELECT *, CASE WHEN o THEN 0.3 ELSE 0 END + CASE WHEN contains(text, '?') THEN 0.15 ELSE 0 END + CASE WHEN n > 50 THEN 0.2 WHEN n > 30 THEN 0.15 WHEN n > 15 THEN 0.1 ELSE 0 END + CASE WHEN {CUES} THEN 0.2 ELSE 0 END + 0.15 * 0.7 AS score FROM d) """
+SCORE = f"""WITH d AS (SELECT doc_id, text, lower(text) AS l, length(trim(text)) AS n, regexp_matches(lower(text), '{fixed.OPTION_MARK}') AS o FROM benchmark_or_docs), q AS (SELECT *, CASE WHEN o THEN 0.3 ELSE 0 END + CASE WHEN contains(text, '?') THEN 0.15 ELSE 0 END + CASE WHEN n > 50 THEN 0.2 WHEN n > 30 THEN 0.15 WHEN n > 15 THEN 0.1 ELSE 0 END + CASE WHEN {CUES} THEN 0.2 ELSE 0 END + 0.15 * 0.7 AS score FROM d) """
 
 
-@query(SCORE.replace("benchmark_or_docs", "documents WHERE lang = 'en'") + "SELECT doc_id, round(score, 6) AS score FROM q")
+@query(SCORE.replace("benchmark_or_docs", "documents") + "SELECT doc_id, round(score, 6) AS score FROM q")
 def quality_score(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.round(tx.quality_score(F.col("text"), F.lit(0), F.lit(0.7)), 6).alias("score"))
 
 
-@query(SCORE.replace("benchmark_or_docs", "documents WHERE lang = 'en'") + "SELECT doc_id, (" + " OR ".join(f"contains(l, '{m}')" for m in fixed.PLACEHOLDER_MARKERS) + ") OR score < 0.35 OR (length(text) < 15 AND NOT o) AS placeholder FROM q")
+@query(SCORE.replace("benchmark_or_docs", "documents") + "SELECT doc_id, (" + " OR ".join(f"contains(l, '{m}')" for m in fixed.PLACEHOLDER_MARKERS) + ") OR score < 0.35 OR (length(text) < 15 AND NOT o) AS placeholder FROM q")
 def placeholder_predicate(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", tx.is_placeholder(F.col("text"), F.lit(0)).alias("placeholder"))
 
 
@@ -648,28 +648,28 @@ def _holds(words):
 
 
 _W = fixed.SECTION_WORDS
-SECTION_SQL = f"""WITH d AS (SELECT doc_id, text, lower(text) AS l, len(regexp_extract_all(text, '[0-9]')) AS dg FROM documents WHERE lang = 'en'),
+SECTION_SQL = f"""WITH d AS (SELECT doc_id, text, lower(text) AS l, len(regexp_extract_all(text, '[0-9]')) AS dg FROM documents),
 s AS (SELECT *, CASE WHEN {_holds(_W['numerical_ability'][0])} THEN 3 ELSE 0 END + CASE WHEN {_holds(_W['numerical_ability'][1])} THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '\\d+\\s*[+\\-×÷*/=<>%]\\s*\\d+') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '\\d+\\s*:\\s*\\d+') THEN 3 ELSE 0 END + CASE WHEN dg > 8 THEN 2 WHEN dg > 4 THEN 1 ELSE 0 END AS na,
 CASE WHEN {_holds(_W['verbal_ability'][0])} THEN 4 ELSE 0 END + CASE WHEN {_holds(_W['verbal_ability'][1])} THEN 2 ELSE 0 END + CASE WHEN regexp_matches(l, '{fixed.PASSAGE}') THEN 5 ELSE 0 END AS va,
 CASE WHEN {_holds(_W['reasoning'][0])} THEN 4 ELSE 0 END + CASE WHEN {_holds(_W['reasoning'][1])} THEN 2 ELSE 0 END + CASE WHEN regexp_matches(l, '{fixed.FIGURE}') THEN 2 ELSE 0 END AS re,
-CASE WHEN {_holds(_W['general_awareness'][0])} THEN 4 ELSE 0 END + CASE WHEN {_holds(_W['general_awareness'][1])} THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '\\b(19|20)\\d{{2}}\\b') THEN 1 ELSE 0 END AS ga FROM d)
-SELECT doc_id, CASE WHEN regexp_matches(l, '{fixed.VERBAL_GUARD}') OR regexp_matches(text, '_ _|___|\\[\\s*\\]') THEN 'verbal_ability' WHEN greatest(na, va, re, ga) < 2 THEN CASE WHEN regexp_matches(l, '^(who|what|which|where|when|how many|name the)\\b') THEN 'general_awareness' WHEN dg > 0 AND length(text) < 200 THEN 'numerical_ability' ELSE 'general_awareness' END
+CASE WHEN {_holds(_W['general_awareness'][0])} THEN 4 ELSE 0 END + CASE WHEN {_holds(_W['general_awareness'][1])} THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '{fixed.YEAR}') THEN 1 ELSE 0 END AS ga FROM d)
+SELECT doc_id, CASE WHEN regexp_matches(l, '{fixed.VERBAL_GUARD}') OR regexp_matches(text, '_ _|___|\\[\\s*\\]') THEN 'verbal_ability' WHEN greatest(na, va, re, ga) < 2 THEN CASE WHEN regexp_matches(l, '{fixed.ASKING}') THEN 'general_awareness' WHEN dg > 0 AND length(text) < 200 THEN 'numerical_ability' ELSE 'general_awareness' END
 WHEN na = greatest(na, va, re, ga) THEN 'numerical_ability' WHEN va = greatest(na, va, re, ga) THEN 'verbal_ability' WHEN re = greatest(na, va, re, ga) THEN 'reasoning' ELSE 'general_awareness' END AS section FROM s"""
 
 
 @query(SECTION_SQL)
 def section_scorer(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", tx.section_of(F.col("text")).alias("section"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.section_of(F.col("text")).alias("section"))
 
 
 def _type_score(k):
     return " + ".join([f"CASE WHEN regexp_matches(l, '{p}') THEN 2 ELSE 0 END" for p in fixed.TYPE_PATTERNS[k]] + [f"CASE WHEN contains(l, '{w}') THEN 1 ELSE 0 END" for w in fixed.TYPE_KEYWORDS[k]])
 
 
-@query("WITH d AS (SELECT doc_id, lower(text) AS l FROM documents WHERE lang = 'en'), s AS (SELECT doc_id, " + ", ".join(f"{_type_score(k)} AS {k}" for k in fixed.TYPE_PATTERNS) + " FROM d), g AS (SELECT *, greatest(calculation, conceptual, factual, application) AS b, calculation + conceptual + factual + application AS t FROM s) SELECT doc_id, CASE WHEN b = 0 THEN 'unknown' WHEN calculation = b THEN 'calculation' WHEN conceptual = b THEN 'conceptual' WHEN factual = b THEN 'factual' ELSE 'application' END AS kind, round(CASE WHEN b > 0 THEN b / t ELSE 0 END, 6) AS confidence FROM g")
+@query("WITH d AS (SELECT doc_id, lower(text) AS l FROM documents), s AS (SELECT doc_id, " + ", ".join(f"{_type_score(k)} AS {k}" for k in fixed.TYPE_PATTERNS) + " FROM d), g AS (SELECT *, greatest(calculation, conceptual, factual, application) AS b, calculation + conceptual + factual + application AS t FROM s) SELECT doc_id, CASE WHEN b = 0 THEN 'unknown' WHEN calculation = b THEN 'calculation' WHEN conceptual = b THEN 'conceptual' WHEN factual = b THEN 'factual' ELSE 'application' END AS kind, round(CASE WHEN b > 0 THEN b / t ELSE 0 END, 6) AS confidence FROM g")
 def type_classifier(spark, sf_dir):
     kind, sure = tx.question_type(F.lower("text"))
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", kind.alias("kind"), F.round(sure, 6).alias("confidence"))
+    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), F.round(sure, 6).alias("confidence"))
 
 
 @query("WITH d AS (SELECT doc_id, text, lower(text) AS l FROM documents) SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"regexp_matches(l, '{p}')" for p in ps) + f" THEN '{k}'" for k, ps in fixed.STARTERS.items()) + " WHEN contains(text, '?') AND regexp_matches(l, 'how (?:much|many|long)') THEN 'calculation' ELSE 'unknown' END AS kind FROM d")
@@ -717,19 +717,20 @@ def html_cells_scrape(spark, sf_dir):
 
 
 # --- similarity ---
-@query("""WITH d AS (SELECT doc_id, source AS g, text FROM documents WHERE lang = 'en'), t AS (SELECT doc_id, g, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM d), tk AS (SELECT * FROM t WHERE length(term) >= 2 AND term NOT IN (""" + ", ".join(f"'{w}'" for w in fixed.STOPWORDS) + """)), tf AS (SELECT g, doc_id, term, count(*) AS tf FROM tk GROUP BY ALL), n AS (SELECT g, count(DISTINCT doc_id) AS n FROM tk GROUP BY g),
+@query("""WITH d AS (SELECT doc_id, source AS g, text FROM documents), t AS (SELECT doc_id, g, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM d), tk AS (SELECT * FROM t WHERE length(term) >= 2 AND term NOT IN (""" + ", ".join(f"'{w}'" for w in fixed.STOPWORDS) + """)), tf AS (SELECT g, doc_id, term, count(*) AS tf FROM tk GROUP BY ALL), n AS (SELECT g, count(DISTINCT doc_id) AS n FROM tk GROUP BY g),
 v AS (SELECT g, term, count(*) AS df, row_number() OVER (PARTITION BY g ORDER BY sum(tf) DESC, term) AS rn FROM tf GROUP BY g, term), w AS (SELECT tf.g, doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN v USING (g, term) JOIN n ON n.g = tf.g WHERE rn <= 500), x AS (SELECT g, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY g, doc_id)) AS w FROM w)
 SELECT a.g, a.doc_id AS a, b.doc_id AS b, round(sum(a.w * b.w), 6) AS cosine FROM x a JOIN x b ON a.g = b.g AND a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING sum(a.w * b.w) > 0.7""")
 def tfidf_cosine_pairs(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'").withColumnRenamed("source", "g")
+    d = table(spark, sf_dir, "documents").withColumnRenamed("source", "g")
     v = sm.tfidf(sm.terms(d, "doc_id", "g", "text", fixed.STOPWORDS), "doc_id", "g")
     return r(sm.cosine_pairs(v, "doc_id", "g"), "cosine")
 
 
-@query("SELECT conv_id, round(avg(j), 6) AS similarity FROM (SELECT a.conv_id, len(list_intersect(string_split(lower(trim(substr(a.text, 1, 40))), ''), string_split(lower(trim(substr(b.text, 1, 40))), ''))) / len(list_distinct(list_concat(string_split(lower(trim(substr(a.text, 1, 40))), ''), string_split(lower(trim(substr(b.text, 1, 40))), '')))) AS j FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE NOT regexp_matches(substr(a.text, 1, 40), '[0-9]') AND NOT regexp_matches(substr(b.text, 1, 40), '[0-9]') AND length(a.text) > 45 AND length(b.text) > 45) GROUP BY 1")
+@query("""WITH t AS (SELECT conv_id, turn, list_distinct(string_split(lower(trim(text)), '')) AS s, CAST(nullif(regexp_extract(lower(trim(text)), '[0-9]+'), '') AS DOUBLE) AS n FROM conversations WHERE trim(text) <> ''),
+p AS (SELECT a.conv_id, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS j, CASE WHEN abs(a.n - b.n) <= greatest(a.n, b.n) * 0.2 THEN 0.8 END AS k FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn),
+u AS (SELECT conv_id, unnest([j, k]) AS x FROM p) SELECT c.conv_id, round(coalesce(avg(x), 0), 6) AS similarity FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN u USING (conv_id) GROUP BY 1""")
 def option_jaccard(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("length(text) > 45").filter(~F.substring("text", 1, 40).rlike("[0-9]"))
-    g = c.groupBy("conv_id").agg(F.collect_list(F.substring("text", 1, 40)).alias("o")).filter(F.size("o") >= 2)
+    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("o"))
     return r(g.select("conv_id", tx.option_similarity(F.col("o")).alias("similarity")), "similarity")
 
 
@@ -885,7 +886,7 @@ def weekly_digest(spark, sf_dir):
 
 @query()
 def mcq_extract(spark, sf_dir):
-    q = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.concat(F.lit("1. "), F.substring("text", 1, 60), F.lit("\n(A) "), F.substring("text", 70, 8), F.lit(" (B) "), F.substring("text", 80, 8), F.lit("\n2. "), F.substring("text", 100, 50)).alias("text"))
+    q = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ex.extract_paper(q, "doc_id", "text")
 
 
@@ -895,16 +896,16 @@ def json_recover(spark, sf_dir):
     return rd.recover_json(e, "text", ["event_id"])
 
 
-@query("SELECT doc_id, len(list_filter(['low_topic_confidence', 'unknown_topic', 'question_too_short', 'insufficient_options'], lambda x: x <> '' AND (x <> 'question_too_short' OR length(text) < 15))) AS n_issues FROM documents WHERE NOT regexp_matches(lower(text), 'figure|diagram|table|graph|chart|above|below|given') AND NOT regexp_matches(text, '[0-9=:%√°]')")
+@query("SELECT doc_id, CAST(3 + CASE WHEN length(text) < 15 THEN 1 ELSE 0 END + CASE WHEN " + " OR ".join(f"regexp_matches(text, '{p}')" for p in fixed.FORMULAS) + " THEN 1 ELSE 0 END + CASE WHEN regexp_matches(lower(text), 'figure|diagram|table|graph|chart|above|below|given') THEN 1 ELSE 0 END AS BIGINT) AS n_issues FROM documents")
 def review_issues(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(~tx.mentions_diagram(F.col("text"))).filter(~F.col("text").rlike("[0-9=:%√°]"))
-    return d.select("doc_id", F.size(tx.review_issues(F.col("text"), F.lit(0), F.lit("unknown"), F.lit(0.1), F.lit(0.9))).cast("long").alias("n_issues"))
+    issues = tx.review_issues(F.col("text"), F.lit(0), F.lit("unknown"), F.lit(0.1), F.lit(0.9))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(issues).cast("long").alias("n_issues"))
 
 
 @query()
 def difficulty_levels(spark, sf_dir):
     score, level, sure = tx.difficulty(F.col("text"), F.array().cast("array<string>"), F.lit(0.5))
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", score.alias("score"), level.alias("level"), sure.alias("confidence"))
+    return table(spark, sf_dir, "documents").select("doc_id", score.alias("score"), level.alias("level"), sure.alias("confidence"))
 
 
 @query()
