@@ -35,11 +35,11 @@ def removed(rows, k=50):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("wide", [128, 2])
-def test_op1_edges(docs, odd, wide):
+@pytest.mark.parametrize("wide,crowded", [(128, 1 << 16), (2, 1 << 16), (128, 2)])
+def test_op1_edges(docs, odd, wide, crowded):
     want = removed([(i, t) for i, t, _ in TEXTS])
     for d in (docs, odd):
-        assert sorted(map(tuple, suffix_dedup.dedup_digest(d, wide=wide).collect()), key=repr) == want
+        assert sorted(map(tuple, suffix_dedup.dedup_digest(d, wide=wide, crowded=crowded).collect()), key=repr) == want
 
 
 def test_op1_table(spark):
