@@ -30,7 +30,7 @@ def n_holding(text: Column, words: list[str]) -> Column:
 
 def normal_text(text: Column) -> Column:
     """Lower case, trimmed, runs of blanks as one space."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " +", " ")
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
 def text_key(text: Column) -> Column:
