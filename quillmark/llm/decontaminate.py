@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
-A window has as many words as the item it is held against. Both are bags of 5-word shingles (an item of fewer words is one shingle). Windows that can
+A window has as many words as the item it is held against, or is the whole document if that is shorter. Both are bags of 5-word shingles (an item of fewer words is one shingle). Windows that can
 reach the similarity at all must hold most of their shingles in common with the item, so only those are fingerprinted; this prefilter is exact. Item
 fingerprints lie in one table for each of eight 8-bit blocks: within `radius` bits, one block differs by radius / 8 bits at most, so looking up each
 block's neighbourhood misses none within the radius. What is found is verified by weighted Jaccard similarity of the two bags.
@@ -74,9 +74,8 @@ class Index:
         self.counters = [Counter(b.tolist()) for b in self.bags]
         self.size = np.array([len(b) for b in self.bags], np.int64)
         self.fp = simhash(np.concatenate(self.bags), self.size) if self.bags else np.zeros(0, np.uint64)
-        # Least number of a window's shingles that the item has, and how late the first of them can be: from common / (2 n - common) >= similarity.
-        self.common = np.ceil(2 * self.size * s.similarity / (1 + s.similarity) - 1e-9).astype(np.int64)
-        self.slack = self.size - self.common
+        # How late the first shingle that the item has can be in a window of the item's size.
+        self.slack = self.size - self.common(self.size, self.size)
         # Shingles to entries.
         self.by_width = {}
         for k in np.unique(self.width):
@@ -92,6 +91,10 @@ class Index:
         values = np.arange(256, dtype=np.uint8)[:, None]
         self.near = [np.packbits(_ONES[values ^ blocks[None, :, b]] <= s.radius // 8, axis=1) for b in range(8)]
 
+    def common(self, n, m):
+        """Least number of shingles that windows of m and items of n have in common: from common / (n + m - common) >= similarity."""
+        return np.ceil((n + m) * self.s.similarity / (1 + self.s.similarity) - 1e-9).astype(np.int64)
+
     def candidates(self, fp: np.ndarray, entry: np.ndarray) -> np.ndarray:
         """Which (window fingerprint, entry) pairs some block lets through and the whole distance keeps."""
         through = np.zeros(len(fp), bool)
@@ -123,8 +126,9 @@ class Index:
             cut = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
             for a, b in zip(cut, np.append(cut[1:], len(pair))):
                 d, i = divmod(int(pair[a]), len(self.length))
-                if b - a >= self.common[i]:
-                    found = self._windows(shingles, pos[a:b], i, int(first[d]), int(first[d + 1]) - k + 1)
+                lo, hi = int(first[d]), int(first[d + 1]) - k + 1
+                if b - a >= self.common(self.size[i], min(self.size[i], hi - lo)):
+                    found = self._windows(shingles, pos[a:b], i, lo, hi)
                     if found:
                         best[d, i] = (found[0], found[1] - int(first[d]))
         return [(d, i, start, sim) for (d, i), (sim, start) in sorted(best.items())]
@@ -136,7 +140,7 @@ class Index:
         if not len(starts) and hi - lo < n:
             starts = np.array([lo])  # the document is shorter than the item: one window, all of it
         n = min(n, hi - lo)
-        starts = starts[np.searchsorted(hits, starts + n) - np.searchsorted(hits, starts) >= self.common[i]]
+        starts = starts[np.searchsorted(hits, starts + n) - np.searchsorted(hits, starts) >= self.common(self.size[i], n)]
         if not len(starts):
             return None
         best = None

@@ -77,6 +77,18 @@ def test_op3(spark, docs, none):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == len(TEXTS)
 
 
+def test_op3_documents_shorter_than_an_item(spark):
+    long = " ".join(f"w{i}" for i in range(59))
+    bench = [(1, ITEM), (2, long)]
+    rows = [(100 * b + n, " ".join(x.split()[part])) for b, x in bench for k in range(14) for n, part in ((k, slice(k, None)), (50 + k, slice(0, len(x.split()) - k)))]
+    want = {(i, b): s for i, t in rows for b, x in bench if (s := best_window(t, x)) >= 0.8}
+    assert {i for i, _ in want} >= {103, 104, 153, 154, *range(207, 212), *range(257, 262)} and len(want) < len(rows)
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(d, b).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {r.doc_id for r in decontaminate.clean(d, b).collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
 def test_op3_table_and_blocks(spark):
     d, b = spark.read.parquet(f"{AT}/documents.parquet"), spark.read.parquet(f"{AT}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in QUERIES["op3_decontaminate"](spark, AT).collect()}
