@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import materialize, pieces, ship, text_bytes
+from .kernels import word_spans
 
 KINDS = ("assign", "access", "hex", "owned")
 
@@ -65,14 +66,10 @@ def base_spans(text: str, long: bool = True) -> list[tuple[int, int, int, str]]:
 
 
 def long_strings(data: np.ndarray, offsets: np.ndarray, least: int = 20) -> np.ndarray:
-    """For each document, whether it has a run of `least` characters of those that keys are made of."""
-    on = _STRING[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    big = ends - starts >= least
-    doc = np.unique(np.concatenate([np.searchsorted(offsets, starts[big], "right") - 1, np.searchsorted(offsets, ends[big] - 1, "right") - 1]))
+    """For each document, whether it has a run of `least` characters of those that keys are made of. Runs end with their document."""
+    starts, ends, _ = word_spans(data, offsets, ~_STRING)
     out = np.zeros(len(offsets) - 1, bool)
-    out[doc] = True
+    out[np.searchsorted(offsets, starts[ends - starts >= least], "right") - 1] = True
     return out
 
 
