@@ -5,9 +5,10 @@ before them. The store is a folder of three Parquet tables:
 
   chunks/    address (16 bytes, BLAKE2b of the ids), ids (little-endian, `width` bytes each): each content once
   recipes/   shard, doc_id, n_tokens, addresses (16 bytes a chunk), sizes (uint32 a chunk): a document a row, in ascending doc_id order, null first
-  manifest/  shard, block, n_docs, n_tokens, node: a Merkle node over the leaves of up to BLOCK documents; the root hashes the nodes in order
+  manifest/  shard, block, n_docs, n_tokens, node: a Merkle node over the leaves of up to BLOCK documents; the row without a shard is the root, which
+             hashes the nodes in order, with all documents and ids counted
 
-A reader takes documents from recipes, ids from chunks, and recomputes every address and every node.
+A reader takes documents from recipes, ids from chunks, and recomputes every address, every node and the root.
 """
 
 from __future__ import annotations
@@ -174,6 +175,20 @@ def _nodes(recipes: DataFrame) -> DataFrame:
     return rows.groupBy("shard", "block").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(joined, 256).alias("node"))
 
 
+def _root(nodes: DataFrame) -> DataFrame:
+    """One row like a node's, without shard and block: nodes hash to one a shard in order of blocks, these to the root in order of shards, all with counts."""
+
+    def folded(by: str) -> tuple:
+        leaf = F.concat_ws(":", by, "n_docs", "n_tokens", "node").alias("leaf")
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(by), leaf))), lambda x: x["leaf"]), ",")
+        total = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_tokens")]
+        return (*total, F.sha2(joined, 256).alias("node"))
+
+    root = nodes.groupBy("shard").agg(*folded("block"))
+    root = root.agg(*folded("shard"))
+    return root.select(*(F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in ("shard", "block")), "n_docs", "n_tokens", "node")
+
+
 def write_store(docs: DataFrame, at: str, path: str | None = None, name: str = "word_bpe_49k.json", end_id: int = 1, width: int = 2) -> Store:
     """Encode every whole text (null: empty), append end_id, and write the store under the folder `at`. width: bytes an id; 2 holds 65,536 ids.
 
@@ -186,7 +201,8 @@ def write_store(docs: DataFrame, at: str, path: str | None = None, name: str = "
     recipes = staged.filter("recipe").select("doc_id", "n_tokens", "addresses", "sizes")
     recipes = recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("addresses")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "addresses")
     recipes.select(F.spark_partition_id().alias("shard"), "*").write.option("compression", "zstd").parquet(f"{at}/recipes")
-    _nodes(docs.sparkSession.read.parquet(f"{at}/recipes")).write.parquet(f"{at}/manifest")
+    nodes = materialize(_nodes(docs.sparkSession.read.parquet(f"{at}/recipes")), "idstore-nodes")
+    nodes.unionByName(_root(nodes)).write.parquet(f"{at}/manifest")
     return Store(at, width)
 
 
@@ -259,13 +275,17 @@ def read_digest(spark: SparkSession, store: Store) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone.
 
     A document's CRC is the xor of its chunks' CRCs, each shifted by the ids after it, so that chunks travel as 40 bytes and no document is put together
-    in one place. Recipes that don't fit the manifest, or chunks that are missing, are errors.
+    in one place. Recipes that don't fit the manifest, nodes that don't fit its root, or chunks that are missing, are errors.
     """
     ship(spark)
     recipes = spark.read.parquet(f"{store.path}/recipes")
-    wrong = spark.read.parquet(f"{store.path}/manifest").join(_nodes(recipes).select("shard", "block", F.col("node").alias("again")), ["shard", "block"], "full").filter(~F.col("node").eqNullSafe(F.col("again"))).count()
+    manifest = spark.read.parquet(f"{store.path}/manifest")
+    nodes = manifest.filter("shard IS NOT NULL")
+    wrong = nodes.join(_nodes(recipes).select("shard", "block", F.col("node").alias("again")), ["shard", "block"], "full").filter(~F.col("node").eqNullSafe(F.col("again"))).count()
     if wrong:
         raise ValueError(f"{wrong} blocks of recipes don't fit the manifest")
+    if manifest.filter("shard IS NULL").take(2) != _root(nodes).take(1):
+        raise ValueError("the manifest's blocks don't fit its root")
     order = Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "addresses")
     place = recipes.withColumn("rn", F.row_number().over(order)).withColumn("within", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     # A shard's offset: one row a shard, summed over the shards before it.

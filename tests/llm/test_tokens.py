@@ -120,6 +120,24 @@ def test_store_round_trip_and_damage(spark, docs, word_bpe, tmp_path):
         idstore.read_digest(spark, worse)
 
 
+def test_store_without_a_shard(spark, docs, none, tmp_path):
+    store = idstore.write_store(docs, f"file://{tmp_path}/store")
+    tables = {t: spark.read.parquet(f"{store.path}/{t}") for t in ("chunks", "recipes", "manifest")}
+    root = tables["manifest"].filter("shard IS NULL").collect()
+    assert [(r.n_docs, r.n_tokens) for r in root] == [tuple(tables["recipes"].selectExpr("count(*)", "sum(n_tokens)").first())]
+    shards = sorted(r.shard for r in tables["recipes"].select("shard").distinct().collect())
+    assert len(shards) > 1
+    for gone in (shards[0], shards[-1], "root"):
+        less = idstore.Store(f"file://{tmp_path}/less-{gone}", 2)
+        for t, df in tables.items():
+            keep = "true" if t == "chunks" or (gone == "root" and t == "recipes") else "shard IS NOT NULL" if gone == "root" else f"NOT shard <=> {gone}"
+            df.filter(keep).write.parquet(f"{less.path}/{t}")
+        with pytest.raises(ValueError, match="root"):
+            idstore.read_digest(spark, less)
+    empty = idstore.write_store(none, f"file://{tmp_path}/empty")
+    assert idstore.read_digest(spark, empty).count() == 0 and idstore.read_digest(spark, store).count() == len(TEXTS)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3000), max_size=6), st.integers(0, 9))
 def test_cuts(counts, seed):
