@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from itertools import chain, repeat
 
 import numpy as np
 
-from .kernels import gather, prefix_sums, span_hashes
+from .kernels import gather
 
 # Character classes.
 L, STMD, RR, VV, LL, EE, N, O, APOS, SP, WS, END = range(12)
@@ -139,59 +140,84 @@ def run(cls: np.ndarray, nxt: np.ndarray, marks: np.ndarray, block: int = 64, pr
 
 
 class Lexicon:
-    """Emissions of pre-tokens by their 64-bit hash: token counts, and the ids themselves if asked. Forgets all beyond `most` paths."""
+    """Emissions of strings (pre-tokens, or words of several): token counts, and the ids themselves if asked.
 
-    def __init__(self, path: str, ids: bool, most: int = 1_500_000):
+    Strings are their own keys, so none is taken for another. All is forgotten beyond `most` paths or `room` characters. marked: the vocabulary marks the
+    ids that end a pre-token (`</w>`), so that many pre-tokens are encoded as one text and told apart by those marks. inner: strings are cut into pre-tokens
+    by that machine, and what that lexicon emits for them is put together.
+    """
+
+    def __init__(self, path: str, ids: bool, most: int = 600_000, room: int = 1 << 25, marked: bool = False, inner: "tuple[PreTokenizer, Lexicon] | None" = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids, self.most = Tokenizer.from_file(path), ids, most
+        self.tokenizer, self.ids, self.most, self.room, self.marked, self.inner = Tokenizer.from_file(path), ids, most, room, marked, inner
+        if marked:
+            self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+            self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
         self.counts = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.zeros(1 << 20 if self.ids else 1, np.uint32), 0
-
-    def slots(self, text: str, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """A place in counts (and starts) for each span of text."""
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > self.most:
+        self.pool, self.used, self.chars = np.zeros(1 << 20 if self.ids else 1, np.uint32), 0, 0
+
+    def emit(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the library's ids of all words end to end, how many each has)."""
+        if self.inner is not None:
+            cut, lexicon = self.inner
+            joined, starts, ends, word = cut.spans(words)
+            slot = lexicon.slots([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+            n = lexicon.counts[slot].astype(np.int64)
+            return gather(lexicon.pool, lexicon.starts[slot], n), np.bincount(word, n, len(words)).astype(np.int64)
+        if self.marked:
+            flat = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[flat])
+            if len(last) == len(words) and last[-1] == len(flat) - 1:
+                return flat, np.diff(last + 1, prepend=0)
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())) if self.ids else np.zeros(0, np.uint32), n
+
+    def slots(self, words: list[str]) -> np.ndarray:
+        """A place in counts (and starts) for each word, until the next call."""
+        slot = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        miss = np.flatnonzero(slot < 0).tolist()
+        if not miss:
+            return slot
+        new = list(dict.fromkeys([words[i] for i in miss]))
+        if self.known and (len(self.known) + len(new) > self.most or self.chars + sum(map(len, new)) > self.room):
             self.forget()
-        known = self.known
-        slot = np.fromiter((known.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            words = [text[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
-            at = np.arange(len(known), len(known) + len(new))
-            while len(self.counts) < at[-1] + 1:
-                self.counts, self.starts = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.starts, np.zeros_like(self.starts)])
-            for i in range(0, len(words), 4096):
-                found = [x.ids for x in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
-                n = np.fromiter(map(len, found), np.int32, len(found))
-                self.counts[at[i : i + 4096]] = n
-                if self.ids:
-                    flat = np.fromiter((x for y in found for x in y), np.uint32, int(n.sum()))
-                    while len(self.pool) < self.used + len(flat):
-                        self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-                    self.pool[self.used : self.used + len(flat)] = flat
-                    self.starts[at[i : i + 4096]] = self.used + np.cumsum(n) - n
-                    self.used += len(flat)
-            known.update(zip(keys[new].tolist(), at.tolist()))
-            slot[new] = at
-        return slot[inverse.ravel()]
+            miss, new = list(range(len(words))), list(dict.fromkeys(words))
+        first = len(self.known)
+        while len(self.counts) < first + len(new):
+            self.counts, self.starts = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.starts, np.zeros_like(self.starts)])
+        for i in range(0, len(new), 4096):
+            flat, n = self.emit(new[i : i + 4096])
+            at = slice(first + i, first + i + len(n))
+            self.counts[at] = n
+            if self.ids:
+                while len(self.pool) < self.used + len(flat):
+                    self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+                self.pool[self.used : self.used + len(flat)] = flat
+                self.starts[at] = self.used + np.cumsum(n) - n
+                self.used += len(flat)
+        self.known.update(zip(new, range(first, first + len(new))))
+        self.chars += sum(map(len, new))
+        slot[miss] = np.fromiter(map(self.known.__getitem__, [words[i] for i in miss]), np.int64, len(miss))
+        return slot
 
 
 class PreTokenizer:
-    """Cuts texts into pre-tokens with a machine and looks up what a lexicon emits for them."""
+    """Cuts texts into pre-tokens with a machine."""
 
-    def __init__(self, lexicon: Lexicon, keep_spaces: bool, long_numbers: bool):
-        self.lexicon, self.keep_spaces = lexicon, keep_spaces
+    def __init__(self, keep_spaces: bool, long_numbers: bool):
+        self.keep_spaces = keep_spaces
         self.nxt, self.marks = machine(keep_spaces, long_numbers)
 
-    def spans(self, texts: list[str]):
-        """(the joined text, pre-token starts and ends in it, index of each pre-token's text, hashes)."""
+    def spans(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """(the joined text, pre-token starts and ends in it, index of each pre-token's text)."""
         joined = "\0".join(texts) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         cls = classes()[points]
@@ -207,22 +233,13 @@ class PreTokenizer:
         if not self.keep_spaces:
             keep &= (head != SP) & (head != WS)
         starts, ends = starts[keep], ends[keep]
-        doc = np.searchsorted(ends_at, starts)
-        return joined, starts, ends, doc, span_hashes(prefix_sums(points), starts, ends)
-
-    def slots(self, texts: list[str]):
-        joined, starts, ends, doc, hashes = self.spans(texts)
-        return doc, self.lexicon.slots(joined, starts, ends, hashes)
-
-    def counts(self, texts: list[str]) -> np.ndarray:
-        doc, slot = self.slots(texts)
-        return np.bincount(doc, self.lexicon.counts[slot], len(texts)).astype(np.int64)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts end to end, how many each text has)."""
-        doc, slot = self.slots(texts)
-        n = self.lexicon.counts[slot].astype(np.int64)
-        return gather(self.lexicon.pool, self.lexicon.starts[slot], n), np.bincount(doc, n, len(texts)).astype(np.int64)
+        return joined, starts, ends, np.searchsorted(ends_at, starts)
+
+    def counts(self, texts: list[str], lexicon: Lexicon) -> np.ndarray:
+        """How many tokens the lexicon emits for each text's pre-tokens."""
+        joined, starts, ends, doc = self.spans(texts)
+        slot = lexicon.slots([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+        return np.bincount(doc, lexicon.counts[slot], len(texts)).astype(np.int64)
 
 
 def split_special(texts: list[str], special: dict[str, int]) -> tuple[list[str], list[int], list[tuple[int, int]]]:

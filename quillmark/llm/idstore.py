@@ -14,10 +14,12 @@ A reader takes documents from recipes, ids from chunks, and recomputes every add
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .frames import binary_array, materialize, pieces, shared_dir, ship
-from .kernels import mix, prefix_sums, span_hashes
+from .kernels import gather, prefix_sums, span_hashes
 from .token_counts import tokenizer_path
 
 WINDOW = 16
 LEAST, USUAL, MOST = 64, 256, 2048
 BLOCK = 1024
+#: Words that are looked up at a time, few enough to lie in the processor's cache.
+NEAR = 16384
 ADDRESS = 16
 
 _made: dict = {}
@@ -43,48 +47,61 @@ class Store:
 
 
 def encoder(path: str):
-    """(pre-tokenizer with ids, special strings, code points that it may handle); one a Python worker."""
+    """(lexicon of words with their ids, special strings); one a Python worker."""
     from .automata import Lexicon, PreTokenizer
 
     if path not in _made:
-        lexicon = Lexicon(path, ids=True, most=600_000)
+        lexicon = Lexicon(path, ids=True, most=400_000, inner=(PreTokenizer(keep_spaces=False, long_numbers=False), Lexicon(path, ids=True, marked=True)))
         special = {t.content: i for i, t in lexicon.tokenizer.get_added_tokens_decoder().items()}
-        _made[path] = PreTokenizer(lexicon, keep_spaces=False, long_numbers=False), special
+        _made[path] = lexicon, special
     return _made[path]
 
 
-#: Characters up to here, and general punctuation, fold to one lower-case character each and are already composed, but for these two exceptions.
+#: Characters up to here, and general punctuation, fold to one lower-case character each and are already composed, but for the exceptions: two letters, and
+#: four control characters that Python takes for blanks and the library doesn't.
 _PLAIN = 0x250
-_NOT_PLAIN = "İŉ"
+_NOT_PLAIN = re.compile("[İŉ\x1c-\x1f]")
 
 
 def plain(text: str) -> bool:
     """Whether the library's normaliser does no more to the text than folding case and blanks."""
+    if _NOT_PLAIN.search(text):
+        return False
     if text.isascii():
         return True
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return bool(((points < _PLAIN) | ((points >= 0x2010) & (points < 0x2028))).all()) and not any(c in text for c in _NOT_PLAIN)
+    return bool(((points < _PLAIN) | ((points >= 0x2010) & (points < 0x2028))).all())
 
 
 def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids end to end, number of each text), as the library's encode(text, add_special_tokens=False) has them.
 
-    Texts of plain characters are cut by the automaton and each distinct word is encoded by the library once; the others, and those that hold a special
-    token's string, are encoded by the library whole.
+    No pre-token of this tokenizer crosses a blank, so a text of plain characters is its words, and each distinct pre-token of them is encoded by the library once. Other
+    texts, and those that hold a special token's string, are encoded by the library whole.
     """
-    pre, special = encoder(path)
-    easy = np.array([plain(t) and not ("<|" in t and any(s in t for s in special)) for t in texts], bool)
-    if easy.all():
-        return pre.encode([t.lower() for t in texts])
-    some = np.flatnonzero(easy)
-    ids, n_easy = pre.encode([texts[i].lower() for i in some])
-    cut = np.split(ids, np.cumsum(n_easy)[:-1]) if len(some) else []
-    rows: list = [None] * len(texts)
-    for i, x in zip(some, cut):
-        rows[i] = x
-    for i in np.flatnonzero(~easy):
-        rows[i] = np.array(pre.lexicon.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-    return np.concatenate(rows).astype(np.uint32) if rows else np.zeros(0, np.uint32), np.array([len(r) for r in rows], np.int64)
+    lexicon, special = encoder(path)
+    ids, counts, words, size = [], [], [], []
+
+    def look_up() -> None:
+        slot = lexicon.slots(words)
+        n = lexicon.counts[slot].astype(np.int64)
+        ids.append(gather(lexicon.pool, lexicon.starts[slot], n))
+        counts.append(np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *size])]))
+        words.clear(), size.clear()
+
+    for t in texts:
+        if plain(t) and not ("<|" in t and any(s in t for s in special)):
+            own = t.lower().split()
+            words.extend(own)
+            size.append(len(own))
+            if len(words) > NEAR:
+                look_up()
+        else:
+            look_up()
+            ids.append(np.array(lexicon.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
+            counts.append(np.array([len(ids[-1])]))
+    look_up()
+    return np.concatenate(ids).astype(np.uint32), np.concatenate(counts).astype(np.int64)
 
 
 def cut_points(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +151,8 @@ def _stage(docs: DataFrame, path: str | None, name: str, end_id: int, width: int
                 ids, n = encode_texts(texts, file)
                 ids = np.insert(ids, np.cumsum(n), end_id)
                 n = n + 1
+                if int(ids.max()) >> 8 * width:
+                    raise ValueError(f"id {int(ids.max())} doesn't fit {width} bytes")
                 raw = ids.astype(f"<u{width}").tobytes()
                 ends, chunks = cut_points(ids, n)
                 begins = np.concatenate([[0], ends[:-1]])
@@ -190,7 +209,8 @@ def _root(nodes: DataFrame) -> DataFrame:
 
 
 def write_store(docs: DataFrame, at: str, path: str | None = None, name: str = "word_bpe_49k.json", end_id: int = 1, width: int = 2) -> Store:
-    """Encode every whole text (null: empty), append end_id, and write the store under the folder `at`. width: bytes an id; 2 holds 65,536 ids.
+    """Encode every whole text (null: empty), append end_id, and write the store under the folder `at`. width: bytes an id, 2 or 4; an id beyond
+    it is an error.
 
     Repeated rows and null doc_ids have recipes of their own; other columns are not read; an empty table makes an empty store.
     """

@@ -20,24 +20,24 @@ def tokenizer_path(name: str) -> str:
 
 
 def counter(path: str):
-    """The machine and lexicon for a byte-level BPE file; one a Python worker."""
+    """(machine, lexicon, special strings) for a byte-level BPE file; one a Python worker."""
     from .automata import Lexicon, PreTokenizer
 
     if path not in _made:
         lexicon = Lexicon(path, ids=False)
         special = {t.content: i for i, t in lexicon.tokenizer.get_added_tokens_decoder().items()}
-        _made[path] = PreTokenizer(lexicon, keep_spaces=True, long_numbers=True), special
+        _made[path] = PreTokenizer(keep_spaces=True, long_numbers=True), lexicon, special
     return _made[path]
 
 
 def count_texts(texts: list[str], path: str) -> np.ndarray:
     from .automata import split_special
 
-    pre, special = counter(path)
+    pre, lexicon, special = counter(path)
     if not any(s in t for s in special for t in texts):
-        return pre.counts(texts)
+        return pre.counts(texts, lexicon)
     parts, owner, found = split_special(texts, special)
-    n = np.bincount(owner, pre.counts(parts), len(texts)).astype(np.int64)
+    n = np.bincount(owner, pre.counts(parts, lexicon), len(texts)).astype(np.int64)
     for before, _ in found:
         n[owner[before - 1]] += 1
     return n

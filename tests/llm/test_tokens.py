@@ -155,3 +155,33 @@ def test_cuts(counts, seed):
 def test_crc_parts(a, b):
     part = idstore.crc_shift(np.array([zlib.crc32(a)]), np.array([len(b)]))[0]
     assert int(part) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
+def test_words_that_one_hash_cannot_tell_apart(spark, byte_bpe, word_bpe):
+    """A Thue-Morse word and its complement have one value under every polynomial hash modulo a power of two with an odd base."""
+    for a, b in ("eq", "zt", "ab"):
+        word = a
+        while len(word) < 2048:
+            word += word.translate(str.maketrans(a + b, b + a))
+        texts = [word, word.translate(str.maketrans(a + b, b + a))]
+        for t in (texts, texts[::-1]):
+            n = token_counts.count_texts(t, token_counts.tokenizer_path("byte_bpe_50k.json"))
+            assert n.tolist() == [len(e.ids) for e in byte_bpe.encode_batch(t, add_special_tokens=False)]
+            ids, k = idstore.encode_texts(t, token_counts.tokenizer_path("word_bpe_49k.json"))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(k)[:-1])] == [e.ids for e in word_bpe.encode_batch(t, add_special_tokens=False)]
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        assert sorted(map(tuple, idstore.ids_digest(d).collect())) == digest(list(enumerate(texts)), word_bpe)
+
+
+def test_a_small_memory_forgets_and_still_counts(byte_bpe, word_bpe):
+    texts = [f"word{i} and{i % 7}, don't {'x' * (i % 40)}!" for i in range(300)]
+    pre = automata.PreTokenizer(keep_spaces=True, long_numbers=True)
+    for lexicon in (automata.Lexicon(token_counts.tokenizer_path("byte_bpe_50k.json"), ids=False, most=20), automata.Lexicon(token_counts.tokenizer_path("byte_bpe_50k.json"), ids=False, room=100)):
+        assert [int(pre.counts([t], lexicon)[0]) for t in texts] == [len(e.ids) for e in byte_bpe.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ids_beyond_the_width_are_an_error(spark, docs, tmp_path):
+    with pytest.raises(PythonException, match="doesn't fit"):
+        idstore.write_store(docs, f"file://{tmp_path}/wide", end_id=70_000)
+    store = idstore.write_store(docs, f"file://{tmp_path}/wider", end_id=70_000, width=4)
+    assert {r.ids[-1] for r in idstore.read_ids(spark, store).collect()} == {70_000}
