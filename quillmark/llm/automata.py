@@ -17,7 +17,7 @@ from itertools import chain, repeat
 
 import numpy as np
 
-from .kernels import gather
+from .kernels import U, mix
 
 # Character classes.
 L, STMD, RR, VV, LL, EE, N, O, APOS, SP, WS, END = range(12)
@@ -139,63 +139,106 @@ def run(cls: np.ndarray, nxt: np.ndarray, marks: np.ndarray, block: int = 64, pr
     return np.ascontiguousarray(got.T).ravel()[:n]
 
 
+class ShortWords:
+    """A table from byte strings of 1 to 16 bytes to numbers, for whole arrays of them: open addressing, keys compared whole (both ends and the length)."""
+
+    MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+    def __init__(self, places: int = 1 << 17):
+        self.first, self.last = np.zeros(places, U), np.zeros(places, U)
+        self.length, self.number = np.zeros(places, np.uint8), np.zeros(places, np.int32)
+        self.used = 0
+
+    @classmethod
+    def keys(cls, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first eight bytes, last eight of those with more, length) of spans of at most 16 bytes; data has eight bytes to spare at its end."""
+        at = np.ndarray((max(len(data) - 7, 0),), U, data, strides=(1,))
+        n = ends - starts
+        return at[starts] & cls.MASKS[np.minimum(n, 8)], np.where(n > 8, at[np.maximum(ends - 8, 0)], U(0)), n.astype(np.uint8)
+
+    def _places(self, first: np.ndarray, last: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return (mix(first ^ (last + length) * U(0x9E3779B97F4A7C15)) & U(len(self.length) - 1)).astype(np.int64)
+
+    def find(self, first: np.ndarray, last: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Each key's number, or -1."""
+        out = np.full(len(first), -1, np.int64)
+        todo, at = np.arange(len(first)), self._places(first, last, length)
+        while len(todo):
+            same = (self.first[at] == first[todo]) & (self.last[at] == last[todo]) & (self.length[at] == length[todo])
+            out[todo[same]] = self.number[at[same]]
+            go = ~same & (self.length[at] != 0)
+            todo, at = todo[go], (at[go] + 1) & (len(self.length) - 1)
+        return out
+
+    def add(self, first: np.ndarray, last: np.ndarray, length: np.ndarray, number: np.ndarray) -> None:
+        """Keys that differ, none of which the table has."""
+        if 2 * (self.used + len(first)) > len(self.length):
+            old = np.flatnonzero(self.length)
+            kept = self.first[old], self.last[old], self.length[old], self.number[old]
+            self.__init__(1 << (2 * (self.used + len(first))).bit_length())
+            self.add(*kept)
+        self.used += len(first)
+        todo, at = np.arange(len(first)), self._places(first, last, length)
+        while len(todo):
+            free = np.flatnonzero(self.length[at] == 0)
+            p, one = np.unique(at[free], return_index=True)
+            won = todo[free[one]]
+            self.first[p], self.last[p], self.length[p], self.number[p] = first[won], last[won], length[won], number[won]
+            go = np.ones(len(todo), bool)
+            go[free[one]] = False
+            todo, at = todo[go], (at[go] + 1) & (len(self.length) - 1)
+
+
 class Lexicon:
-    """Emissions of strings (pre-tokens, or words of several): token counts, and the ids themselves if asked.
+    """Emissions of words (byte strings): token counts, and the ids themselves if asked, as the library has them for the word alone.
 
-    Strings are their own keys, so none is taken for another. All is forgotten beyond `most` paths or `room` characters. marked: the vocabulary marks the
-    ids that end a pre-token (`</w>`), so that many pre-tokens are encoded as one text and told apart by those marks. inner: strings are cut into pre-tokens
-    by that machine, and what that lexicon emits for them is put together.
+    Words are their own keys, so none is taken for another. All is forgotten beyond `most` words or `room` bytes of them. marked: the vocabulary marks the
+    ids that end a pre-token (`</w>`), so that many simple words are encoded as one text and told apart by those marks.
     """
 
-    def __init__(self, path: str, ids: bool, most: int = 600_000, room: int = 1 << 25, marked: bool = False, inner: "tuple[PreTokenizer, Lexicon] | None" = None):
+    def __init__(self, path: str, ids: bool, most: int = 2_000_000, room: int = 1 << 26, marked: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids, self.most, self.room, self.marked, self.inner = Tokenizer.from_file(path), ids, most, room, marked, inner
+        self.tokenizer, self.ids, self.most, self.room, self.marked = Tokenizer.from_file(path), ids, most, room, marked
         if marked:
             self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
             self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.short, self.long = ShortWords(), {}
         self.counts = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 16, np.int64)
-        self.pool, self.used, self.chars = np.zeros(1 << 20 if self.ids else 1, np.uint32), 0, 0
-
-    def emit(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(the library's ids of all words end to end, how many each has)."""
-        if self.inner is not None:
-            cut, lexicon = self.inner
-            joined, starts, ends, word = cut.spans(words)
-            slot = lexicon.slots([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
-            n = lexicon.counts[slot].astype(np.int64)
-            return gather(lexicon.pool, lexicon.starts[slot], n), np.bincount(word, n, len(words)).astype(np.int64)
-        if self.marked:
+        self.pool, self.used, self.n, self.bytes = np.zeros(1 << 20 if self.ids else 1, np.uint32), 0, 0, 0
+
+    def emit(self, words: list[str], simple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the library's ids of all words end to end, how many each has). simple: pre-tokens of each word, if all are known."""
+        if len(simple):
             flat = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-            last = np.flatnonzero(self.ends[flat])
-            if len(last) == len(words) and last[-1] == len(flat) - 1:
-                return flat, np.diff(last + 1, prepend=0)
+            last, inner = np.flatnonzero(self.ends[flat]), np.cumsum(simple)
+            if len(last) == inner[-1]:
+                return flat, np.diff(last[inner - 1] + 1, prepend=0)
         found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())) if self.ids else np.zeros(0, np.uint32), n
 
-    def slots(self, words: list[str]) -> np.ndarray:
-        """A place in counts (and starts) for each word, until the next call."""
-        slot = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        miss = np.flatnonzero(slot < 0).tolist()
-        if not miss:
-            return slot
-        new = list(dict.fromkeys([words[i] for i in miss]))
-        if self.known and (len(self.known) + len(new) > self.most or self.chars + sum(map(len, new)) > self.room):
-            self.forget()
-            miss, new = list(range(len(words))), list(dict.fromkeys(words))
-        first = len(self.known)
-        while len(self.counts) < first + len(new):
+    def _learn(self, words: list[bytes]) -> None:
+        """Number new words, n and on, and keep what the library emits for them."""
+        texts = [w.decode() for w in words]
+        if self.marked:  # simple words go the quick way, and first, in this order in `words` too
+            inner = np.fromiter(map(pre_tokens_of, texts), np.int64, len(texts))
+            order = np.argsort(inner == 0, kind="stable")
+            words[:] = [words[i] for i in order.tolist()]
+            texts, inner = [texts[i] for i in order.tolist()], inner[order][: np.count_nonzero(inner)]
+        else:
+            inner = np.zeros(0, np.int64)
+        while len(self.counts) < self.n + len(words):
             self.counts, self.starts = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.starts, np.zeros_like(self.starts)])
-        for i in range(0, len(new), 4096):
-            flat, n = self.emit(new[i : i + 4096])
-            at = slice(first + i, first + i + len(n))
+        cuts = sorted({*range(0, len(words), 4096), len(inner), len(words)})
+        for i, j in zip(cuts, cuts[1:]):
+            flat, n = self.emit(texts[i:j], inner[i:j])
+            at = slice(self.n, self.n + len(n))
             self.counts[at] = n
             if self.ids:
                 while len(self.pool) < self.used + len(flat):
@@ -203,12 +246,56 @@ class Lexicon:
                 self.pool[self.used : self.used + len(flat)] = flat
                 self.starts[at] = self.used + np.cumsum(n) - n
                 self.used += len(flat)
-        self.known.update(zip(new, range(first, first + len(new))))
-        self.chars += sum(map(len, new))
-        slot[miss] = np.fromiter(map(self.known.__getitem__, [words[i] for i in miss]), np.int64, len(miss))
+            self.n += len(n)
+
+    def slots(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A place in counts (and starts) for each span of the UTF-8 text raw, until the next call."""
+        slot = np.full(len(starts), -1, np.int64)
+        data = np.frombuffer(raw + bytes(8), np.uint8)
+        long = ends - starts > 16
+        few = np.flatnonzero(~long)
+        key = ShortWords.keys(data, starts[few], ends[few])
+        slot[few] = self.short.find(*key)
+        many = np.flatnonzero(long)
+        texts = [raw[a:b] for a, b in zip(starts[many].tolist(), ends[many].tolist())]
+        slot[many] = np.fromiter(map(self.long.get, texts, repeat(-1)), np.int64, len(texts))
+        miss = np.flatnonzero(slot < 0)
+        if not len(miss):
+            return slot
+        met: dict[bytes, int] = {}
+        for i, a, b in zip(miss.tolist(), starts[miss].tolist(), ends[miss].tolist()):
+            met.setdefault(raw[a:b], i)
+        size = sum(map(len, met))
+        if self.n and (self.n + len(met) > self.most or self.bytes + size > self.room):
+            self.forget()
+            return self.slots(raw, starts, ends)
+        self.bytes += size
+        words = list(met)
+        number = np.arange(self.n, self.n + len(words))
+        self._learn(words)
+        at = np.array([met[w] for w in words])
+        new_long = long[at]
+        self.long.update(zip([words[i] for i in np.flatnonzero(new_long).tolist()], number[new_long].tolist()))
+        brief = at[~new_long]
+        self.short.add(*ShortWords.keys(data, starts[brief], ends[brief]), number[~new_long])
+        again = np.flatnonzero(slot[few] < 0)
+        slot[few[again]] = self.short.find(*(k[again] for k in key))
+        late = [i for i, t in enumerate(texts) if slot[many[i]] < 0]
+        slot[many[late]] = [self.long[texts[i]] for i in late]
         return slot
 
 
+#: Capital letters under U+0250 whose lower case is two characters.
+_TWO = "İŉ"
+_MARKS = ".,;:!?)]}\"#"
+
+
+def pre_tokens_of(word: str) -> int:
+    """2 for letters of Latin with marks at the end, 1 without these; 0: can't tell."""
+    core = word.rstrip(_MARKS)
+    return (1 + (len(core) < len(word))) if core.isalpha() and (core.isascii() or (max(core) < "\u0250" and not any(c in core for c in _TWO))) else 0
+
+
 class PreTokenizer:
     """Cuts texts into pre-tokens with a machine."""
 
@@ -238,7 +325,12 @@ class PreTokenizer:
     def counts(self, texts: list[str], lexicon: Lexicon) -> np.ndarray:
         """How many tokens the lexicon emits for each text's pre-tokens."""
         joined, starts, ends, doc = self.spans(texts)
-        slot = lexicon.slots([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+        raw = joined.encode()
+        if len(raw) > len(joined):
+            head = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+            place = np.append(np.flatnonzero(head), len(raw))
+            starts, ends = place[starts], place[ends]
+        slot = lexicon.slots(raw, starts, ends)
         return np.bincount(doc, lexicon.counts[slot], len(texts)).astype(np.int64)
 
 

@@ -14,27 +14,23 @@ A reader takes documents from recipes, ids from chunks, and recomputes every add
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import binary_array, materialize, pieces, shared_dir, ship
-from .kernels import gather, prefix_sums, span_hashes
+from .frames import binary_array, materialize, pieces, shared_dir, ship, text_bytes
+from .kernels import gather, prefix_sums, span_hashes, word_spans
 from .token_counts import tokenizer_path
 
 WINDOW = 16
 LEAST, USUAL, MOST = 64, 256, 2048
 BLOCK = 1024
-#: Words that are looked up at a time, few enough to lie in the processor's cache.
-NEAR = 16384
 ADDRESS = 16
 
 _made: dict = {}
@@ -47,61 +43,32 @@ class Store:
 
 
 def encoder(path: str):
-    """(lexicon of words with their ids, special strings); one a Python worker."""
-    from .automata import Lexicon, PreTokenizer
+    """The lexicon of words with their ids; one a Python worker."""
+    from .automata import Lexicon
 
     if path not in _made:
-        lexicon = Lexicon(path, ids=True, most=400_000, inner=(PreTokenizer(keep_spaces=False, long_numbers=False), Lexicon(path, ids=True, marked=True)))
-        special = {t.content: i for i, t in lexicon.tokenizer.get_added_tokens_decoder().items()}
-        _made[path] = lexicon, special
+        _made[path] = Lexicon(path, ids=True, marked=True)
     return _made[path]
 
 
-#: Characters up to here, and general punctuation, fold to one lower-case character each and are already composed, but for the exceptions: two letters, and
-#: four control characters that Python takes for blanks and the library doesn't.
-_PLAIN = 0x250
-_NOT_PLAIN = re.compile("[İŉ\x1c-\x1f]")
+def encode_bytes(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids end to end, number of each text), as the library's encode(text, add_special_tokens=False) has them, of UTF-8 texts end to end.
 
-
-def plain(text: str) -> bool:
-    """Whether the library's normaliser does no more to the text than folding case and blanks."""
-    if _NOT_PLAIN.search(text):
-        return False
-    if text.isascii():
-        return True
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return bool(((points < _PLAIN) | ((points >= 0x2010) & (points < 0x2028))).all())
+    This tokenizer's normaliser and pre-tokenizer take each blank for a border: nothing composes, folds or joins across it, and special strings hold none. So
+    a text's ids are those of its words, and each distinct word is encoded by the library once. A-Z are folded beforehand where no special string can be.
+    """
+    lexicon = encoder(path)
+    raw = data.tobytes()
+    if b"<|" not in raw:
+        raw = raw.lower()
+    starts, ends, first = word_spans(data, offsets)
+    slot = lexicon.slots(raw, starts, ends)
+    n = lexicon.counts[slot].astype(np.int64)
+    return gather(lexicon.pool, lexicon.starts[slot], n), np.diff(np.concatenate([[0], np.cumsum(n)])[first])
 
 
 def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids end to end, number of each text), as the library's encode(text, add_special_tokens=False) has them.
-
-    No pre-token of this tokenizer crosses a blank, so a text of plain characters is its words, and each distinct pre-token of them is encoded by the library once. Other
-    texts, and those that hold a special token's string, are encoded by the library whole.
-    """
-    lexicon, special = encoder(path)
-    ids, counts, words, size = [], [], [], []
-
-    def look_up() -> None:
-        slot = lexicon.slots(words)
-        n = lexicon.counts[slot].astype(np.int64)
-        ids.append(gather(lexicon.pool, lexicon.starts[slot], n))
-        counts.append(np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *size])]))
-        words.clear(), size.clear()
-
-    for t in texts:
-        if plain(t) and not ("<|" in t and any(s in t for s in special)):
-            own = t.lower().split()
-            words.extend(own)
-            size.append(len(own))
-            if len(words) > NEAR:
-                look_up()
-        else:
-            look_up()
-            ids.append(np.array(lexicon.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
-            counts.append(np.array([len(ids[-1])]))
-    look_up()
-    return np.concatenate(ids).astype(np.uint32), np.concatenate(counts).astype(np.int64)
+    return encode_bytes(*text_bytes(pa.array(texts, pa.large_string())), path)
 
 
 def cut_points(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +114,7 @@ def _stage(docs: DataFrame, path: str | None, name: str, end_id: int, width: int
         file = path or tokenizer_path(name)
         for batch in batches:
             for part in pieces(batch, "text", 1 << 21):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids, n = encode_texts(texts, file)
+                ids, n = encode_bytes(*text_bytes(part.column("text")), file)
                 ids = np.insert(ids, np.cumsum(n), end_id)
                 n = n + 1
                 if int(ids.max()) >> 8 * width:
