@@ -57,29 +57,47 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
+def running(rows: DataFrame, by: list[Column], sums: list[str]) -> DataFrame:
+    """Adds rn (from 1) and, for each of sums, its total before the row, `<sum>_before`, in the order `by`, which leaves no ties.
+
+    Rows are range-partitioned and numbered within their parts; only a row a part is summed in one place.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(rows.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()), "mix-order")
+    totals = placed.groupBy("part").agg(F.count("*").alias("rn_part"), *(F.sum(c).alias(f"{c}_part") for c in sums))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("part", *(F.coalesce(F.sum(f"{c}_part").over(earlier), F.lit(0)).alias(f"{c}_part") for c in ("rn", *sums)))
+    own = Window.partitionBy("part").orderBy(*by)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(totals, "part").withColumn("rn", F.col("rn_part") + F.row_number().over(own))
+    for c in sums:
+        out = out.withColumn(f"{c}_before", F.col(f"{c}_part") + F.coalesce(F.sum(c).over(before), F.lit(0)))
+    return out.drop("part", *(f"{c}_part" for c in ("rn", *sums)))
+
+
 def targets(sources: DataFrame, c: Curriculum) -> DataFrame:
     """(skey, source_size) -> adds cls (place in the cycle of weights), target: shares of the total by weight, none above repeats x its size.
 
-    Sources in ascending size/weight are full until the rate at which the rest can be shared is below their ratio. The table has a row a source.
+    Sources in ascending size/weight are full until the rate at which the rest can be shared is below their ratio. The table has a row a source; three
+    numbers of it reach the driver.
     """
-    order = Window.orderBy("skey")
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in c.weights)), F.col("cls") + 1)
-    s = sources.withColumn("cls", (F.row_number().over(order) - 1) % len(c.weights)).withColumn("w", w).withColumn("full", F.col("source_size") * c.repeats)
-    by = Window.orderBy(F.col("full") / F.col("w"), "skey")
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("rate", (F.sum("source_size").over(every) - F.coalesce(F.sum("full").over(before), F.lit(0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    s = s.withColumn("rn", F.row_number().over(by)).withColumn("open", F.col("rate") <= F.col("full") / F.col("w"))
-    s = s.withColumn("level", F.min_by("rate", F.when(F.col("open"), F.col("rn"))).over(every))
-    return s.select("skey", "source_size", "cls", F.coalesce(F.least(F.col("full").cast("double"), F.col("level") * F.col("w")), F.col("full").cast("double")).alias("target"))
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in c.weights)), (F.col("cls") + 1).cast("int"))
+    s = running(sources.select("skey", "source_size"), [F.col("skey")], []).withColumn("cls", (F.col("rn") - 1) % len(c.weights)).drop("rn")
+    s = s.withColumn("w", w).withColumn("full", F.col("source_size") * c.repeats)
+    s = running(s, [F.col("full") / F.col("w"), F.col("skey")], ["full", "w"])
+    size, weight = s.agg(F.sum("source_size"), F.sum("w")).first()
+    rate = (F.lit(size) - F.col("full_before")) / (F.lit(weight) - F.col("w_before"))
+    level = s.filter(rate <= F.col("full") / F.col("w")).agg(F.min_by(rate, "rn")).first()[0]
+    full = F.col("full").cast("double")
+    return s.select("skey", "source_size", F.col("cls").cast("int").alias("cls"), (full if level is None else F.least(full, F.lit(level) * F.col("w"))).alias("target"))
 
 
 def mix(docs: DataFrame, sizes: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
-    """Adds size, source_size, target, taken, copies, position to docs.
+    """Adds size, source_size, target, taken, copies, cls, before to docs.
 
     docs has doc_id, source, size (long) and any other columns; sizes holds the same rows' (source, doc_id, size) and is read for the sums alone.
     Words are taken in the order of md5(doc_id): all of a source floor(target / size) times, then the remainder from the start of that order, the
-    last document in part. taken is in words; copies = ceil(taken / size). position is that of the first copy, null if none is taken.
+    last document in part. taken is in words; copies = ceil(taken / size); before is the number of words before the document in its source's order.
     Null sources are one source, the last; null doc_ids come first in order; repeated rows are taken one by one; documents without words have size and
     taken 0. Empty tables give no rows. Running sums go by (source, bucket of the order key), so that a hot source is spread over all tasks.
     """
@@ -95,34 +113,53 @@ def mix(docs: DataFrame, sizes: DataFrame, c: Curriculum = Curriculum()) -> Data
     whole = F.when(F.col("source_size") > 0, F.floor(total / F.col("source_size"))).otherwise(0).cast("long")
     rest = total - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
-    share = F.least(F.lit(1.0), (F.col("before") + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)))
-    position = F.coalesce(*(F.when(F.col("cls") == i, invert_demand(share, c.schedules[i % len(c.schedules)])) for i in range(len(c.weights))))
     rows = rows.withColumn("taken", taken).withColumn("copies", F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("long"))
-    return rows.withColumn("position", F.when(F.col("taken") > 0, position)).drop("skey", "okey", "bucket", "base", "before", "cls")
+    return rows.drop("skey", "okey", "bucket", "base")
+
+
+def words_of_use(use: Column) -> Column:
+    """How many words of a row of mix its use-th use takes: all, but for the last one."""
+    return F.least(F.col("size"), F.col("taken") - (use - 1) * F.col("size"))
+
+
+def position(use: Column, c: Curriculum) -> Column:
+    """The training time of a row's use-th use: where its source's schedule, integrated, has asked for the words of all uses before it and half of its own.
+
+    A source's uses go round its documents, so the words before are those of (use - 1) whole rounds and those before the document in this one.
+    """
+    demand = (use - 1) * F.col("source_size") + F.col("before") + words_of_use(use) / 2
+    share = F.least(F.lit(1.0), demand / F.greatest(F.col("target"), F.lit(1.0)))
+    return F.coalesce(*(F.when(F.col("cls") == i, invert_demand(share, c.schedules[i % len(c.schedules)])) for i in range(len(c.weights))))
+
+
+def uses(mixed: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
+    """A row for each use of a row of mix: adds use (from 1), n_words that it takes, and its position; in no order."""
+    each = mixed.filter("taken > 0").withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.withColumn("n_words", words_of_use(F.col("use"))).withColumn("position", position(F.col("use"), c)).drop("cls", "before")
 
 
 def mix_digest(docs: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
-    """The query's columns, range-sorted by training position (documents not taken first)."""
+    """The query's columns, copies, and the training positions of the first and the last use; range-sorted by the first (documents not taken come first)."""
     sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
-    out = mix(sized, sized, c).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    at = lambda use: F.when(F.col("taken") > 0, F.round(position(use, c), 9))
+    out = mix(sized, sized, c).select("doc_id", "size", "source_size", "target", "taken", "copies", at(F.lit(1)).alias("position"), at(F.col("copies")).alias("last_position"))
     n = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def mixed_documents(docs: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each time that a document is used, a partial use cut after its share of words. In training order.
+    """The mix itself, with the columns of docs: a row for each time that a document is used, a partial use cut after its share of words. In training order:
+    range-sorted by the position of each use.
 
     docs' rows travel as one struct, so that no name of theirs clashes.
     """
     columns = docs.columns
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*columns).alias("row"))
-    kept = mix(sized, materialize(sized.select("doc_id", "source", "size"), "mix-sizes"), c).filter("taken > 0")
-    uses = kept.withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    left, text = F.col("taken") - (F.col("use") - 1) * F.col("size"), F.col("row.text")
+    each = uses(mix(sized, materialize(sized.select("doc_id", "source", "size"), "mix-sizes"), c), c)
+    text, part = F.col("row.text"), F.col("n_words") < F.col("size")
     words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), 1)
-    cut = F.rtrim(F.concat(F.regexp_extract(text, r"\A[\x20\x09-\x0D]*", 0), F.array_join(F.slice(words, 1, left.cast("int")), "")))
-    out = F.when(left >= F.col("size"), text).otherwise(cut)
-    made = {"text": out} | ({"n_chars": F.when(left >= F.col("size"), F.col("row.n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
+    cut = F.rtrim(F.concat(F.regexp_extract(text, r"\A[\x20\x09-\x0D]*", 0), F.array_join(F.slice(words, 1, F.col("n_words").cast("int")), "")))
+    made = {"text": F.when(part, cut).otherwise(text)} | ({"n_chars": F.when(part, F.length(cut)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = uses.repartitionByRange(n, "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    ordered = each.repartitionByRange(n, "position", "doc_id", "use").sortWithinPartitions("position", "doc_id", "use")
     return ordered.select(*(made[k].alias(k) if k in made else F.col("row")[k].alias(k) for k in columns))

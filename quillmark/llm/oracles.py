@@ -5,8 +5,8 @@ from __future__ import annotations
 _WORD = r"[^\x20\x09-\x0D]+"
 
 #: The curriculum's knots in mixing.Curriculum, inverted by hand: class 0 falls from 1.5 to .5, class 1 is flat, class 2 rises from .25 by .75 to 2.25.
-_POSITION = """CASE cls WHEN 0 THEN 2 * u / (1.5 + sqrt(1.5 * 1.5 - 2 * u)) WHEN 1 THEN u
-ELSE CASE WHEN u <= 0.25 THEN 2 * u / (0.25 + sqrt(0.25 * 0.25 + 2 * u)) ELSE 0.5 + 2 * (u - 0.25) / (0.75 + sqrt(0.75 * 0.75 + 6 * (u - 0.25))) END END"""
+_POSITION = """round(CASE cls WHEN 0 THEN 2 * {u} / (1.5 + sqrt(1.5 * 1.5 - 2 * {u})) WHEN 1 THEN {u}
+ELSE CASE WHEN {u} <= 0.25 THEN 2 * {u} / (0.25 + sqrt(0.25 * 0.25 + 2 * {u})) ELSE 0.5 + 2 * ({u} - 0.25) / (0.75 + sqrt(0.75 * 0.75 + 6 * ({u} - 0.25))) END END, 9)"""
 
 OP4 = f"""
 WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS okey FROM documents),
@@ -18,8 +18,11 @@ l AS (SELECT *, arg_min(rate, rn) FILTER (rate <= most / w) OVER () AS level FRO
 t AS (SELECT skey, source_size, cls, coalesce(least(CAST(most AS DOUBLE), level * w), CAST(most AS DOUBLE)) AS target FROM l),
 c AS (SELECT d.*, source_size, cls, target, CAST(round(target) AS BIGINT) AS total, coalesce(CAST(sum(size) OVER (PARTITION BY skey ORDER BY okey, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before FROM d JOIN t USING (skey)),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN total // source_size ELSE 0 END AS whole FROM c),
-k AS (SELECT *, whole * size + greatest(0, least(size, total - whole * source_size - before)) AS taken, least(1.0, (before + size / 2) / greatest(target, 1.0)) AS u FROM q)
-SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round({_POSITION}, 9) END AS position FROM k
+k AS (SELECT *, whole * size + greatest(0, least(size, total - whole * source_size - before)) AS taken FROM q),
+n AS (SELECT *, CASE WHEN size > 0 THEN CAST(ceil(taken / size) AS BIGINT) ELSE 0 END AS copies FROM k),
+-- The words of a source's rounds lie end to end: a use's middle word is after all rounds before it.
+v AS (SELECT *, least(1.0, (before + least(size, taken) / 2) / greatest(target, 1.0)) AS u1, least(1.0, (source_size * (copies - 1) + before + (taken - size * (copies - 1)) / 2) / greatest(target, 1.0)) AS u2 FROM n)
+SELECT doc_id, size, source_size, target, taken, copies, CASE WHEN taken > 0 THEN {_POSITION.format(u='u1')} END AS position, CASE WHEN taken > 0 THEN {_POSITION.format(u='u2')} END AS last_position FROM v
 """
 
 

@@ -120,6 +120,36 @@ def test_op4(docs, odd, none):
     assert n == sum(r.taken for r in mixing.mix_digest(docs).collect())
 
 
+def test_op4_words_follow_the_schedule(spark):
+    """Each source's words by tenths of training are what its weights, integrated numerically, ask for, to within a document; copies lie apart."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sized = d.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    rows = mixing.uses(mixing.mix(sized, sized)).collect()
+    c = mixing.Curriculum()
+    t = np.linspace(0, 1, 100_001)
+    by_source: dict = {}
+    for r in rows:
+        by_source.setdefault(r.source, []).append(r)
+    most = 0
+    for k, source in enumerate(sorted(by_source)):
+        own = by_source[source]
+        w = np.interp(t, *zip(*c.schedules[k % 3]))
+        asked = np.concatenate([[0], np.cumsum((w[1:] + w[:-1]) / 2)])
+        asked *= own[0].target / asked[-1]
+        got = np.cumsum(np.histogram([r.position for r in own], 10, (0, 1), weights=[r.n_words for r in own])[0])
+        assert np.abs(got - asked[10_000::10_000]).max() <= max(r.n_words for r in own)
+        at: dict = {}
+        for r in own:
+            at.setdefault(r.doc_id, []).append((r.use, r.position))
+        for u in at.values():
+            u = [p for _, p in sorted(u)]
+            most = max(most, len(u))
+            assert all(b - a > 0.2 for a, b in zip(u, u[1:]))
+    assert most > 1
+    order = [(r.position, r.doc_id, r.use) for r in sorted(rows, key=lambda r: (r.position, r.doc_id, r.use))]
+    assert [i for _, i, _ in order] == [r.doc_id for r in mixing.mixed_documents(d).collect()]
+
+
 def test_targets_by_hand(spark):
     s = spark.createDataFrame([("0a", 10), ("0b", 1000), ("0c", 90), ("1", 100)], "skey string, source_size long")
     got = {r.skey: r.target for r in mixing.targets(s, mixing.Curriculum()).collect()}
