@@ -59,6 +59,28 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Into how many parts the rows of one join key are dealt where that key may be very frequent.
+SALTS = 64
+
+
+def join_hot(rows: DataFrame, one: DataFrame, on: str, by: Column, how: str = "inner") -> DataFrame:
+    """rows with the columns of `one`, which has each value of `on` at most once, where one value may have a large share of all rows.
+
+    Rows are dealt by (on, hash of `by` modulo SALTS); only the pairs that occur, at most SALTS a value, meet `one` by the value alone.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    dealt = salted.select(on, "__salt").distinct().join(one, on)
+    return salted.join(dealt, [on, "__salt"], how).drop("__salt")
+
+
+def least_of(rows: DataFrame, on: str, value: str, name: str, by: Column) -> DataFrame:
+    """rows and, as `name`, the least value of those with the same `on`; one value of `on` may have a large share of all rows. Sums go up in two steps."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(on, "__salt").agg(F.min(value).alias("__least"))
+    least = parts.groupBy(on).agg(F.min("__least").alias(name))
+    return salted.join(parts.select(on, "__salt").join(least, on), [on, "__salt"]).drop("__salt")
+
+
 def let(value: Column, body) -> Column:
     """Bind value once for use inside body: the optimiser can't inline it into lambdas that run once an element."""
     return F.element_at(F.transform(F.array(value), body), 1)

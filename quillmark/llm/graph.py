@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import materialize
+from .frames import least_of, materialize
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -34,17 +34,15 @@ def _sign(edges: DataFrame) -> tuple:
 
 
 def _large_star(e: DataFrame) -> DataFrame:
-    """Each node's larger neighbours go to its smallest one."""
+    """Each node's larger neighbours go to its smallest one. A star's hub has as many rows as leaves, so its rows are dealt by the other end too."""
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
+    return least_of(both, "u", "v", "m", F.col("v")).filter("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the smallest of them."""
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
-    moved = e.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return least.select("a", F.col("m").alias("b")).union(moved).distinct()
+    near = least_of(e, "a", "b", "m", F.col("b"))
+    return near.select(F.when(F.col("b") > F.col("m"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def union_find(n: int, pairs) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import materialize, pieces, ship
+from .frames import join_hot, least_of, materialize, pieces, ship
 from .graph import components, union_find
 
 RADIUS = 2
@@ -180,8 +180,7 @@ def groups(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = rows.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least"))
     comp = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(smallest, "root")
+    return least_of(rooted, "root", "least", "component_id", F.col("fp")).select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -191,7 +190,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     null doc_id is never the smallest; a group of nulls alone has component_id null. An empty table gives no rows; other columns are not read.
     """
     rows = materialize(fingerprints(docs), "simhash-rows")
-    found = rows.join(groups(rows, radius), F.col("__fp") == F.col("fp"))
+    found = join_hot(rows.withColumnRenamed("__fp", "fp"), groups(rows, radius), "fp", F.col("doc_id"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -199,5 +198,5 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group: one that has its smallest doc_id (any one of them, or of all where each doc_id is null)."""
     rows = materialize(fingerprints(docs.withColumn("__rid", F.monotonically_increasing_id()), (*docs.columns, "__rid")), "simhash-docs")
     ids = rows.select("doc_id", "__fp", "__rid")
-    found = ids.join(groups(ids, radius), F.col("__fp") == F.col("fp")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = join_hot(ids.withColumnRenamed("__fp", "fp"), groups(ids, radius), "fp", F.col("__rid")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return rows.join(found.groupBy("root").agg(F.min("__rid").alias("__rid")), "__rid", "left_semi").select(*docs.columns)
