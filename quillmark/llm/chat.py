@@ -78,32 +78,33 @@ def format_conversations(rows: DataFrame, template: Template = Template()) -> Da
     )
 
 
-def with_loss_spans(formatted: DataFrame) -> DataFrame:
-    """Adds loss_spans array<struct<start,length>>: code points of `formatted` under the loss mask, in order."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"))
-
-    def step(acc, s):
-        n = F.length(s["text"]).cast("long")
-        span = F.array(F.struct(acc["at"].alias("start"), n.alias("length")))
-        return F.struct((acc["at"] + n).alias("at"), F.when(s["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return formatted.withColumn("loss_spans", F.aggregate("segments", zero, step, lambda a: a["spans"]))
+def with_loss_mask(formatted: DataFrame) -> DataFrame:
+    """Adds loss_mask array<struct<length, loss>>: runs of code points that cover `formatted` from its start to its end, a run a segment."""
+    return formatted.withColumn("loss_mask", F.transform("segments", lambda s: F.struct(F.length(s["text"]).cast("long").alias("length"), s["loss"].alias("loss"))))
 
 
 def read_back(output: DataFrame, template: Template = Template()) -> DataFrame:
-    """From (conv_id, formatted, loss_spans) alone: turns array<struct<role, text>> and loss_texts array<string>, unescaped."""
+    """From (conv_id, formatted, loss_mask) alone: turns array<struct<role, text>> and loss_texts array<string>, unescaped.
+
+    `formatted` is cut once, and its turns' texts are held against the mask's runs in order (a frame, then header, text and close of each turn, then a frame);
+    one that is not as long as its run is an error. So a conversation takes time in proportion to its length.
+    """
     t = template
     quote = lambda s: "".join("\\" + c if not c.isalnum() and c not in " " else c for c in s)
     turn = f"(?s){quote(t.open_turn)}([^{quote(t.open_end)}]*){quote(t.open_end)}(.*?){quote(t.close_turn)}"
     roles, texts = F.regexp_extract_all("formatted", F.lit(turn), 1), F.regexp_extract_all("formatted", F.lit(turn), 2)
+    runs = F.filter("loss_mask", lambda _, i: i % 3 == 2)
+    under = F.transform(F.arrays_zip(texts.alias("text"), runs.alias("run")), lambda z: F.struct(
+        F.when(F.length(z["text"]) == z["run"]["length"], z["text"]).otherwise(F.raise_error(F.lit("a turn's text and its run of the mask differ in length"))).alias("text"), z["run"]["loss"].alias("loss")
+    ))
     return output.withColumn("turns", F.arrays_zip(F.transform(roles, unescape_role).alias("role"), F.transform(texts, unescape).alias("text"))).withColumn(
-        "loss_texts", F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+        "loss_texts", F.transform(F.filter(under, lambda z: z["loss"]), lambda z: unescape(z["text"]))
     )
 
 
 def chat_digest(rows: DataFrame, template: Template = Template()) -> DataFrame:
-    """The query's columns, all taken from the formatted strings and loss spans."""
-    out = with_loss_spans(format_conversations(rows, template)).select("conv_id", "valid", "formatted", "loss_spans")
+    """The query's columns, all taken from the formatted strings and loss masks."""
+    out = with_loss_mask(format_conversations(rows, template)).select("conv_id", "valid", "formatted", "loss_mask")
     back = read_back(out, template)
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")

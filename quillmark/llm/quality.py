@@ -10,11 +10,12 @@ from .frames import WORD, materialize
 EMPTY = "cast(array() as array<bigint>)"
 
 
-def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
+def document_rules(docs: DataFrame, host: str = "source", spare: int = 0) -> DataFrame:
     """doc_id, host and the base counts of each text (null: empty).
 
     A repeated 3-word window is found within its own text without a shuffle: 64-bit window hashes, their low bits replaced by the window's place,
-    are sorted, so that equal windows become neighbours; neighbours are then compared by their whole 64 bits.
+    are sorted, so that equal windows become neighbours; neighbours are then compared by their whole 64 bits. spare: so many more low bits are
+    left out of the first sort.
     """
     line = r"[^\x20\x09-\x0D]"
     base = docs.select("doc_id", F.col(host).alias("host"), F.coalesce("text", F.lit("")).alias("t"))
@@ -31,14 +32,19 @@ def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
         "doc_id", "host", "word_chars", "n_symbols", n.cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         hashes.alias("h"),
-        (F.expr("shiftleft(1L, cast(ceil(log2(size(w) + 2)) as int))") - 1).alias("low"),
+        (F.expr(f"shiftleft(1L, cast(ceil(log2(size(w) + 2)) as int) + {spare})") - 1).alias("low"),
     )
     high = F.bitwise_not(F.col("low"))
     s3 = s2.withColumn("p", F.sort_array(F.transform("h", lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long")))))
 
+    at = lambda v: F.get(F.col("h"), v.bitwiseAND(F.col("low")).cast("int"))
+    # Different hashes with equal high bits could lie between equal ones: such a text's places are sorted by whole hashes.
+    mixed_up = F.exists(F.transform("p", lambda x, i: (i > 0) & (F.get(F.col("p"), i - 1).bitwiseAND(high) == x.bitwiseAND(high)) & (at(F.get(F.col("p"), i - 1)) != at(x))), lambda b: F.coalesce(b, F.lit(False)))
+    whole = F.transform(F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i")))), lambda s: s["i"])
+    s3 = s3.withColumn("p", F.when(mixed_up, whole).otherwise(F.col("p")))
+
     def same(x, y):
-        at = lambda v: F.get(F.col("h"), v.bitwiseAND(F.col("low")).cast("int"))
-        return (x.bitwiseAND(high) == y.bitwiseAND(high)) & (at(x) == at(y))
+        return at(x) == at(y)
 
     again = F.filter("p", lambda x, i: F.coalesce(same(x, F.get(F.col("p"), i + 1)), F.lit(False)) | F.coalesce((i > 0) & same(F.get(F.col("p"), i - 1), x), F.lit(False)))
     s4 = s3.withColumn("at", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.col("low")))))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import materialize, pieces, ship, text_bytes
+from .frames import join_hot, materialize, pieces, ship, text_bytes
 from .kernels import word_spans
 
 KINDS = ("assign", "access", "hex", "owned")
@@ -111,24 +111,26 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def secret_spans(docs: DataFrame, repository: str = "source", few: int = 2) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example: one row for each of docs' rows.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example, n_repositories, n_owners: one row for each of docs' rows.
 
     spans has the base spans and the `owned` ones: candidates that at most `few` owners have. n_live and n_example split all candidates, base ones too,
-    by that same verdict. Null and empty texts have no spans. Repeated rows, ties and null doc_ids are rows like any other; columns beside doc_id, text
+    by that same verdict; n_repositories and n_owners are those of its most widely used candidate (0: none). Null and empty texts have no spans. Repeated rows, ties and null doc_ids are rows like any other; columns beside doc_id, text
     and the repository are not read; an empty table gives no rows. Texts stay in their partitions; only candidates are shuffled, 60 bytes each.
     """
     rows = materialize(_scan(docs, repository), "secrets")
     found = rows.filter(F.size("found") > 0).select("rid", "repository", F.explode("found").alias("f")).select("rid", "repository", "f.*")
-    judged = found.join(ownership(found), "hash").withColumn("live", F.col("n_owners") <= few)
+    judged = join_hot(found, ownership(found), "hash", F.col("rid")).withColumn("live", F.col("n_owners") <= few)
     span = F.struct("start", "kind", "end")
     by_row = judged.groupBy("rid").agg(
         F.array_sort(F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), span))).alias("kept"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_example"),
+        F.max("n_repositories").alias("n_repositories"),
+        F.max("n_owners").alias("n_owners"),
         *(F.count_if((F.col("kind") == i) & (F.lit(i < 3) | F.col("live"))).alias(f"n_{k}") for i, k in enumerate(KINDS)),
     )
     kinds = F.array(*(F.lit(k) for k in KINDS))
     told = F.array_join(F.transform("kept", lambda s: F.concat_ws(":", F.get(kinds, s["kind"].cast("int")), s["start"], s["end"])), ",")
     n = lambda k: F.coalesce(k, F.lit(0)).cast("long").alias(k)
     out = rows.select("rid", "doc_id", "base_sha256").join(by_row, "rid", "left")
-    return out.select("doc_id", n("n_assign"), n("n_access"), n("n_hex"), "base_sha256", F.coalesce(told, F.lit("")).alias("spans"), n("n_owned"), n("n_live"), n("n_example"))
+    return out.select("doc_id", n("n_assign"), n("n_access"), n("n_hex"), "base_sha256", F.coalesce(told, F.lit("")).alias("spans"), n("n_owned"), n("n_live"), n("n_example"), n("n_repositories"), n("n_owners"))
