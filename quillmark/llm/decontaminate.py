@@ -1,9 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
-A window has as many words as the item it is held against, or is the whole document if that is shorter. Both are bags of 5-word shingles (an item of fewer words is one shingle). Windows that can
-reach the similarity at all must hold most of their shingles in common with the item, so only those are fingerprinted; this prefilter is exact. Item
-fingerprints lie in one table for each of eight 8-bit blocks: within `radius` bits, one block differs by radius / 8 bits at most, so looking up each
-block's neighbourhood misses none within the radius. What is found is verified by weighted Jaccard similarity of the two bags.
+A window has as many words as the item it is held against, or is the whole document if that is shorter. Both are bags of 5-word shingles (an item of fewer
+words is one shingle). A window that is as similar as asked for has one of the item's rarest shingles and most of all of them, so windows without these are
+not fingerprinted; this prefilter is exact. Item fingerprints lie in one table for each of eight 8-bit blocks: within `radius` bits, one block differs by
+radius / 8 bits at most, so looking up each block's neighbourhood misses none within the radius. What is found is verified by weighted Jaccard similarity of
+the two bags.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .frames import pieces, ship, text_bytes
 from .kernels import U, expand, fold, prefix_sums, span_hashes, window_hashes, word_spans
@@ -24,17 +26,21 @@ from .kernels import U, expand, fold, prefix_sums, span_hashes, window_hashes, w
 #: Words are runs of ASCII letters, digits and bytes over 127, so that case, blanks and marks don't hide a passage.
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
+#: Pairs of a position and an item that are told apart at a time.
+PAIRS = 1 << 22
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """radius 26 of 64 bits: bags that are 0.8 alike differ in about 10, deviation 3. items: of the benchmark in one broadcast block; more take more passes."""
+    """radius 26 of 64 bits: bags that are 0.8 alike differ in about 10, deviation 3. items, letters: most of the benchmark in one broadcast block; more take
+    more passes over the documents."""
 
     shingle: int = 5
     similarity: float = 0.8
     radius: int = 26
     items: int = 20_000
+    letters: int = 1 << 25
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,12 +82,15 @@ class Index:
         self.fp = simhash(np.concatenate(self.bags), self.size) if self.bags else np.zeros(0, np.uint64)
         # How late the first shingle that the item has can be in a window of the item's size.
         self.slack = self.size - self.common(self.size, self.size)
-        # Shingles to entries.
-        self.by_width = {}
+        # Rare shingles to entries. A window as similar as asked for misses few of an item's shingles, so it has one of any that many and one more; the
+        # rarest of the block are taken, which keeps phrases that many items share from bringing all of these.
+        self.by_width, self.own = {}, [np.unique(b) for b in self.bags]
         for k in np.unique(self.width):
             at = np.flatnonzero(self.width == k)
-            h = np.concatenate([np.unique(self.bags[i]) for i in at])
-            e = np.repeat(at, [len(np.unique(self.bags[i])) for i in at])
+            value, n = np.unique(np.concatenate([self.own[i] for i in at]), return_counts=True)
+            rare = [np.unique(b[np.argsort(n[np.searchsorted(value, b)], kind="stable")[: len(b) - int(np.ceil(len(b) * s.similarity - 1e-9)) + 1]]) for b in (self.bags[i] for i in at)]
+            h = np.concatenate(rare)
+            e = np.repeat(at, [len(r) for r in rare])
             order = np.argsort(h, kind="stable")
             seen = np.zeros(1 << 20, bool)
             seen[(h >> U(44)).astype(np.int64)] = True
@@ -113,22 +122,20 @@ class Index:
                 continue
             at = np.flatnonzero(seen[(shingles >> U(44)).astype(np.int64)])
             lo, hi = np.searchsorted(h, shingles[at], "left"), np.searchsorted(h, shingles[at], "right")
-            row, nth = expand(hi - lo)
-            pos, entry = at[row], e[lo[row] + nth]
-            doc = np.searchsorted(first, pos, "right") - 1
-            whole = pos + k <= first[doc + 1]  # shingles don't cross documents
-            pos, entry, doc = pos[whole], entry[whole], doc[whole]
-            if not len(pos):
-                continue
-            pair = doc * len(self.length) + entry
-            order = np.lexsort((pos, pair))
-            pair, pos = pair[order], pos[order]
-            cut = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-            for a, b in zip(cut, np.append(cut[1:], len(pair))):
-                d, i = divmod(int(pair[a]), len(self.length))
-                lo, hi = int(first[d]), int(first[d + 1]) - k + 1
-                if b - a >= self.common(self.size[i], min(self.size[i], hi - lo)):
-                    found = self._windows(shingles, pos[a:b], i, lo, hi)
+            own = np.searchsorted(first, at, "right") - 1
+            whole = (at + k <= first[own + 1]) & (hi > lo)  # shingles don't cross documents
+            at, lo, hi, own = at[whole], lo[whole], hi[whole], own[whole]
+            some = [np.zeros(0, np.int64)]
+            cuts = np.flatnonzero(np.diff(np.cumsum(hi - lo) // PAIRS, prepend=-1))
+            for a, b in zip(cuts, np.append(cuts[1:], len(at))):
+                row, nth = expand(hi[a:b] - lo[a:b])
+                some.append(np.unique(own[a:b][row] * len(self.length) + e[lo[a:b][row] + nth]))
+            for pair in np.unique(np.concatenate(some)).tolist():
+                d, i = divmod(pair, len(self.length))
+                lo_d, hi_d = int(first[d]), int(first[d + 1]) - k + 1
+                hits = lo_d + np.flatnonzero(np.isin(shingles[lo_d:hi_d], self.own[i]))
+                if len(hits) >= self.common(self.size[i], min(self.size[i], hi_d - lo_d)):
+                    found = self._windows(shingles, hits, i, lo_d, hi_d)
                     if found:
                         best[d, i] = (found[0], found[1] - int(first[d]))
         return [(d, i, start, sim) for (d, i), (sim, start) in sorted(best.items())]
@@ -157,14 +164,15 @@ class Index:
 
 
 def blocks_of(benchmark: DataFrame, s: Settings) -> Iterator[Index]:
-    """The benchmark in blocks of s.items rows, read one after the other."""
-    ids, texts = [], []
+    """The benchmark in blocks of at most s.items rows and s.letters characters (one row at least), read one after the other."""
+    ids, texts, n = [], [], 0
     for row in benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text").toLocalIterator():
+        if ids and (len(ids) == s.items or n + len(row[1]) > s.letters):
+            yield Index(ids, texts, s)
+            ids, texts, n = [], [], 0
         ids.append(row[0])
         texts.append(row[1])
-        if len(ids) == s.items:
-            yield Index(ids, texts, s)
-            ids, texts = [], []
+        n += len(row[1])
     if ids:
         yield Index(ids, texts, s)
 
@@ -173,12 +181,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
     """doc_id, item_id, start_word, n_words, similarity: the best window for each pair of a document's row and an item that reaches the similarity.
 
     Documents are searched whole, in their partitions; nothing of them is shuffled. Null and empty texts match nothing, as do items without words; items
-    with equal words each get their rows; repeated rows give repeated results; null ids are passed on; other columns are not read.
+    with equal words each get their rows; repeated rows give repeated results; null ids are passed on; other columns are not read. An empty table on either
+    side gives no rows. Of windows that are equally similar the earliest is told.
     """
     spark = docs.sparkSession
     ship(spark)
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("start_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    item_type = pa.int32() if benchmark.schema["item_id"].dataType.simpleString() == "int" else pa.string() if benchmark.schema["item_id"].dataType.simpleString() == "string" else pa.int64()
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for index in blocks_of(benchmark, s):
         shared = spark.sparkContext.broadcast(index)
@@ -198,7 +207,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """docs' rows, with all their columns, in which no window matches any item."""
+    """docs' rows, with all their columns, in which no window matches any item.
+
+    Null and empty texts stay, as do all rows if the benchmark is empty; repeated rows stay or go together; an empty table gives no rows; columns may have
+    any names (but `__text`).
+    """
     spark = docs.sparkSession
     ship(spark)
     columns = docs.columns

@@ -74,6 +74,11 @@ def test_op3(spark, docs, none):
     kept = decontaminate.clean(d, bench)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in LEAKS} - {i for i, _ in want}
     assert decontaminate.matches(none, bench).count() == 0
+    for kind in ("smallint", "int", "string"):
+        assert {r.item_id for r in decontaminate.matches(d, bench.withColumn("item_id", F.col("item_id").cast(kind))).collect()} == {("%s" % b if kind == "string" else b) for _, b in want}
+    wide = d.withColumns({c: F.lit("own") for c in ("start_word", "similarity", "n_words", "hit", "fp")})
+    assert sorted(map(str, decontaminate.matches(wide, bench).collect())) == sorted(map(str, decontaminate.matches(d, bench).collect())) and decontaminate.clean(wide, bench).columns == wide.columns
+    assert decontaminate.clean(none, bench).count() == 0
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.clean(docs, bench.limit(0)).count() == len(TEXTS)
 
 
@@ -89,6 +94,37 @@ def test_op3_documents_shorter_than_an_item(spark):
     assert {r.doc_id for r in decontaminate.clean(d, b).collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_op3_items_that_share_a_phrase(spark, monkeypatch):
+    """Many items with one long phrase in common, in documents that hold it; few pairs at a time."""
+    rng = np.random.default_rng(5)
+    word = [f"w{i}" for i in range(400)]
+    phrase = " ".join(word[:14])
+    bench = [(i, " ".join(rng.choice(word, 3)) + f" {phrase} " + " ".join(rng.choice(word, 6))) for i in range(60)] + [(90, "a b " * 12), (91, phrase)]
+    rows = [(i, "so " + " ".join(rng.choice(word, 9)) + " " + (bench[i % 60][1] if i % 3 else phrase + " " + " ".join(rng.choice(word, 5)))) for i in range(80)] + [(200, "a b " * 30), (201, f"{phrase} " * 4)]
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    data = [t.encode() for _, t in rows]
+    index = decontaminate.Index([i for i, _ in bench], [t for _, t in bench])
+    got = {(rows[d][0], m): s for d, i, _, s in index.search(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])) for m in index.members[i]}
+    want = {(i, b): s for i, t in rows for b, x in bench if (s := best_window(t, x)) >= 0.8}
+    assert len(want) > 60 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_op3_radius_loses_no_pair_within_reach():
+    """Of bags at the similarity bound, by length of the item, how many the fingerprint stage lets through."""
+    rng = np.random.default_rng(7)
+    for n in (12, 25, 60, 150):
+        through = []
+        for _ in range(300):
+            item = [f"i{rng.integers(1 << 40)}" for _ in range(n)]
+            ix = decontaminate.Index([0], [" ".join(item)])
+            size = int(ix.size[0])
+            own, other = ix.bags[0], rng.integers(0, 2**63, size, dtype=np.uint64)
+            keep = int(ix.common(size, size))
+            bag = np.concatenate([own[:keep], other[keep:]])
+            through.append(bool(ix.candidates(decontaminate.simhash(bag, np.array([size])), np.array([0]))[0]))
+        assert np.mean(through) >= 0.99
+
+
 def test_op3_table_and_blocks(spark):
     d, b = spark.read.parquet(f"{AT}/documents.parquet"), spark.read.parquet(f"{AT}/benchmark.parquet")
     got = {(r.doc_id, r.item_id) for r in QUERIES["op3_decontaminate"](spark, AT).collect()}
