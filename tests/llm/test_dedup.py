@@ -3,6 +3,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +51,30 @@ def test_op1_table(spark):
     assert sum(r[2] for r in want) > 1000
 
 
+def test_op1_removes_nothing_on_a_hash_alone(docs, monkeypatch):
+    """With contents named by their length alone, strings that differ are still told apart; so are many chunks of a few bytes."""
+    monkeypatch.setattr(suffix_dedup, "span_hashes", lambda sums, a, b: (b - a).astype(np.uint64))
+    rng = np.random.default_rng(3)
+    line = ["".join(rng.choice(list("abc "), 70)) for _ in range(12)]
+    rows = [(i, "".join(line[j] for j in rng.integers(0, 12, 4))) for i in range(40)]
+    d = docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for crowded in (1 << 16, 2):
+        chunks = {}
+        table = pa.Table.from_pylist([{"doc_id": i, "text": t} for i, t in rows])
+        parts = [suffix_dedup.Chunk(table.slice(a, 10), 3) for a in range(0, 40, 10)]
+        offers = pa.concat_tables([suffix_dedup.offer(c, j, 50) for j, c in enumerate(parts)])
+        replies = pa.concat_tables([suffix_dedup.answer(offers.filter(pc.equal(offers["bucket"], b)), 128, crowded) for b in range(3)])
+        sent = pa.concat_tables([suffix_dedup.send(c, j, replies.filter(pc.equal(replies["chunk"], j)), 50) for j, c in enumerate(parts)])
+        spans = pa.concat_tables([suffix_dedup.compare(sent.filter(pc.equal(sent["bucket"], b)), 50) for b in range(3) if sent.filter(pc.equal(sent["bucket"], b)).num_rows])
+        for j, c in enumerate(parts):
+            for i, (text, gone, n) in zip(c.table["doc_id"].to_pylist(), suffix_dedup._kept(c, spans.filter(pc.equal(spans["chunk"], j)))):
+                chunks[i] = (gone, n, hashlib.sha256(text).hexdigest())
+        assert sorted(((i, len(t), *chunks[i]) for i, t in rows), key=repr) == removed(rows)
+    monkeypatch.undo()
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
+    assert sorted(map(tuple, suffix_dedup.dedup_digest(d).collect()), key=repr) == removed(rows)
+
+
 def test_op1_empty_and_texts(spark, none, docs):
     assert suffix_dedup.dedup_digest(none).count() == 0
     got = {(r.doc_id, r.text) for r in suffix_dedup.without_repeats(docs).collect()}
