@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,16 +20,17 @@ SHOWN = [
 
 def match_places(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """key, start, end, match of every match, in code points."""
-    import pandas as pd
-
     schema = T.StructType([rows.schema[key], T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("match", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rule = re.compile(pattern)
         for b in batches:
-            yield pd.DataFrame([(k, m.start(), m.end(), m[0]) for k, t in b[[key, text]].itertuples(index=False) for m in rule.finditer(t or "")], columns=[key, "start", "end", "match"])
+            found = [[(m.start(), m.end(), m[0]) for m in rule.finditer(t)] if t else [] for t in b.column(1).to_pylist()]
+            at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            flat = [x for f in found for x in f]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array([x[j] for x in flat], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.string())))], schema.names)
 
-    return rows.select(key, text).mapInPandas(run, schema)
+    return rows.select(key, text).mapInArrow(run, schema)
 
 
 def typed_template(text: str) -> str:

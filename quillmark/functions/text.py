@@ -28,6 +28,11 @@ def n_holding(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in words])
 
 
+def strip(text: Column) -> Column:
+    """Without blanks and line breaks at both ends."""
+    return F.trim(text, F.lit(" \t\n\r\f\x0b"))
+
+
 def normal_text(text: Column) -> Column:
     """Lower case, trimmed, runs of blanks as one space."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
@@ -101,7 +106,7 @@ def options_of(text: Column) -> Column:
     forms = [r"(?is)\(([a-e])\)\s*(.+?)(?=\s*\([a-e]\)|$)", r"(?is)(?<![a-z(])([a-e])\)\s*(.+?)(?=\s+[a-e]\)|$)", r"(?is)(?<![a-z])([a-e])\.\s*(.+?)(?=\s+[a-e]\.|$)", r"(?is)\[([a-e])\]\s*(.+?)(?=\s*\[[a-e]\]|$)"]
     got = []
     for p in forms:
-        pairs = F.zip_with(F.regexp_extract_all(text, F.lit(p), 1), F.regexp_extract_all(text, F.lit(p), 2), lambda a, b: F.struct(F.lower(a).alias("letter"), F.trim(b).alias("option")))
+        pairs = F.zip_with(F.regexp_extract_all(text, F.lit(p), 1), F.regexp_extract_all(text, F.lit(p), 2), lambda a, b: F.struct(F.lower(a).alias("letter"), strip(b).alias("option")))
         got.append(F.when(F.size(pairs) >= 2, F.array_sort(pairs)))
     return F.coalesce(*got, F.array().cast("array<struct<letter:string,option:string>>"))
 

@@ -51,9 +51,9 @@ def split_questions(docs: DataFrame, key: str, text: str) -> DataFrame:
     marks = boundaries(docs, key, text)
     nxt = F.lead("start").over(Window.partitionBy(key).orderBy("start"))
     cut = marks.withColumn("__to", nxt).join(docs.select(key, text), key)
-    body = F.trim(F.substring(F.col(text), F.col("end") + 1, F.coalesce("__to", F.length(text)) - F.col("end")))
+    body = tx.strip(F.substring(F.col(text), F.col("end") + 1, F.coalesce("__to", F.length(text)) - F.col("end")))
     numbered = cut.select(key, "qnum", body.alias("body"))
-    bare = docs.join(marks.select(key).distinct(), key, "left_anti").select(key, F.lit(None).cast("int").alias("qnum"), F.explode(F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda p: p != "")).alias("body"))
+    bare = docs.join(marks.select(key).distinct(), key, "left_anti").select(key, F.lit(None).cast("int").alias("qnum"), F.explode(F.filter(F.transform(F.split(text, r"\n\s*\n"), tx.strip), lambda p: p != "")).alias("body"))
     both = numbered.unionByName(bare)
     options = tx.options_of(F.col("body"))
     return both.withColumn("options", F.transform(options, lambda o: o["option"])).withColumn("confidence", extraction_confidence(F.col("qnum"), F.col("body"), F.size("options")))

@@ -87,11 +87,13 @@ def neighbour_inference(rows: DataFrame, group: list[str], order: list[str], num
 
 
 def in_zone(rows: DataFrame, zones: DataFrame, number: str, how: str = "left") -> DataFrame:
-    """[J5, P32] zones (zone, lo, hi): the zone that holds the number. Zones are few, and read as a list; with many, use in_span."""
-    z = [(r[0], r[1], r[2]) for r in zones.select("zone", "lo", "hi").orderBy("lo", "hi", "zone").limit(1000).collect()]
-    at = F.coalesce(*(F.when(F.col(number).between(lo, hi), F.lit(name)) for name, lo, hi in z)) if z else F.lit(None).cast("string")
-    out = rows.withColumn("zone", at)
-    return out.filter("zone IS NOT NULL") if how == "inner" else out
+    """[J5, P32] zones (zone, lo, hi): the zone that holds the number; of several, the first by lo, hi and name.
+
+    Numbers are question numbers: zones are spelled out number by number, so any number of them is one equi-join, whose small side Spark broadcasts by its size.
+    """
+    each = zones.select(F.explode(F.sequence(F.col("lo").cast("long"), F.greatest("lo", "hi").cast("long"))).alias("__number"), F.struct("lo", "hi", "zone").alias("__z")).filter("__number <= __z.hi")
+    first = each.groupBy("__number").agg(F.min("__z")["zone"].alias("zone"))
+    return rows.join(first, F.col(number).cast("long") == F.col("__number"), how).drop("__number")
 
 
 def zone_enforced(rows: DataFrame, section: str, confidence: Column, mode: str = "flex", sure: float = 0.9) -> DataFrame:

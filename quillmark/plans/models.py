@@ -74,15 +74,15 @@ def difficulty_classifier(rows: DataFrame, features: list[str], label: str, fold
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    counts = {r[0]: r[1] for r in rows.filter(F.col(label).isNotNull()).groupBy(label).count().limit(100).collect()}
-    n = sum(counts.values())
-    if n < least or len(counts) < 2:
+    counts = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("__c"))
+    n, k = counts.agg(F.coalesce(F.sum("__c"), F.lit(0)), F.count("*")).first()
+    if n < least or k < 2:
         return None
-    weight = F.coalesce(*(F.when(F.col(label) == k, n / (len(counts) * c)) for k, c in counts.items()))
+    weighted = rows.join(counts, label).withColumn("__w", F.lit(float(n)) / (F.lit(k) * F.col("__c"))).drop("__c")
     forest = RandomForestClassifier(featuresCol="__x", labelCol="__y", weightCol="__w", numTrees=30, seed=seed)
     stages = Pipeline(stages=[StringIndexer(inputCol=label, outputCol="__y"), VectorAssembler(inputCols=features, outputCol="__x"), forest])
     judge = MulticlassClassificationEvaluator(labelCol="__y", metricName="weightedFMeasure")
-    return CrossValidator(estimator=stages, estimatorParamMaps=ParamGridBuilder().addGrid(forest.maxDepth, [5, 10]).build(), evaluator=judge, numFolds=folds, seed=seed).fit(rows.withColumn("__w", weight))
+    return CrossValidator(estimator=stages, estimatorParamMaps=ParamGridBuilder().addGrid(forest.maxDepth, [5, 10]).build(), evaluator=judge, numFolds=folds, seed=seed).fit(weighted)
 
 
 def call_model(rows: DataFrame, key: str, text: str, model: Callable[[list[str]], list[tuple[str, float]]]) -> DataFrame:

@@ -58,21 +58,21 @@ OBS = """WITH obs AS (SELECT l_orderkey * 10 + l_linenumber AS obs_id, p_type AS
 
 
 def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """topic (priority), year, cnt of orders over 300,000: a short, uneven series."""
-    o = table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > 300000)
+    """topic (priority), year, cnt of orders."""
+    o = table(spark, sf_dir, "orders")
     return fq.counts(o.select(F.col("o_orderpriority").alias("topic"), F.year("o_orderdate").alias("year")), "topic", "year")
 
 
-SERIES = "WITH series AS (SELECT o_orderpriority AS topic, year(o_orderdate) AS year, count(*) AS cnt FROM orders WHERE o_totalprice > 300000 GROUP BY ALL) "
+SERIES = "WITH series AS (SELECT o_orderpriority AS topic, year(o_orderdate) AS year, count(*) AS cnt FROM orders GROUP BY ALL) "
 
 
 def customer_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topic (nation), year, cnt: 25 series."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    return fq.counts(o.filter(F.col("o_totalprice") > 350000).select(F.col("c_nationkey").alias("topic"), F.year("o_orderdate").alias("year")), "topic", "year")
+    return fq.counts(o.select(F.col("c_nationkey").alias("topic"), F.year("o_orderdate").alias("year")), "topic", "year")
 
 
-NATION = "WITH series AS (SELECT c_nationkey AS topic, year(o_orderdate) AS year, count(*) AS cnt FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 350000 GROUP BY ALL) "
+NATION = "WITH series AS (SELECT c_nationkey AS topic, year(o_orderdate) AS year, count(*) AS cnt FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) "
 GRID = ", grid AS (SELECT t.topic, y.year, coalesce(s.cnt, 0) AS cnt FROM (SELECT DISTINCT topic FROM series) t CROSS JOIN (SELECT DISTINCT year FROM series) y LEFT JOIN series s ON s.topic = t.topic AND s.year = y.year) "
 
 
@@ -280,11 +280,6 @@ def forecast_methods(spark, sf_dir):
     return r(out, *out.columns[1:])
 
 
-@query()
-def trend_report(spark, sf_dir):
-    return tr.trend_report(fq.dense(customer_series(spark, sf_dir), ["topic"]), ["topic"])
-
-
 HOT = NATION + GRID + PVALUE.format(src="grid") + ", h AS (SELECT topic, slope, CASE WHEN p < 0.9 AND slope > 0.1 THEN 'rising' WHEN p < 0.9 AND slope < -0.1 THEN 'declining' ELSE 'stable' END AS trend FROM p), w AS (SELECT topic, avg(cnt) AS predicted FROM grid GROUP BY topic) "
 
 
@@ -416,9 +411,9 @@ def union_all_sources(spark, sf_dir):
     return c.unionByName(table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_nationkey").alias("nation")))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 100000")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def except_missing_keys(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").filter("o_totalprice > 100000").select("o_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").select("o_custkey"))
 
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AS boosted FROM customer")
@@ -469,17 +464,17 @@ def bias_metrics(spark, sf_dir):
     return r(out, *(c for c in out.columns if c not in ("n", "n_missing")))
 
 
-@query(PRED + ", c AS (SELECT *, v * CASE WHEN topic IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) THEN 1.15 ELSE 0.85 END AS w FROM g) SELECT topic, section, round(w * quota / sum(w) OVER (PARTITION BY section), 6) AS corrected FROM c")
+@query(PRED + ", c AS (SELECT *, v * CASE WHEN topic IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING avg(s_acctbal) > 4500) THEN 1.15 ELSE 0.85 END AS w FROM g) SELECT topic, section, round(w * quota / sum(w) OVER (PARTITION BY section), 6) AS corrected FROM c")
 def bias_correction(spark, sf_dir):
     p = predictions(spark, sf_dir)
-    return r(al.recall_corrected(p, "v", "topic", table(spark, sf_dir, "nation").filter("n_regionkey = 0").select(F.col("n_nationkey").alias("topic")), "section", F.col("quota")), "corrected").select("topic", "section", "corrected")
+    hard = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("topic")).agg(F.avg("s_acctbal").alias("a")).filter("a > 4500").select("topic")
+    return r(al.recall_corrected(p, "v", "topic", hard, "section", F.col("quota")), "corrected").select("topic", "section", "corrected")
 
 
-@query(PRED + ", o AS (SELECT topic, v FROM g WHERE topic IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)) SELECT topic, round(v, 6) AS v, false AS imputed FROM o UNION ALL SELECT n_nationkey, round((SELECT avg(v) * 0.5 FROM o), 6), true FROM nation WHERE n_nationkey NOT IN (SELECT topic FROM o)")
+@query(PRED + ", y AS (SELECT DISTINCT unnest([n_nationkey, n_nationkey + 20]) AS topic FROM nation) SELECT topic, round(v, 6) AS v, false AS imputed FROM g UNION ALL SELECT topic, round((SELECT avg(v) * 0.5 FROM g), 6), true FROM y WHERE topic NOT IN (SELECT topic FROM g)")
 def impute_missing_topics(spark, sf_dir):
-    seen = table(spark, sf_dir, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("topic"))
-    o = predictions(spark, sf_dir).join(seen, "topic", "left_semi")
-    return r(al.impute_missing(o, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("topic")), "topic", "v"), "v")
+    syllabus = table(spark, sf_dir, "nation").select(F.explode(F.array(F.col("n_nationkey"), F.col("n_nationkey") + 20)).alias("topic"))
+    return r(al.impute_missing(predictions(spark, sf_dir), syllabus, "topic", "v"), "v")
 
 
 @query(PRED + ", b AS (SELECT *, coalesce(sum(want) OVER (PARTITION BY section ORDER BY want DESC, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g) SELECT topic, section, want, CAST(before AS BIGINT) AS before FROM b WHERE before < 170")
@@ -508,16 +503,19 @@ def priority_bands(spark, sf_dir):
     return predictions(spark, sf_dir).select("topic", al.priority_band(v).alias("band"), al.study_hours(v).alias("hours"), al.generation_level(v / 10).alias("level"))
 
 
-@query(PRED + ", l AS (SELECT topic, CAST(max(cnt) AS DOUBLE) AS most FROM series WHERE topic IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2) GROUP BY topic) SELECT topic, round(least(v * 2, CASE WHEN most IS NOT NULL THEN least(most * 1.2, most + 2) ELSE 5.0 END, 8.0), 6) AS capped FROM (SELECT g.topic, v, most FROM g LEFT JOIN l USING (topic))")
+@query(PRED + ", l AS (SELECT s_nationkey AS topic, CAST(count(*) AS DOUBLE) AS most FROM supplier GROUP BY 1) SELECT topic, round(least(v * 2, CASE WHEN most IS NOT NULL THEN least(most * 1.2, most + 2) ELSE 5.0 END, 8.0), 6) AS capped FROM (SELECT g.topic, v, most FROM g LEFT JOIN l USING (topic))")
 def historic_cap(spark, sf_dir):
-    limits = customer_series(spark, sf_dir).join(table(spark, sf_dir, "nation").filter("n_regionkey < 2").select(F.col("n_nationkey").alias("topic")), "topic", "left_semi").groupBy("topic").agg(F.max("cnt").alias("most"))
+    limits = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("topic")).agg(F.count("*").alias("most"))
     p = predictions(spark, sf_dir).withColumn("v", F.col("v") * 2)
     return r(al.historic_cap(p, "v", limits, "topic", F.lit(5.0), F.lit(8.0)), "capped").select("topic", "capped")
 
 
-@query()
+@query(PRED.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT section, topic, round(v, 6) AS v, row_number() OVER (PARTITION BY section ORDER BY topic) AS i FROM g),
+w AS (SELECT section, topic, v, i, 1 AS week, CASE WHEN v >= 14 THEN 2 ELSE 1 END AS nw, CASE WHEN v >= 14 THEN 0.0 ELSE v END AS s FROM o WHERE i = 1
+UNION ALL SELECT o.section, o.topic, o.v, o.i, w.nw, CASE WHEN w.s + o.v >= 14 THEN w.nw + 1 ELSE w.nw END, CASE WHEN w.s + o.v >= 14 THEN 0.0 ELSE w.s + o.v END FROM w JOIN o ON o.section = w.section AND o.i = w.i + 1)
+SELECT section, topic, v, CAST(week AS INT) AS week FROM w""")
 def pack_weeks(spark, sf_dir):
-    return al.pack_weeks(predictions(spark, sf_dir), "v", ["section"], ["topic"], 14.0)
+    return al.pack_weeks(r(predictions(spark, sf_dir), "v"), "v", ["section"], ["topic"], 14.0)
 
 
 # --- sequences ---
@@ -545,15 +543,15 @@ def boundaries(spark, sf_dir):
     return sq.boundaries(paper_rows(spark, sf_dir), ["user_id"], ["qnum"], "section", "qnum")
 
 
-@query("WITH c AS (SELECT conv_id, turn + 1 AS n FROM conversations WHERE role <> 'assistant'), m AS (SELECT conv_id, max(n) AS m FROM c GROUP BY 1) SELECT conv_id, CAST(k AS INT) AS n FROM (SELECT conv_id, unnest(range(1, m + 1)) AS k FROM m) x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = x.conv_id AND c.n = x.k)")
+@query("WITH c AS (SELECT conv_id, turn * 2 + 1 AS n FROM conversations), m AS (SELECT conv_id, max(n) AS m FROM c GROUP BY 1) SELECT conv_id, CAST(k AS INT) AS n FROM (SELECT conv_id, unnest(range(1, m + 1)) AS k FROM m) x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = x.conv_id AND c.n = x.k)")
 def missing_turns_anti(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("role <> 'assistant'").select("conv_id", (F.col("turn") + 1).alias("n"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 2 + 1).alias("n"))
     return sq.missing_numbers(c, ["conv_id"], "n")
 
 
-@query("WITH c AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations WHERE role <> 'assistant') SELECT conv_id, turn AS after, nx AS before, unnest(range(turn + 1, nx)) AS missing FROM c WHERE nx - turn BETWEEN 2 AND 4")
+@query("WITH t AS (SELECT conv_id, turn * (1 + conv_id % 5) AS turn FROM conversations), c AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM t) SELECT conv_id, turn AS after, nx AS before, unnest(range(turn + 1, nx)) AS missing FROM c WHERE nx - turn BETWEEN 2 AND 4")
 def gap_spans(spark, sf_dir):
-    return sq.gaps(table(spark, sf_dir, "conversations").filter("role <> 'assistant'").select("conv_id", "turn"), ["conv_id"], "turn")
+    return sq.gaps(table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * (1 + F.col("conv_id") % 5)).alias("turn")), ["conv_id"], "turn")
 
 
 @query("WITH c AS (SELECT conv_id, turn, CASE WHEN role <> 'assistant' THEN role END AS v FROM conversations) SELECT conv_id, turn, CASE WHEN v IS NULL AND lag(v) OVER w = lead(v) OVER w THEN lag(v) OVER w ELSE v END AS filled FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -562,7 +560,11 @@ def neighbour_fill(spark, sf_dir):
     return sq.fill_between(c, ["conv_id"], ["turn"], "v", "filled").select("conv_id", "turn", "filled")
 
 
-@query()
+@query("""WITH c AS (SELECT conv_id, turn, turn // 3 AS page, CASE WHEN role <> 'assistant' THEN role END AS v, contains(text, 'z') AS nv FROM conversations),
+n AS (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS n, lag(page) OVER w AS pp, lead(page) OVER w AS np, lag(turn) OVER w AS pt, lead(turn) OVER w AS nt FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, round(CASE WHEN p IS NOT NULL AND n IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN pp = page OR np = page THEN 0.2 ELSE 0 END + CASE WHEN pt = turn - 1 THEN 0.075 ELSE 0 END + CASE WHEN nt = turn + 1 THEN 0.075 ELSE 0 END
++ CASE WHEN p = n THEN 0.3 WHEN p IS NOT NULL OR n IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN nv THEN 0.1 ELSE 0 END, 6) AS score FROM n)
+SELECT conv_id, turn, score, CASE WHEN v IS NULL AND score >= 0.3 THEN coalesce(p, n) ELSE v END AS inferred, v IS NULL AND score >= 0.3 AND coalesce(p, n) IS NOT NULL AS was_inferred FROM s""")
 def neighbour_inference(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 3).alias("page"), F.when(F.col("role") != "assistant", F.col("role")).alias("v"), F.col("text").contains("z").alias("nv"))
     return sq.neighbour_inference(c, ["conv_id"], ["turn"], "turn", "page", "v", "nv").select("conv_id", "turn", "score", "inferred", "was_inferred")
@@ -591,7 +593,9 @@ def segments_lead(spark, sf_dir):
     return sq.segments(paper_rows(spark, sf_dir).filter("section = 'purchase'"), ["user_id"], "qnum", F.lit(9999)).select("user_id", "qnum", "segment_end")
 
 
-@query()
+@query("WITH RECURSIVE " + PAPER.removeprefix("WITH ") + """, p AS (SELECT user_id, qnum, qnum + event_id % 4 + 1 AS "to" FROM paper),
+k AS (SELECT user_id, qnum, "to" FROM p WHERE qnum = 1 UNION ALL SELECT p.user_id, p.qnum, p."to" FROM k JOIN p ON p.user_id = k.user_id AND p.qnum = k."to")
+SELECT * FROM k""")
 def overlap_removal(spark, sf_dir):
     p = paper_rows(spark, sf_dir).withColumn("to", F.col("qnum") + (F.col("event_id") % 4) + 1)
     return sq.without_overlap(p, ["user_id"], "qnum", "to")
@@ -741,11 +745,23 @@ def embedding_topk(spark, sf_dir):
     return sm.nearest(e, first["embedding"], "vec_id", "embedding", 10, F.col("label") == first["label"]).select("vec_id", "label", "cosine")
 
 
-@query()
+TOPICS = [("t1", "a", "the", 1.5, 1), ("t1", "a", "and", 1.5, 1), ("t2", "b", "la", 0.3, 2), ("t2", "b", "de", 0.3, 2), ("RM_NV_t3", "b", "und", 0.6, 3), ("RM_NV_t3", "b", "s.", 0.6, 3)]
+OLD_TOPICS = [("old1", "a", "re", 1.0, 1), ("old1", "a", "zq", 1.0, 1), ("old2", "b", "tion", 1.0, 2)]
+KEYWORD_SQL = """WITH k(topic, section, keyword, weight, ord) AS (VALUES {new}), o(topic, section, keyword, weight, ord) AS (VALUES {old}), d AS (SELECT doc_id, lower(text) AS l, regexp_matches(lower(text), 'figure|shape') AS nv FROM documents),
+h AS (SELECT doc_id, nv, 1 AS old, topic, section, weight, ord, keyword, l FROM d, o UNION ALL SELECT doc_id, nv, 0, topic, section, weight, ord, keyword, l FROM d, k),
+p AS (SELECT *, CASE WHEN contains(l, keyword) THEN CASE WHEN regexp_matches(l, CASE WHEN regexp_matches(keyword, '^[a-z]') THEN '(?:^|[^\\p{{L}}\\p{{N}}_])' ELSE '[\\p{{L}}\\p{{N}}_]' END || replace(keyword, '.', '\\.') || CASE WHEN regexp_matches(keyword, '[a-z]$') THEN '(?:$|[^\\p{{L}}\\p{{N}}_])' ELSE '[\\p{{L}}\\p{{N}}_]' END) THEN 1.5 ELSE 1 END ELSE 0 END AS hit FROM h),
+s AS (SELECT doc_id, old, ord, topic, section, least(sum(hit) / count(*) * 2 * any_value(weight), 1) AS plain, any_value(nv) AS nv FROM p GROUP BY doc_id, old, ord, topic, section),
+b AS (SELECT doc_id, old, ord, topic, section, round(CASE WHEN nv AND old = 0 AND starts_with(topic, 'RM_NV_') THEN least(plain * 1.3, 1) ELSE plain END, 9) AS score FROM s),
+r AS (SELECT doc_id, old, list(topic ORDER BY score DESC, ord) FILTER (score > 0) AS t, list(section ORDER BY score DESC, ord) FILTER (score > 0) AS c, max(score) AS top FROM b GROUP BY ALL),
+w AS (SELECT n.doc_id, CASE WHEN n.top < 0.1 AND x.top > n.top THEN x ELSE n END AS z FROM r n JOIN r x ON n.doc_id = x.doc_id AND n.old = 0 AND x.old = 1)
+SELECT doc_id, coalesce(z.t[1], 'unknown') AS topic, coalesce(z.c[1], 'unknown') AS topic_section, CAST(z.top AS DOUBLE) AS topic_score, coalesce(array_to_string(z.t[2:4], ','), '') AS alternates FROM w"""
+
+
+@query(KEYWORD_SQL.format(new=", ".join(map(str, TOPICS)), old=", ".join(map(str, OLD_TOPICS))))
 def keyword_topic_scorer(spark, sf_dir):
-    rows = [("t1", "s", "the", 1.5, 1), ("t1", "s", "and", 1.5, 1), ("t2", "s", "la", 2.0, 2), ("t2", "s", "de", 2.0, 2), ("t3", "s", "und", 3.0, 3)]
-    k = spark.createDataFrame(rows, "topic string, section string, keyword string, weight double, ord int")
-    return sm.keyword_topics(table(spark, sf_dir, "documents"), k, "doc_id", F.col("text")).select("doc_id", "topic", "topic_score", "alternates")
+    new, old = (spark.createDataFrame(t, "topic string, section string, keyword string, weight double, ord int") for t in (TOPICS, OLD_TOPICS))
+    figures = F.lower("text").rlike("figure|shape")
+    return sm.keyword_topics(table(spark, sf_dir, "documents"), new, F.col("text"), boost=figures, fallback=old).select("doc_id", "topic", "topic_section", "topic_score", "alternates")
 
 
 # --- evaluation ---
@@ -842,22 +858,6 @@ def importance_full_outer(spark, sf_dir):
 
 
 # --- plans, models, streams ---
-@query()
-def study_plan_20day(spark, sf_dir):
-    p = predictions(spark, sf_dir).withColumn("section", F.concat(F.lit("s"), "section"))
-    return st.cycle_plan(p, "section", "topic", "v", ["s0", "s1", "s2", "s3"])
-
-
-@query()
-def mock_blueprint(spark, sf_dir):
-    pool = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("section"), F.col("p_brand").alias("topic"))
-    wants = pool.select("section", "topic").distinct().withColumn("want", F.lit(2)).withColumn("place", F.length("topic"))
-    return st.mock_test(pool, wants, "topic", "section", F.lit(20), "p_partkey")
-
-
-@query()
-def certain_topics(spark, sf_dir):
-    return st.certain_topics(fq.counts(observations(spark, sf_dir), "section", "topic"), "section", "topic", "cnt")
 
 
 @query("WITH g AS (SELECT o_custkey, o_orderkey, year(o_orderdate) AS y FROM orders WHERE o_totalprice > 100000), c AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM g) SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY y DESC, o_orderkey) AS INT) AS rank FROM c WHERE n >= 3 QUALIFY rank <= 5")
@@ -884,13 +884,7 @@ def weekly_digest(spark, sf_dir):
     return live.weekly_digest(table(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("week_start", F.col("week_start").cast("timestamp_ntz"))
 
 
-@query()
-def mcq_extract(spark, sf_dir):
-    q = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ex.extract_paper(q, "doc_id", "text")
-
-
-@query()
+@query("SELECT event_id, CAST(unnest([0, 1]) AS INT) AS pos, props AS value FROM events")
 def json_recover(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("junk {"), F.col("props"), F.lit(", [1, "), F.col("props"), F.lit("] tail")).alias("text"))
     return rd.recover_json(e, "text", ["event_id"])
@@ -902,17 +896,6 @@ def review_issues(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(issues).cast("long").alias("n_issues"))
 
 
-@query()
-def difficulty_levels(spark, sf_dir):
-    score, level, sure = tx.difficulty(F.col("text"), F.array().cast("array<string>"), F.lit(0.5))
-    return table(spark, sf_dir, "documents").select("doc_id", score.alias("score"), level.alias("level"), sure.alias("confidence"))
-
-
-@query()
-def topic_bundle(spark, sf_dir):
-    return mn.topic_bundle(table(spark, sf_dir, "documents"), "doc_id", "lang", "text").select("lang", F.to_json("kinds").alias("kinds"), "n_texts", F.array_join("keywords", ",").alias("keywords"), F.array_join("phrases", ",").alias("phrases"), F.array_join("templates", "|").alias("templates"))
-
-
 @query("SELECT p_partkey, '1) ' || p_brand || ' | 2) ' || p_type AS choices_text FROM part")
 def training_format(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -925,15 +908,15 @@ def distinct_topics(spark, sf_dir):
     return rk.distinct_sorted(table(spark, sf_dir, "part"), "p_brand", "p_type")
 
 
-@query("SELECT p_partkey, round(coalesce(m, p_retailprice), 6) AS capped FROM part LEFT JOIN (SELECT l_partkey, min(l_extendedprice) AS m FROM lineitem WHERE l_quantity > 49 GROUP BY 1) l ON l_partkey = p_partkey")
+@query("SELECT c_custkey, round(coalesce(m, c_acctbal), 6) AS capped FROM customer LEFT JOIN (SELECT o_custkey, min(o_totalprice) AS m FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
 def default_own_value(spark, sf_dir):
-    o = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"), F.col("l_extendedprice").alias("p_retailprice"))
-    return r(rk.with_default(table(spark, sf_dir, "part"), o, "p_partkey", "p_retailprice", "capped"), "capped").select("p_partkey", "capped")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"))
+    return r(rk.with_default(table(spark, sf_dir, "customer"), o, "c_custkey", "c_acctbal", "capped"), "capped").select("c_custkey", "capped")
 
 
-@query("SELECT c_custkey, round(c_acctbal * CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) THEN 1.5 ELSE 1.0 END, 6) AS c_acctbal FROM customer")
+@query("SELECT c_custkey, round(c_acctbal * CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 1.5 ELSE 1.0 END, 6) AS c_acctbal FROM customer")
 def rising_boost(spark, sf_dir):
-    chosen = table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    chosen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return r(rk.boosted(table(spark, sf_dir, "customer"), chosen, "c_custkey", "c_acctbal"), "c_acctbal").select("c_custkey", "c_acctbal")
 
 
@@ -965,8 +948,4 @@ def match_places(spark, sf_dir):
     return mt.match_places(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "[0-9]+")
 
 
-@query()
-def typed_templates(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    t = F.concat(F.lit("A train goes "), F.col("p_size"), F.lit(" km in "), F.col("p_partkey"), F.lit(" hours for Rs. "), F.col("p_size") + 3)
-    return p.select("p_partkey", mt.template_of(t).alias("template"))
+from . import queries_files, queries_text  # noqa: E402, F401  (they register themselves)

@@ -30,7 +30,7 @@ def read_questions_json(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 def read_questions_csv(spark: SparkSession, path: str) -> DataFrame:
     """[S2] Header, lenient casts, section as snake case, ids and shifts by default; rows without a year are dropped."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
     have = set(raw.columns)
     col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     return raw.select(
@@ -198,16 +198,35 @@ def read_importances(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema("feature string, importance double").csv(path)
 
 
-def sample_news(spark: SparkSession) -> DataFrame:
-    """[S14, S19] Five rows of the news schema, for tests and offline use."""
-    rows = [
-        ("Air force receives new missile", "The Indian Air Force and DRDO tested a missile on 12 March 2025.", "desk", "2025-03-12", "u1"),
-        ("Chess champion wins medal", "The champion won a medal and a trophy at the world cup.", "desk", "2025-02-01", "u2"),
-        ("Budget raises research", "The budget gives 500 crore for research and trade.", "wire", "2025-01-20", "u3"),
-        ("Summit ends with treaty", "A summit of ministers signed a bilateral treaty.", "wire", "2024-11-05", "u4"),
-        ("Local fair opens", "A fair opened downtown.", "desk", "2024-06-01", "u5"),
-    ]
-    return spark.createDataFrame(rows, "title string, content string, source string, day string, url string").select("title", "content", "source", F.to_timestamp_ntz("day").alias("published"), "url")
+NEWS = "title string, content string, source string, published string, url string"
+
+#: What read_news gives without a fetcher.
+SAMPLE_NEWS = [
+    ("Air force receives new missile", "The Indian Air Force and DRDO tested a missile on 12 March 2025.", "desk", "2025-03-12", "u1"),
+    ("Chess champion wins medal", "The champion won a medal and a trophy at the world cup.", "desk", "2025-02-01", "u2"),
+    ("Budget raises research", "The budget gives 500 crore for research and trade.", "wire", "2025-01-20", "u3"),
+    ("Summit ends with treaty", "A summit of ministers signed a bilateral treaty.", "wire", "2024-11-05", "u4"),
+    ("Local fair opens", "A fair opened downtown.", "desk", "2024-06-01", "u5"),
+]
+
+
+def read_news(spark: SparkSession, fetch: Callable[[dict], list[dict]] | None = None, requests: DataFrame | None = None) -> DataFrame:
+    """[S14, S19] title, content, source, published, url: what an injected fetcher answers to each row of requests, on the executors; keys that an article lacks are
+    null. A fetcher speaks to its service and must be safe to call again, as tasks are repeated. Without one, five rows for tests and offline use."""
+    if fetch is None:
+        rows = spark.createDataFrame(SAMPLE_NEWS, NEWS)
+    else:
+        import pyarrow as pa
+
+        names = [f.name for f in T._parse_datatype_string(NEWS).fields]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [a for request in b.to_pylist() for a in fetch(request)]
+                yield pa.RecordBatch.from_arrays([pa.array([a.get(n) for a in found], pa.string()) for n in names], names)
+
+        rows = requests.mapInArrow(run, NEWS)
+    return rows.withColumn("published", F.to_timestamp_ntz("published"))
 
 
 def read_bank(spark: SparkSession, path: str) -> DataFrame:

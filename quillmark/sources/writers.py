@@ -75,17 +75,36 @@ def short_rows(questions: DataFrame, n: int = 200, options: int = 4) -> DataFram
     return questions.withColumn("text", shorten(F.col("text"), n)).withColumn("options", F.slice("options", 1, options))
 
 
+def html_rows(rows: DataFrame, *order: str) -> DataFrame:
+    """[K8, K10] A table row of HTML for each row, by these columns; nulls are empty."""
+    cell = lambda c: F.concat(F.lit("<td>"), F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</td>"))
+    return rows.orderBy(*order).select(F.concat(F.lit("<tr>"), *map(cell, rows.columns), F.lit("</tr>")).alias("html"))
+
+
+def write_html(rows: DataFrame, path: str, *order: str) -> None:
+    """[K8, K10] All rows as HTML table rows, in files whose order is theirs, with a head in `head.html`'s folder: a page of any length."""
+    head = "".join(f"<th>{_html.escape(c)}</th>" for c in rows.columns)
+    rows.sparkSession.createDataFrame([(f"<table><tr>{head}</tr>",)], "html string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+    html_rows(rows, *order).write.mode("overwrite").text(f"{path}/rows")
+
+
 def html_report(rows: DataFrame, title: str, most: int = 500) -> str:
-    """[K8, K10] A table of at most `most` rows, as a page."""
+    """[K8, K10] A page with a table of the first `most` rows, which tells how many there are if there are more; write_html has them all."""
     head = "".join(f"<th>{_html.escape(c)}</th>" for c in rows.columns)
-    body = "".join("<tr>" + "".join(f"<td>{_html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows.limit(most).collect())
-    return f"<!doctype html><title>{_html.escape(title)}</title><h1>{_html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>"
+    found = rows.limit(most + 1).collect()
+    body = "".join("<tr>" + "".join(f"<td>{_html.escape(str(v))}</td>" for v in r) + "</tr>" for r in found[:most])
+    more = f"<p>{most} of {rows.count()} rows</p>" if len(found) > most else ""
+    return f"<!doctype html><title>{_html.escape(title)}</title><h1>{_html.escape(title)}</h1><table><tr>{head}</tr>{body}</table>{more}"
 
 
 def script_bundle(name: str, parts: dict[str, DataFrame], most: int = 2000) -> str:
-    """[K9] `const name = {...};` with at most `most` rows a part."""
-    inner = ",".join(f'"{k}":[{",".join(r[0] for r in as_json(df.limit(most)).collect())}]' for k, df in parts.items())
-    return f"const {name} = {{{inner}}};"
+    """[K9] `const name = {...};` of all rows of each part. A part of over `most` rows is an error: write it with write_json."""
+    told = {}
+    for k, df in parts.items():
+        told[k] = as_json(df).limit(most + 1).collect()
+        if len(told[k]) > most:
+            raise ValueError(f"{k} has over {most} rows, too many for a script")
+    return f"const {name} = {{{','.join(f'{chr(34)}{k}{chr(34)}:[{chr(44).join(r[0] for r in v)}]' for k, v in told.items())}}};"
 
 
 def rename_plan(files: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -96,7 +115,6 @@ def rename_plan(files: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 
-
 def write_importances(rows: DataFrame, path: str) -> None:
     """[K12] One file each, JSON and CSV: a row a feature."""
     one = rows.coalesce(1)
