@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillmark.llm import bwt, graph, simhash, suffix_dedup
+from quillmark.llm import bwt, graph, nearcopies, simhash, suffix_dedup
 
 from .conftest import TEXTS
 
@@ -168,3 +168,72 @@ def test_components(spark):
     assert got == {2: 1, 3: 1, 4: 1, 9: 8, 20: 8, 31: 30} | {i: 100 for i in range(101, 161)}
 
 
+def brute_near(rows, least=0.8):
+    """(group of each row by place): links between sets of 5-word shingles, all pairs that share one compared."""
+    sets = [nearcopies.shingles((t or "").encode().lower().split(), 5) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    holds: dict = {}
+    for i, x in enumerate(sets):
+        for g in x or {None}:
+            holds.setdefault(g, []).append(i)
+    for i, x in enumerate(sets):
+        for j in {j for g in x or {None} for j in holds[g] if j < i and find(j) != find(i)}:
+            if len(x & sets[j]) >= least * len(x | sets[j]) - 1e-9:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(rows))]
+
+
+def kept_of(rows):
+    best: dict = {}
+    for g, (i, _) in zip(brute_near(rows), rows):
+        key = (i is None, i or 0)
+        best[g] = min(best.get(g, key), key)
+    return sorted(None if none else i for none, i in best.values()) if not any(none for none, _ in best.values()) else sorted((None if none else i for none, i in best.values()), key=repr)
+
+
+def test_near_copies_stay_once(spark, docs, odd, none):
+    want = sorted(kept_of([(i, t) for i, t, _ in TEXTS]), key=repr)
+    for d in (docs, odd):
+        got = nearcopies.deduplicate(d)
+        assert got.columns == d.columns and sorted((r.doc_id for r in got.collect()), key=repr) == want
+    assert nearcopies.deduplicate(none).count() == 0
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(60):  # chains of edits: the ends are far from each other, each step is near or just not
+        w = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(20, 300))]
+        for _ in range(rng.integers(1, 12)):
+            rows.append((len(rows), " ".join(w)))
+            for k in rng.integers(0, len(w), rng.integers(0, max(2, len(w) // 25))):
+                w[k] = f"w{rng.integers(0, 5000)}"
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = set(kept_of(rows))
+    assert len(want) < len(rows) - 100
+    assert {r.doc_id for r in nearcopies.deduplicate(d).collect()} == want
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+    assert {r.doc_id for r in nearcopies.deduplicate(table).collect()} == set(kept_of(rows))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 200), st.integers(0, 24))
+def test_leaders_and_pairs_across(seed, n, radius):
+    rng = np.random.default_rng(seed)
+    fp = rng.choice(rng.integers(0, 2**63, 3, dtype=np.uint64), n)
+    for _ in range(12):
+        fp ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    far = lambda a, b: bin(int(fp[a] ^ fp[b])).count("1")
+    assert nearcopies.Planes(fp).within(fp[0], radius).tolist() == [far(0, j) <= radius for j in range(n)]
+    leader = nearcopies.led(fp, radius)
+    heads = sorted({int(x) for x in leader})
+    for j in range(n):
+        assert leader[j] == next((h for h in heads if h < j and far(h, j) <= radius and leader[h] == h), j)
+    label = rng.integers(0, 4, n)
+    a, b = nearcopies.across(fp, label, radius)
+    got = [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())]
+    assert len(set(got)) == len(got) and set(got) == {(i, j) for i in range(n) for j in range(i + 1, n) if label[i] != label[j] and far(i, j) <= radius}

@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline as cp
 from quillmark.llm import frames, mixing, toxicity
 
-from .test_dedup import brute_simhash
+from .test_dedup import kept_of
 from .test_rest import best_window
 from .test_tokens import word_bpe  # noqa: F401
 
@@ -46,7 +46,7 @@ def test_toxic_documents_go(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     a, b = stages["simhash_near_dedup"]
-    keep = {c for _, _, c in brute_simhash(rows(a))}
+    keep = set(kept_of(rows(a)))
     assert rows(b) == [r for r in rows(a) if r[0] in keep] and len(rows(b)) < len(rows(a))
 
 
