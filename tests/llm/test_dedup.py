@@ -227,13 +227,17 @@ def test_leaders_and_pairs_across(seed, n, radius):
     fp = rng.choice(rng.integers(0, 2**63, 3, dtype=np.uint64), n)
     for _ in range(12):
         fp ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
-    far = lambda a, b: bin(int(fp[a] ^ fp[b])).count("1")
+    far = lambda a, b: bin(int(fp[a]) ^ int(fp[b])).count("1")
     assert nearcopies.Planes(fp).within(fp[0], radius).tolist() == [far(0, j) <= radius for j in range(n)]
     leader = nearcopies.led(fp, radius)
     heads = sorted({int(x) for x in leader})
     for j in range(n):
         assert leader[j] == next((h for h in heads if h < j and far(h, j) <= radius and leader[h] == h), j)
     label = rng.integers(0, 4, n)
-    a, b = nearcopies.across(fp, label, radius)
-    got = [tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())]
-    assert len(set(got)) == len(got) and set(got) == {(i, j) for i in range(n) for j in range(i + 1, n) if label[i] != label[j] and far(i, j) <= radius}
+    names, counts = np.unique(label, return_counts=True)
+    one, other, dist = nearcopies.across(fp, label, radius, 3)
+    want = {i: sorted((far(i, j), j) for j in range(n) if label[i] != label[j] and far(i, j) <= radius)[:3] for i in range(n) if label[i] != names[counts.argmax()]}
+    got: dict = {}
+    for i, j, d in zip(one.tolist(), other.tolist(), dist.tolist()):
+        got.setdefault(i, []).append((d, j))
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
