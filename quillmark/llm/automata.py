@@ -196,7 +196,7 @@ class Lexicon:
     ids that end a pre-token (`</w>`), so that many simple words are encoded as one text and told apart by those marks.
     """
 
-    def __init__(self, path: str, ids: bool, most: int = 1_000_000, room: int = 1 << 25, marked: bool = False):
+    def __init__(self, path: str, ids: bool, most: int = 500_000, room: int = 1 << 24, marked: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
