@@ -18,9 +18,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 _shipped: set[str] = set()
 
 
+#: Arrow batches between Spark and its Python workers: a task holds one on either side, beside its share of the heap.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+USUAL_BATCH, SMALL_BATCH = "67108864b", "8388608b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers, once per Spark application."""
+    """Make this package importable in the executors' Python workers, once per Spark application; and batches of text small, unless the session says otherwise."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get(BATCH, None) == USUAL_BATCH:
+        spark.conf.set(BATCH, SMALL_BATCH)
     if app in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
