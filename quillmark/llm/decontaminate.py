@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .frames import pieces, ship, text_bytes
+from .frames import pieces, ship, text_bytes, worker_cache
 from .kernels import U, expand, fold, prefix_sums, span_hashes, window_hashes, word_spans
 
 #: Words are runs of ASCII letters, digits and bytes over 127, so that case, blanks and marks don't hide a passage.
@@ -193,6 +193,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            worker_cache("decontamination")
             ix = shared.value
             for batch in batches:
                 for part in pieces(batch, "text"):
@@ -219,6 +220,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            worker_cache("decontamination")
             ix = shared.value
             for batch in batches:
                 for part in pieces(batch, "__text"):

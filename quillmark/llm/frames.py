@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,29 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task. A worker that turns to another operator forgets the first one's and gives its memory back."""
+    if owner not in _kept:
+        if TaskContext.get() is not None and _kept:
+            _kept.clear()
+            give_back()
+        _kept[owner] = {}
+    return _kept[owner]
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, as idle workers share an executor's memory with what comes next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import binary_array, materialize, pieces, shared_dir, ship, text_bytes
+from .frames import binary_array, materialize, pieces, shared_dir, ship, text_bytes, worker_cache
 from .kernels import gather, prefix_sums, span_hashes, word_spans
 from .token_counts import tokenizer_path
 
@@ -33,8 +33,6 @@ LEAST, USUAL, MOST = 64, 256, 2048
 BLOCK = 1024
 ADDRESS = 16
 
-_made: dict = {}
-
 
 @dataclass(frozen=True)
 class Store:
@@ -46,9 +44,10 @@ def encoder(path: str):
     """The lexicon of words with their ids; one a Python worker."""
     from .automata import Lexicon
 
-    if path not in _made:
-        _made[path] = Lexicon(path, ids=True, marked=True)
-    return _made[path]
+    made = worker_cache("idstore")
+    if path not in made:
+        made[path] = Lexicon(path, ids=True, marked=True)
+    return made[path]
 
 
 def encode_bytes(data: np.ndarray, offsets: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:

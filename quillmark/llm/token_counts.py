@@ -8,9 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .frames import pieces, ship, text_bytes
-
-_made: dict = {}
+from .frames import pieces, ship, text_bytes, worker_cache
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,11 +21,12 @@ def counter(path: str):
     """(machine, lexicon, special strings) for a byte-level BPE file; one a Python worker."""
     from .automata import Lexicon, PreTokenizer
 
-    if path not in _made:
+    made = worker_cache("token_counts")
+    if path not in made:
         lexicon = Lexicon(path, ids=False)
         special = {t.content: i for i, t in lexicon.tokenizer.get_added_tokens_decoder().items()}
-        _made[path] = PreTokenizer(keep_spaces=True, long_numbers=True), lexicon, special
-    return _made[path]
+        made[path] = PreTokenizer(keep_spaces=True, long_numbers=True), lexicon, special
+    return made[path]
 
 
 def count_texts(texts: list[str], path: str) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import pieces, ship, text_bytes
+from .frames import pieces, ship, text_bytes, worker_cache
 from .kernels import U, fold, prefix_sums, span_hashes, word_spans
 
 #: Terms are runs of ASCII letters and digits and of all bytes over 127.
@@ -154,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Machine
     bits = s.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         for batch in batches:
             for part in pieces(batch, "text", 1 << 21):
                 doc, term = distinct_pairs(*hashed_terms(*text_bytes(part.column("text")), bits), 1 << bits)
@@ -178,6 +179,7 @@ def _scored(docs: DataFrame, machine: Machine, columns: list[str]) -> DataFrame:
     shared = spark.sparkContext.broadcast(machine)  # 2^bits places and s.terms rows: bounded by Settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("toxicity")
         m = shared.value
         for batch in batches:
             for part in pieces(batch, "__text", 1 << 21):
