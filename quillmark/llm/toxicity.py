@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import pieces, ship, text_bytes, worker_cache
+from .frames import give_back, pieces, ship, text_bytes, worker_cache
 from .kernels import U, fold, prefix_sums, span_hashes, word_spans
 
 #: Terms are runs of ASCII letters and digits and of all bytes over 127.
@@ -170,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Machine
     offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy()
     # The same order, whatever the partitions: by doc_id, then by terms where an id repeats.
     order = sorted(range(len(ids)), key=lambda i, k=ids.to_numpy(): (k[i], offsets[i + 1] - offsets[i], crc32(values[offsets[i] : offsets[i + 1]])))
-    return train([values[offsets[i] : offsets[i + 1]] for i in order], labels_.to_numpy()[order], s)
+    machine = train([values[offsets[i] : offsets[i + 1]] for i in order], labels_.to_numpy()[order], s)
+    give_back()  # the driver's arrays
+    return machine
 
 
 def _scored(docs: DataFrame, machine: Machine, columns: list[str]) -> DataFrame:
