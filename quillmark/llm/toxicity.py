@@ -171,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Machine
     # The same order, whatever the partitions: by doc_id, then by terms where an id repeats.
     order = sorted(range(len(ids)), key=lambda i, k=ids.to_numpy(): (k[i], offsets[i + 1] - offsets[i], crc32(values[offsets[i] : offsets[i + 1]])))
     machine = train([values[offsets[i] : offsets[i + 1]] for i in order], labels_.to_numpy()[order], s)
+    del ids, labels_, flat, offsets, values, order
     give_back()  # the driver's arrays
     return machine
 
