@@ -305,3 +305,32 @@ def test_command_line(capsys):
     from quillmark.cli import main
 
     assert main([]) == 0 and "topic_trend_linreg" in capsys.readouterr().out
+
+
+def test_many_zones(spark):
+    from quillmark.operators import sequence
+
+    zones = spark.createDataFrame([(f"z{i}", 10 * i, 10 * i + 8) for i in range(1500)] + [("late", 5, 12)], "zone string, lo int, hi int")
+    rows = spark.createDataFrame([(n,) for n in (0, 9, 10, 14995, 14999, 15000, 11)], "n int")
+    got = {r.n: r.zone for r in sequence.in_zone(rows, zones, "n").collect()}
+    assert got == {0: "z0", 9: "late", 10: "late", 14995: "z1499", 14999: None, 15000: None, 11: "late"}
+
+
+def test_many_keywords(spark):
+    from quillmark.operators import similarity
+
+    k = spark.createDataFrame([(f"t{i // 3}", "s", f"word{i}x", 1.0, i // 3) for i in range(12_000)], "topic string, section string, keyword string, weight double, ord int")
+    rows = spark.createDataFrame([(1, "a word11999x here"), (2, "none"), (3, "WORD3x word4x, aword5xb word0x"), (4, None)], "id long, text string")
+    got = {r.id: (r.topic, round(r.topic_score, 6), r.alternates) for r in similarity.keyword_topics(rows, k, F.col("text")).collect()}
+    assert got == {1: ("t3999", 1.0, ""), 2: ("unknown", 0.0, ""), 3: ("t1", 1.0, "t0"), 4: ("unknown", 0.0, "")}
+
+
+def test_reports_tell_what_they_leave_out(spark, tmp_path):
+    from quillmark.sources import writers
+
+    rows = spark.range(30).withColumnRenamed("id", "n")
+    assert "<p>10 of 30 rows</p>" in writers.html_report(rows, "t", 10) and "<p>" not in writers.html_report(rows, "t", 30)
+    with pytest.raises(ValueError, match="over 10 rows"):
+        writers.script_bundle("x", {"a": rows}, 10)
+    writers.write_html(rows, f"file://{tmp_path}/h", "n")
+    assert spark.read.text(f"file://{tmp_path}/h/rows").count() == 30
