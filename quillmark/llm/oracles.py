@@ -58,4 +58,19 @@ z AS (SELECT host, (k + mean * st) / (n + st) AS rate FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rate > 0.5 AS kept, round(rate, 6) AS host_rate FROM b JOIN z USING (host)
 """
 
-ORACLES = {"op4_mix_sources": OP4, "op6_chat_format": OP6, "op7_quality_rules": OP7}
+#: Every order is walked by itself: which documents are left before and after each step, by their failing filters as bits of `fails`.
+OP11 = f"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+y AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
++ CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS fails FROM w LEFT JOIN y USING (doc_id)),
+p AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+f AS (SELECT chr(CAST(65 + i AS INT)) AS f, CAST(1 << i AS BIGINT) AS bit FROM range(5) r(i)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, CAST(k AS INT) AS step, bits[k] AS bit, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS BIGINT) AS before FROM o, range(1, 6) r(k)),
+x AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (fails & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit > 0), 0) AS removed, coalesce(sum(n) FILTER (fails & before > 0 AND fails & bit > 0), 0) AS redundant, coalesce(sum(n) FILTER (fails = bit), 0) AS unique_fails,
+coalesce(sum(good) FILTER (fails & before = 0 AND fails & bit > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & bit > 0), 0) AS toxic_lost FROM p, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x
+"""
+
+ORACLES = {"op4_mix_sources": OP4, "op6_chat_format": OP6, "op7_quality_rules": OP7, "op11_filter_audit": OP11}

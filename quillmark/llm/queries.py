@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, frames, idstore, mixing, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
+from . import alignment, audit, chat, decontaminate, frames, idstore, mixing, neighbours, quality, secrets, simhash, suffix_dedup, token_counts, toxicity
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -52,4 +52,17 @@ def op10_token_store(spark, sf_dir):
     return idstore.ids_digest(frames.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_decontaminate, op4_mix_sources, op5_secret_scan, op6_chat_format, op7_quality_rules, op8_simhash_dedup, op9_toxicity, op10_token_store)}
+def op11_filter_audit(spark, sf_dir):
+    return audit.audit(frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "labels"))
+
+
+def op12_nearest_neighbours(spark, sf_dir):
+    e = frames.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(e, e.filter("vec_id % 100 = 0"))
+
+
+def op13_align_tokenizers(spark, sf_dir):
+    return alignment.alignment_digest(frames.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_counts, op3_decontaminate, op4_mix_sources, op5_secret_scan, op6_chat_format, op7_quality_rules, op8_simhash_dedup, op9_toxicity, op10_token_store, op11_filter_audit, op12_nearest_neighbours, op13_align_tokenizers)}
