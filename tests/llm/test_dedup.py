@@ -220,24 +220,67 @@ def test_near_copies_stay_once(spark, docs, odd, none):
     assert {r.doc_id for r in nearcopies.deduplicate(table).collect()} == set(kept_of(rows))
 
 
+def edited(words, n, rng):
+    w = list(words)
+    for k in rng.choice(len(w), n, replace=False):
+        w[k] = f"e{rng.integers(0, 10**9)}"
+    return w
+
+
+def template_pages(n, seed=5):
+    """One page of 120 words; n / 2 variants with 2 words replaced, each with a copy that has 2 more replaced."""
+    rng = np.random.default_rng(seed)
+    base, rows = [f"t{x}" for x in rng.integers(0, 10**6, 120)], []
+    for _ in range(n // 2):
+        one = edited(base, 2, rng)
+        rows += [" ".join(one), " ".join(edited(one, 2, rng))]
+    return [(int(i), rows[k]) for k, i in enumerate(rng.permutation(len(rows)))]
+
+
+@pytest.mark.parametrize("crowd", [4096, 50])
+def test_template_pages(spark, crowd):
+    """Hundreds of texts of one bucket, most pairs just under the bound: every pair is decided, also if buckets are dealt to parts."""
+    rows = template_pages(600)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = set(kept_of(rows))
+    assert len(want) < 100
+    got = {r.doc_id for r in nearcopies.deduplicate(d, nearcopies.Settings(crowd=crowd)).collect()}
+    assert got == want
+
+
+def test_hot_group_and_long_near_copies(spark):
+    """Half of all rows are copies of one text, a third near copies of it; two texts of 5 MB differ in a word."""
+    rng = np.random.default_rng(6)
+    base = [f"h{x}" for x in rng.integers(0, 10**6, 150)]
+    rows = [" ".join(base)] * 600 + [" ".join(edited(base, 1, rng)) for _ in range(400)] + [" ".join(f"u{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(100)]
+    long = [f"word{x}" for x in rng.integers(0, 10**6, 600_000)]
+    rows += [" ".join(long), " ".join(edited(long, 1, rng)), " ".join(edited(long, 300_000, rng))]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id for r in nearcopies.deduplicate(d, nearcopies.Settings(crowd=64)).collect()}
+    assert got == {0, *range(1000, 1101), 1102}
+
+
 @settings(max_examples=40, deadline=None)
-@given(st.integers(0, 2**32), st.integers(1, 200), st.integers(0, 24))
-def test_leaders_and_pairs_across(seed, n, radius):
+@given(st.integers(0, 2**32), st.integers(2, 60), st.booleans())
+def test_links_within_a_cell(seed, n, all_home):
     rng = np.random.default_rng(seed)
-    fp = rng.choice(rng.integers(0, 2**63, 3, dtype=np.uint64), n)
-    for _ in range(12):
-        fp ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
-    far = lambda a, b: bin(int(fp[a]) ^ int(fp[b])).count("1")
-    assert nearcopies.Planes(fp).within(fp[0], radius).tolist() == [far(0, j) <= radius for j in range(n)]
-    leader = nearcopies.led(fp, radius)
-    heads = sorted({int(x) for x in leader})
-    for j in range(n):
-        assert leader[j] == next((h for h in heads if h < j and far(h, j) <= radius and leader[h] == h), j)
-    label = rng.integers(0, 4, n)
-    names, counts = np.unique(label, return_counts=True)
-    one, other, dist = nearcopies.across(fp, label, radius, 3)
-    want = {i: sorted((far(i, j), j) for j in range(n) if label[i] != label[j] and far(i, j) <= radius)[:3] for i in range(n) if label[i] != names[counts.argmax()]}
-    got: dict = {}
-    for i, j, d in zip(one.tolist(), other.tolist(), dist.tolist()):
-        got.setdefault(i, []).append((d, j))
-    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(40) < 0.1, rng.integers(0, 2**63, 40, dtype=np.uint64), base)) for _ in range(n)]
+    group, home = rng.integers(0, max(2, n // 2), n), np.ones(n, bool) if all_home else rng.random(n) < 0.5
+    s = nearcopies.Settings(radius=64)
+    got = nearcopies.linked(sets, np.zeros(n, np.uint64), group, home, s)
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9
+    every = [(i, j) for i in range(n) for j in range(i + 1, n) if (home[i] or home[j]) and alike(i, j)]
+    assert all(p in every for p in got)
+    known = [(i, j) for i in range(n) for j in range(i + 1, n) if group[i] == group[j]]
+
+    def roots(pairs):
+        root = list(range(n))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [a if x == b else x for x in root]
+        return [root.index(x) for x in root]
+
+    assert roots(known + got) == roots(known + every)
+    assert len(got) == len(set(roots(known))) - len(set(roots(known + every)))
