@@ -100,3 +100,29 @@ NEWS_FULL_WEIGHT = ["defense", "sports", "awards"]
 NEWS_NAMES = {"defense": "Defense & Military", "international": "International Relations", "sports": "Sports", "science": "Science & Technology", "economy": "Economy & Budget", "awards": "Awards & Honors"}
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv", "xvi", "xvii", "xviii", "xix", "xx"]
+
+# --- fixed values: how questions are marked in papers, surest first; the second value tells whether options on the mark's line end the text ---
+QUESTION_MARKS = [
+    (r"(\d{1,9})\s*[.)]", True), (r"Q\.?\s*(\d{1,9})\s*[.:)]?", False), (r"Question\s+(\d{1,9})\s*[.:)]?", False), (r"\((\d{1,9})\)", True), (r"\[(\d{1,9})\]", True),
+    (r"Ques\.?\s*(\d{1,9})\s*[.:)]?", False), (r"(\d{1,9})\s*\.(?=\s*[A-Z])", False), (r"(\d{1,9})\s*:", True),
+]
+ROMAN_MARK = (r"(x{0,3}(?:ix|iv|v?i{0,3}))\s*[.)]", False)
+RELAXED_MARKS = [(r"(8[1-9]|9\d|100)\s+(?=[A-Z])", True), (r"Q\.?\s*(8[1-9]|9\d|100)", True), (r"[\[(](8[1-9]|9\d|100)[\])]", True), (r"(8[1-9]|9\d|100)\s", True)]
+LINE_MARK = r"(?i)^(?:\d{1,3}\s*[.):]|Q\.?\s*\d{1,3}|\(\d{1,3}\)|\[\d{1,3}\]|Question\s+\d{1,3}|Ques\.?\s*\d{1,3})"
+PAGE_MARK = r"(?i)^---\s*PAGE\s*(\d+)\s*---"
+
+# --- fixed values: figure questions ---
+FIGURE_PATTERNS = [
+    r"complete\s+the\s+(pattern|series|figure)", r"which\s+(figure|pattern)\s+(completes|comes\s+next)", r"find\s+the\s+missing\s+(figure|pattern|number)",
+    r"mirror\s+image", r"water\s+image", r"reflection\s+of",
+    r"paper\s+(folding|cutting|punching)", r"fold(ed)?\s+(paper|sheet)",
+    r"cube|dice|unfolded", r"opposite\s+(face|side)",
+    r"count(ing)?\s+(the\s+)?(triangles?|squares?|figures?|lines?)", r"how\s+many\s+(triangles?|squares?|figures?)",
+    r"embedded\s+figure", r"hidden\s+(in|figure)",
+    r"figure\s+(series|analogy|matrix)", r"(choose|select|find)\s+the\s+(odd|different)\s+(figure|one)",
+    r"rotat(e|ed|ion)", r"position\s+of\s+the",
+    r"(see|refer|given|above|below)\s+(figure|diagram|image)", r"in\s+the\s+(given\s+)?(figure|diagram)",
+    r"venn\s+diagram", r"shaded\s+(region|area|part)",
+]
+FIGURE_ASKING = r"\b(is|are|was|were|will|what|which|who|how)\b"
+RESCUE_LABELS = {"verbal_ability": "VERBAL", "general_awareness": "GA", "reasoning": "REASONING", "numerical_ability": "MATH"}
