@@ -1,4 +1,5 @@
-"""The two text functions that built-in expressions can't state: places of all matches, and replacement one match at a time. Batches go by Arrow."""
+"""Text functions that built-in expressions can't state, or state only at many times the cost: places of all matches, replacement one match at a time, which of
+many word lists a text holds. Batches go by Arrow."""
 
 from __future__ import annotations
 
@@ -54,3 +55,35 @@ def template_of(text: Column) -> Column:
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "string")(text)
+
+
+def lists_held(text: Column, lists: list[list[str]]) -> Column:
+    """A number whose bit i tells whether text holds any of lists[i] as a substring: one automaton over all lists, which stops where no bit is left to set."""
+    import pandas as pd
+
+    bits: dict[str, int] = {}
+    for i, words in enumerate(lists):
+        for w in words:
+            bits[w] = bits.get(w, 0) | 1 << i
+    every = (1 << len(lists)) - 1
+
+    def run(s):
+        from ahocorasick import Automaton
+
+        a = Automaton()
+        for w, b in bits.items():
+            a.add_word(w, b)
+        a.make_automaton()
+
+        def held(t: str | None) -> int:
+            got = 0
+            for _, b in a.iter(t or ""):
+                got |= b
+                if got == every:
+                    break
+            return got
+
+        return s.map(held)
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "long")(text)

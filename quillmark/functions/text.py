@@ -1,4 +1,4 @@
-"""Text expressions: Column -> Column, no Python on the executors. IDs in brackets are those of the operator inventory."""
+"""Text expressions: Column -> Column, no Python on the executors but for section_of, whose 300 words one automaton finds. IDs in brackets are those of the operator inventory."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .matching import lists_held
 
 
 def bind(value: Column, body) -> Column:
@@ -182,25 +183,32 @@ def _type_of(row: Column) -> Column:
     return F.struct(F.when(best > 0, first_largest(s)).otherwise("unknown").alias("kind"), F.when(best > 0, best / total).otherwise(0.0).alias("confidence"))
 
 
-def section_scores(text: Column, low: Column) -> dict[str, Column]:
-    s = {k: F.when(holds_any(low, a), w).otherwise(0) + F.when(holds_any(low, b), v).otherwise(0) for (k, (a, b)), (w, v) in zip(fixed.SECTION_WORDS.items(), fixed.SECTION_WEIGHTS.values())}
+#: What one automaton looks for: the two lists of each section, then the guard's, passages' and figures' phrases.
+_PASSAGES = ["read the following passage", "read the passage", "based on the passage", "according to the passage"]
+_SECTION_LISTS = [words for pair in fixed.SECTION_WORDS.values() for words in pair] + [fixed.VERBAL_GUARD.split("|"), _PASSAGES, fixed.FIGURE.split("|")]
+
+
+def section_scores(text: Column, held) -> dict[str, Column]:
+    """held(i): whether the text holds any of the i-th list."""
+    s = {k: F.when(held(2 * i), w).otherwise(0) + F.when(held(2 * i + 1), v).otherwise(0) for i, (k, (w, v)) in enumerate(fixed.SECTION_WEIGHTS.items())}
     digits = F.regexp_count(text, F.lit("[0-9]"))
     s["numerical_ability"] += F.when(text.rlike(r"\d+\s*[+\-×÷*/=<>%]\s*\d+"), 4).otherwise(0) + F.when(text.rlike(r"\d+\s*:\s*\d+"), 3).otherwise(0) + F.when(digits > 8, 2).when(digits > 4, 1).otherwise(0)
-    s["verbal_ability"] += F.when(low.rlike(fixed.PASSAGE), 5).otherwise(0)
-    s["reasoning"] += F.when(low.rlike(fixed.FIGURE), 2).otherwise(0)
-    s["general_awareness"] += F.when(text.rlike(fixed.YEAR), 1).otherwise(0)
+    s["verbal_ability"] += F.when(held(9), 5).otherwise(0)
+    s["reasoning"] += F.when(held(10), 2).otherwise(0)
+    s["general_awareness"] += F.when((text.contains("19") | text.contains("20")) & text.rlike(fixed.YEAR), 1).otherwise(0)
     return s
 
 
 def section_of(text: Column) -> Column:
     """A guard for verbal questions, then the first largest of four scores; under two, by the shape of the question."""
-    def judged(low):
-        plain = F.when(low.rlike(fixed.ASKING), "general_awareness").when(text.rlike("[0-9]") & (F.length(text) < 200), "numerical_ability").otherwise("general_awareness")
-        row = F.struct(*(v.alias(k) for k, v in section_scores(text, low).items()))
+    def judged(mask):
+        held = lambda i: mask.bitwiseAND(F.lit(1 << i)) > 0
+        plain = F.when(F.lower(text).rlike(fixed.ASKING), "general_awareness").when(text.rlike("[0-9]") & (F.length(text) < 200), "numerical_ability").otherwise("general_awareness")
+        row = F.struct(*(v.alias(k) for k, v in section_scores(text, held).items()))
         scored = bind(row, lambda s: F.when(F.greatest(*(s[k] for k in fixed.SECTION_WORDS)) >= 2, first_largest({k: s[k] for k in fixed.SECTION_WORDS})))
-        return F.when(low.rlike(fixed.VERBAL_GUARD) | text.rlike(fixed.BLANKS), "verbal_ability").otherwise(F.coalesce(scored, plain))
+        return F.when(held(8) | text.rlike(fixed.BLANKS), "verbal_ability").otherwise(F.coalesce(scored, plain))
 
-    return bind(F.lower(text), judged)
+    return bind(lists_held(F.lower(text), _SECTION_LISTS), judged)
 
 
 def news_class(text: Column) -> Column:

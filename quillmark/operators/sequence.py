@@ -86,14 +86,30 @@ def neighbour_inference(rows: DataFrame, group: list[str], order: list[str], num
     return r.withColumn("inferred", F.when(on, F.col("__guess")).otherwise(F.col(section))).withColumn("was_inferred", on & F.col("__guess").isNotNull()).drop("__guess")
 
 
+#: Widths of bins are powers of two; zones shorter than the least one share its bins.
+NARROWEST, WIDEST = -20, 62
+
+
 def in_zone(rows: DataFrame, zones: DataFrame, number: str, how: str = "left") -> DataFrame:
-    """[J5, P32] zones (zone, lo, hi): the zone that holds the number; of several, the first by lo, hi and name.
+    """[J5, P32] zones (zone, lo, hi): the zone that holds the number, both ends included; of several, the first by lo, hi and name.
 
-    Numbers are question numbers: zones are spelled out number by number, so any number of them is one equi-join, whose small side Spark broadcasts by its size.
+    A range join by bins: a zone goes to the one or two bins that cover it, of the least width that is at least its length; a number to its bin of each width
+    that zones have (one small list reaches the driver). Numbers and bounds may be fractions and zones of any length; what the bins join is checked
+    exactly. Each different number is looked up once. Null and NaN numbers are in no zone; nor does anything lie in a zone whose bounds are null or crossed.
     """
-    each = zones.select(F.explode(F.sequence(F.col("lo").cast("long"), F.greatest("lo", "hi").cast("long"))).alias("__number"), F.struct("lo", "hi", "zone").alias("__z")).filter("__number <= __z.hi")
-    first = each.groupBy("__number").agg(F.min("__z")["zone"].alias("zone"))
-    return rows.join(first, F.col(number).cast("long") == F.col("__number"), how).drop("__number")
+    lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
+    level = F.greatest(F.lit(NARROWEST), F.least(F.lit(WIDEST), F.ceil(F.log2(F.greatest(hi - lo, F.lit(2.0**NARROWEST)))).cast("int")))
+    far = 2.0**WIDEST  # what lies farther out, infinite bounds too, shares the outermost bins
+    bin_of = lambda x, width: F.floor(F.greatest(F.lit(-far), F.least(F.lit(far), x)) / F.pow(F.lit(2.0), width))
+    z = zones.filter(lo <= hi).withColumn("__level", level)
+    z = z.withColumn("__bin", F.explode(F.sequence(bin_of(lo, F.col("__level")), bin_of(hi, F.col("__level")))))
+    widths = sorted(r[0] for r in z.select("__level").distinct().collect())
+    numbers = rows.select(F.col(number).alias("__number")).distinct().filter(F.col("__number").isNotNull() & ~F.isnan(F.col("__number").cast("double")))
+    at = numbers.withColumn("__level", F.explode(F.array(*map(F.lit, widths)).cast("array<int>")))
+    at = at.withColumn("__bin", bin_of(F.col("__number").cast("double"), F.col("__level")))
+    held = at.join(z.select("__level", "__bin", "lo", "hi", "zone"), ["__level", "__bin"]).filter(F.col("__number").cast("double").between(lo, hi))
+    first = held.groupBy("__number").agg(F.min(F.struct("lo", "hi", "zone"))["zone"].alias("zone"))
+    return rows.join(first, F.col(number) == F.col("__number"), how).drop("__number")
 
 
 def zone_enforced(rows: DataFrame, section: str, confidence: Column, mode: str = "flex", sure: float = 0.9) -> DataFrame:
