@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import greedy
+
 
 def roi(questions: Column, trend: Column, p: Column, time: Column) -> Column:
     """[A41, F28] Expected marks for the time: q x trend x (3 p - (1 - p)) / max(time, .1)."""
@@ -86,17 +88,21 @@ def greedy_fill(rows: DataFrame, want: str, over: list[str], order: list, quota:
     return r.withColumn(out, F.greatest(F.lit(0), F.least(F.col("__w"), quota - before))).drop("__w")
 
 
-def pack_weeks(rows: DataFrame, hours: str, over: list[str], order: list[str], per_week: float) -> DataFrame:
-    """[W15, X13] Week numbers: hours add up until a week is full, then start anew. A resetting sum is a fold over the ordered plan of one group."""
-    g = rows.groupBy(*over).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(hours).cast("double").alias("__h")))).alias("p"))
-    zero = F.struct(F.lit(1).alias("week"), F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("weeks"))
+def pack_weeks(rows: DataFrame, hours: str, over: list[str], order: list[str], per_week: float, crowd: int = greedy.CROWD) -> DataFrame:
+    """[W15, X13] Week numbers: hours add up, in decimal to nine places, until a week is full, then start anew. Groups up to `crowd` rows are a fold over the ordered
+    plan, larger ones a walk by pointers over many tasks, with the same result. Null and negative hours count as none."""
+    few, many = greedy.crowded(rows.select(*over, *order, F.col(hours).cast("double").alias(hours)), over, crowd)
+    number, full_at = "decimal(28,9)", F.lit(per_week).cast("decimal(28,9)")
+    g = few.groupBy(*over).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(hours).alias("__h")))).alias("p"))
+    zero = F.struct(F.lit(1).alias("week"), F.lit(0).cast(number).alias("sum"), F.array().cast("array<int>").alias("weeks"))
 
     def step(a, x):
-        full = a["sum"] + x["__h"] >= per_week
-        return F.struct((a["week"] + full.cast("int")).alias("week"), F.when(full, 0.0).otherwise(a["sum"] + x["__h"]).alias("sum"), F.concat(a["weeks"], F.array(a["week"])).alias("weeks"))
+        now = (a["sum"] + F.greatest(F.coalesce(x["__h"], F.lit(0.0)), F.lit(0.0)).cast(number)).cast(number)
+        return F.struct((a["week"] + (now >= full_at).cast("int")).alias("week"), F.when(now >= full_at, F.lit(0).cast(number)).otherwise(now).alias("sum"), F.concat(a["weeks"], F.array(a["week"])).alias("weeks"))
 
     g = g.withColumn("w", F.aggregate("p", zero, step, lambda a: a["weeks"]))
-    return g.select(*over, F.explode(F.arrays_zip("p", "w")).alias("z")).select(*over, *(F.col(f"z.p.{c}").alias(c) for c in order), F.col("z.p.__h").alias(hours), F.col("z.w").alias("week"))
+    folded = g.select(*over, F.explode(F.arrays_zip("p", "w")).alias("z")).select(*over, *(F.col(f"z.p.{c}").alias(c) for c in order), F.col("z.p.__h").alias(hours), F.col("z.w").alias("week"))
+    return folded if many is None else folded.unionByName(greedy.filled_weeks(many, hours, over, order, per_week))
 
 
 def hours_by_share(rows: DataFrame, value: str, over: list[str], total: float, out: str = "hours") -> DataFrame:

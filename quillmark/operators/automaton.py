@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Different words of a shard at most, about, and characters of a chunk of texts.
 SHARD, CHUNK = 50_000, 1 << 25
@@ -63,8 +64,8 @@ def keyword_hits(texts: DataFrame, words: DataFrame, shard: int = SHARD, chunk:
     words has each word once; empty ones hit nothing. A text is a task's row, a chunk of texts is in one task.
     """
     spark = texts.sparkSession
-    key, tag = texts.schema["key"].dataType.simpleString(), words.schema["tags"].dataType.elementType
-    schema = f"key {key}, tag {tag.simpleString()}, whole boolean"
+    # Tags keep their fields' nullability, which is part of an Arrow type.
+    schema = T.StructType([T.StructField("key", texts.schema["key"].dataType), T.StructField("tag", words.schema["tags"].dataType.elementType), T.StructField("whole", T.BooleanType())])
     n = words.count()
     if n <= shard:
         known = words.orderBy("word").toArrow()  # checked: one shard at most

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import greedy
+
 
 def in_order(group: list[str], order: list[str]):
     return Window.partitionBy(*group).orderBy(*order)
@@ -98,7 +100,7 @@ def in_zone(rows: DataFrame, zones: DataFrame, number: str, how: str = "left") -
     exactly. Each different number is looked up once. Null and NaN numbers are in no zone; nor does anything lie in a zone whose bounds are null or crossed.
     """
     lo, hi = F.col("lo").cast("double"), F.col("hi").cast("double")
-    level = F.greatest(F.lit(NARROWEST), F.least(F.lit(WIDEST), F.ceil(F.log2(F.greatest(hi - lo, F.lit(2.0**NARROWEST)))).cast("int")))
+    level = F.ceil(F.log2(F.greatest(F.least(hi - lo, F.lit(2.0**WIDEST)), F.lit(2.0**NARROWEST)))).cast("int")
     far = 2.0**WIDEST  # what lies farther out, infinite bounds too, shares the outermost bins
     bin_of = lambda x, width: F.floor(F.greatest(F.lit(-far), F.least(F.lit(far), x)) / F.pow(F.lit(2.0), width))
     z = zones.filter(lo <= hi).withColumn("__level", level)
@@ -140,12 +142,16 @@ def segments(rows: DataFrame, group: list[str], start: str, end: Column) -> Data
     return rows.withColumn("segment_end", F.coalesce(F.lead(start).over(in_order(group, [start])), end))
 
 
-def without_overlap(rows: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
-    """[W17] Greedy, first come: a span stays if it starts at or after the end of the last one kept. A fold over one group's spans."""
-    g = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")))).alias("p"))
-    zero = F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("kept"))
+def without_overlap(rows: DataFrame, group: list[str], start: str, end: str, crowd: int = greedy.CROWD) -> DataFrame:
+    """[W17] Greedy, first come: a span stays if it starts at or after the end of the last one kept. Groups up to `crowd` spans are a fold, larger ones a walk by
+    pointers over many tasks, with the same result. Spans with a null bound stay out."""
+    rows = rows.select(*group, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end)).filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+    few, many = greedy.crowded(rows, group, crowd)
+    g = few.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e")))).alias("p"))
+    zero = F.struct(F.lit(-(2**63)).cast("long").alias("last"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("kept"))
     step = lambda a, x: F.when(x["s"] >= a["last"], F.struct(x["e"].alias("last"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
-    return g.select(*group, F.explode(F.aggregate("p", zero, step, lambda a: a["kept"])).alias("z")).select(*group, F.col("z.s").alias(start), F.col("z.e").alias(end))
+    folded = g.select(*group, F.explode(F.aggregate("p", zero, step, lambda a: a["kept"])).alias("z")).select(*group, F.col("z.s").alias(start), F.col("z.e").alias(end))
+    return folded if many is None else folded.unionByName(greedy.spans_apart(many, group, start, end))
 
 
 def renumber(rows: DataFrame, group: list[str], order: list[str], number: str, upto: Column | None = None) -> DataFrame:

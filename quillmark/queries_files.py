@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import normalize as nz, text as tx
+from .operators.lineage import scratch
 from .queries import query, table
 from .sources import readers as rd
 from .sources import writers as wr
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster shares (spark.checkpoint.dir); unset, a temporary one, in local mode only."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="quillmark-files-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def part_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as questions: every seventh has no topic, every fifth no shift, every third no difficulty."""
     k = F.col("p_partkey")
