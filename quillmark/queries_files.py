@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import normalize as nz, text as tx
 from .operators.lineage import scratch
 from .queries import query, table
+from .sources import bank as bk
 from .sources import readers as rd
 from .sources import writers as wr
 
@@ -157,6 +158,23 @@ def bank_append(spark, sf_dir):
     return rd.read_bank(spark, at).select("doc_id", "round")
 
 
+@query("WITH d AS (SELECT doc_id, md5(trim(regexp_replace(lower(text), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS k FROM documents), g AS (SELECT min(doc_id) FILTER (doc_id % 2 = 0) AS even, min(doc_id) AS first FROM d GROUP BY k) SELECT coalesce(even, first) AS doc_id, CASE WHEN even IS NOT NULL THEN 1 ELSE 2 END AS round FROM g")
+def bank_commits(spark, sf_dir):
+    """[K3] Two writers at once: the odd ids' writer has written before the even ids' one commits, finds itself too late, and takes out the texts that came in; both
+    then repeat their work, which adds nothing."""
+    at, d = scratch(spark, "commits"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    key = lambda x: tx.text_key(x["text"])
+
+    def add(round_: int, rest: int, **more) -> int:
+        return bk.append_unique(at, d.filter(F.col("doc_id") % 2 == rest).withColumn("round", F.lit(round_)), key, "doc_id", **more)
+
+    once = []
+    add(2, 1, batch="odd", before_commit=lambda: once or once.append(add(1, 0)))
+    add(1, 0)
+    add(2, 1, batch="odd")
+    return bk.read_committed(spark, at).select("doc_id", "round")
+
+
 @query("SELECT (SELECT count(*) FROM region) AS before, 0 AS after")
 def bank_clear(spark, sf_dir):
     at, d = scratch(spark, "bank"), table(spark, sf_dir, "region")

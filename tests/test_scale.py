@@ -147,3 +147,27 @@ def test_bisect_is_what_pointers_ask(spark):
     got = greedy.first_at_least(greedy.numbered(d, ["g"], ["v", "i"]), ["g"], "v", "a", "to").collect()
     assert len(got) == 200 and all(x["__pos"] == x.i for x in got)
     assert all(x.to == (p if (p := bisect.bisect_left(vs, x.a)) < 200 else None) for x in got)
+
+
+# --- the bank ---
+def test_interleaved_and_repeated_appends(spark, tmp_path):
+    from quillmark.sources import bank
+
+    at, key = f"file://{tmp_path}/bank", lambda d: F.lower(F.trim("text"))
+    rows = lambda *xs: spark.createDataFrame(list(xs), "id int, text string")
+    texts = lambda: sorted((r.id, r.text) for r in bank.read_committed(spark, at).collect())
+    assert bank.read_committed(spark, at) is None
+    assert bank.append_unique(at, rows((1, "A"), (2, "a "), (3, None)), key, "id", batch="one") == 1
+    assert bank.append_unique(at, rows((9, "z")), key, "id", batch="one") == 0 and texts() == [(1, "A")]
+    # The second writer commits while the first has written and not yet committed; a third does so when the first tries again.
+    others = [lambda: bank.append_unique(at, rows((10, "b"), (11, "c")), key, "id"), lambda: bank.append_unique(at, rows((12, "d")), key, "id")]
+    assert bank.append_unique(at, rows((4, "B"), (5, "D"), (6, "e")), key, "id", before_commit=lambda: others and others.pop(0)()) == 1
+    assert texts() == [(1, "A"), (6, "e"), (10, "b"), (11, "c"), (12, "d")]
+    # The same batch by two workers at once counts once.
+    again = [lambda: bank.append_unique(at, rows((20, "x")), key, "id", batch="two")]
+    assert bank.append_unique(at, rows((20, "x")), key, "id", batch="two", before_commit=lambda: again and again.pop()()) == 0
+    assert bank.append_unique(at, rows((4, "B")), key, "id") == 0 and bank.append_unique(at, rows((7, None)), key, "id") == 0
+    assert [t for _, t in texts()].count("x") == 1
+    # New columns are kept; earlier versions stay readable.
+    assert bank.append_unique(at, rows((30, "y")).withColumn("more", F.lit("m")), key, "id") == 1
+    assert {r.more for r in bank.read_committed(spark, at).collect()} == {None, "m"} and bank.read_committed(spark, at, 1).count() == 1
