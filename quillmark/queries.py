@@ -948,4 +948,4 @@ def match_places(spark, sf_dir):
     return mt.match_places(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "[0-9]+")
 
 
-from . import queries_files, queries_papers, queries_text, queries_vectors  # noqa: E402, F401  (they register themselves)
+from . import queries_files, queries_models, queries_papers, queries_text, queries_vectors  # noqa: E402, F401  (they register themselves)

@@ -99,9 +99,14 @@ def variant_keys(spark, sf_dir):
     return rd.standard_columns(raw)
 
 
-@query("SELECT * FROM (VALUES ('syn', 'verbal', 2020, 3), ('syn', 'verbal', 2021, 0), ('syn', 'verbal', 2022, 5), ('hist', 'general_awareness', 2020, 2), ('hist', 'general_awareness', 2021, 4)) t(topic, section, year, cnt)")
+@query("SELECT b.p_brand AS topic, NULL AS section, CAST(2000 + y AS INT) AS year, (SELECT count(*) FROM part p WHERE p.p_brand = b.p_brand AND p.p_size % 8 = y) AS cnt FROM (SELECT DISTINCT p_brand FROM part) b, range(8) r(y)")
 def series_from_lists(spark, sf_dir):
-    return rd.series_from_config(spark, {"syn": [3, 0, 5], "hist": [2, 4]}, 2020, {"syn": "verbal"})
+    """[S9] Brands' lists of counts for eight years, written as JSON and read as series."""
+    at = scratch(spark, "config")
+    one = table(spark, sf_dir, "part").groupBy("p_brand").agg(*(F.count_if(F.col("p_size") % 8 == y).alias(f"y{y}") for y in range(8)))
+    one.select(F.col("p_brand").alias("topic"), F.array(*(f"y{y}" for y in range(8))).alias("counts")).write.json(at)
+    lists = spark.read.schema("topic string, section string, counts array<int>").json(at)
+    return rd.series_from_arrays(lists, "counts", 2000)
 
 
 PAGES = "WITH p AS (SELECT doc_id, unnest(string_split(text, '. ')) AS text, unnest(range(1, len(string_split(text, '. ')) + 1)) AS page FROM documents) "
@@ -239,9 +244,12 @@ def importance_files(spark, sf_dir):
     return rd.read_importances(spark, f"{at}/csv")
 
 
-@query("SELECT title, strftime(CAST(day AS DATE), '%Y-%m-%d') AS day FROM (VALUES ('Air force receives new missile', '2025-03-12'), ('Chess champion wins medal', '2025-02-01'), ('Budget raises research', '2025-01-20'), ('Summit ends with treaty', '2024-11-05'), ('Local fair opens', '2024-06-01')) t(title, day)")
+@query("SELECT 'order ' || o_orderkey AS title, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
 def news_rows(spark, sf_dir):
-    return rd.read_news(spark).select("title", F.date_format("published", "yyyy-MM-dd").alias("day"))
+    """[S19] An article an order, as an offline source tells them."""
+    asked = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    told = rd.read_news(spark, lambda at: [{"title": f"order {at['o_orderkey']}", "published": at["day"]}], asked)
+    return told.select("title", F.date_format("published", "yyyy-MM-dd").alias("day"))
 
 
 @query("SELECT 'u' || page_id AS url, substr(html, 1, 40) AS title FROM pages")

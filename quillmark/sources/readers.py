@@ -170,8 +170,13 @@ def html_cells(pages: DataFrame, key: str, html: str, tag: str = "td") -> DataFr
 
 def series_from_config(spark: SparkSession, counts: dict[str, list[int]], first_year: int, sections: dict[str, str], default: str = "general_awareness") -> DataFrame:
     """[S9, J2] topic, section, year, cnt from lists by topic."""
-    df = spark.createDataFrame([(t, sections.get(t, default), v) for t, v in counts.items()], "topic string, section string, v array<int>")
-    return df.select("topic", "section", F.posexplode("v").alias("i", "cnt")).select("topic", "section", (F.col("i") + first_year).alias("year"), F.col("cnt").cast("long").alias("cnt"))
+    return series_from_arrays(spark.createDataFrame([(t, sections.get(t, default), v) for t, v in counts.items()], "topic string, section string, v array<int>"), "v", first_year)
+
+
+def series_from_arrays(lists: DataFrame, values: str, first_year: int) -> DataFrame:
+    """[S9] topic, section, year, cnt from a table with a list of counts a topic, from the first year on."""
+    each = lists.select("topic", "section", F.posexplode(values).alias("i", "cnt"))
+    return each.select("topic", "section", (F.col("i") + first_year).alias("year"), F.col("cnt").cast("long").alias("cnt"))
 
 
 def read_papers(spark: SparkSession, folder: str, extract: Callable[[bytes], list[tuple[int, str]]], pattern: str = "*.pdf") -> DataFrame:
