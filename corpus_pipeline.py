@@ -2,6 +2,9 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents. What a stage decides takes effect: rejected rows are gone from the next one's input.
+
+Null texts are empty in every stage: never toxic by their words, near copies of each other (one stays), free of leaks, without words to mix. Null doc_ids are rows
+like any other. Repeated rows are near copies. Empty tables give no rows. Other columns, with names that operators use themselves, are carried through.
 """
 
 from __future__ import annotations

@@ -290,7 +290,7 @@ def read_digest(spark: SparkSession, store: Store) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, store: Store) -> DataFrame:
-    """doc_id, ids array<long>: documents put together again."""
+    """doc_id, ids array<long>: documents put together again. Each stored row, with a null or repeated doc_id too, is a row; an empty store gives none."""
     ship(spark)
     width = store.width
     recipes = spark.read.parquet(f"{store.path}/recipes").withColumn("rid", F.monotonically_increasing_id())

@@ -133,7 +133,7 @@ def position(use: Column, c: Curriculum) -> Column:
 
 
 def uses(mixed: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
-    """A row for each use of a row of mix: adds use (from 1), n_words that it takes, and its position; in no order."""
+    """A row for each use of a row of mix: adds use (from 1), n_words that it takes, and its position; in no order. Rows that nothing is taken of give none."""
     each = mixed.filter("taken > 0").withColumn("use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return each.withColumn("n_words", words_of_use(F.col("use"))).withColumn("position", position(F.col("use"), c)).drop("cls", "before")
 
@@ -151,7 +151,8 @@ def mixed_documents(docs: DataFrame, c: Curriculum = Curriculum()) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time that a document is used, a partial use cut after its share of words. In training order:
     range-sorted by the position of each use.
 
-    docs' rows travel as one struct, so that no name of theirs clashes.
+    docs' rows travel as one struct, so that no name of theirs clashes. Documents without words are never used; null sources are one source, the last; null and
+    repeated doc_ids are rows like any other; an empty table gives no rows.
     """
     columns = docs.columns
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*columns).alias("row"))

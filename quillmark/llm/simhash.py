@@ -195,7 +195,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each group: one that has its smallest doc_id (any one of them, or of all where each doc_id is null)."""
+    """docs with one row of each group: one that has its smallest doc_id (any one of them, or of all where each doc_id is null).
+
+    Null and blank texts are one group with whatever else is near fingerprint 0; other columns, but for `__text`, `__rid` and `__fp`, may have any names; an
+    empty table gives no rows.
+    """
     rows = materialize(fingerprints(docs.withColumn("__rid", F.monotonically_increasing_id()), (*docs.columns, "__rid")), "simhash-docs")
     ids = rows.select("doc_id", "__fp", "__rid")
     found = join_hot(ids.withColumnRenamed("__fp", "fp"), groups(ids, radius), "fp", F.col("__rid")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))

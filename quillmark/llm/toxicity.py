@@ -149,7 +149,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Machine:
-    """Only the sample's distinct term hashes and labels come to the driver: s.sample is their bound."""
+    """A machine that has learnt from the labelled rows of docs that are not held out.
+
+    Only the sample's distinct term hashes and labels come to the driver: s.sample is their bound. Null texts are empty; null doc_ids and labels teach nothing,
+    contradicting labels count as the largest, repeated rows of docs teach once each; without rows to learn from, the bias is all there is. Ties in the sample
+    go by doc_id; other columns are not read.
+    """
     ship(docs.sparkSession)
     bits = s.bits
 
@@ -207,5 +212,8 @@ def score(docs: DataFrame, machine: Machine, s: Settings = Settings()) -> DataFr
 
 
 def without_toxic(docs: DataFrame, machine: Machine, s: Settings = Settings()) -> DataFrame:
-    """docs' rows that are not predicted toxic, with all their columns."""
+    """docs' rows that are not predicted toxic, with all their columns (of any names but `__text` and `__score`).
+
+    Null and empty texts score the bias alone; rows with null doc_ids and repeated rows are judged like any other; an empty table gives no rows.
+    """
     return _scored(docs, machine, docs.columns).filter(F.col("__score") < s.threshold).select(*docs.columns)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from quillmark.llm import frames, mixing, toxicity
@@ -89,3 +90,35 @@ def test_ids(stages, word_bpe):  # noqa: F811
 
 def test_run(spark, stages):
     assert cp.run(spark, AT).count() == stages["token_ids"][1].count() and cp.ORACLE_SQL is None
+
+
+def through(spark, d):
+    """Rows after each stage of a small table."""
+    out = []
+    for name, stage in cp.STAGES:
+        d = frames.materialize(stage(spark, d, AT), f"edge-{name}")
+        out.append((name, d))
+    return out
+
+
+def test_stages_on_odd_rows_and_columns(spark, docs, odd, none):
+    """Nulls, blanks, repeated rows, long texts, other scripts; columns whose names the operators use; an empty table."""
+    plain, clash = through(spark, docs), through(spark, odd.withColumn("key", F.lit("own")).withColumn("label", F.lit("own")).withColumn("text_", F.lit("own")).withColumn("doc", F.lit(1)))
+    for (name, a), (_, b) in zip(plain, clash):
+        if name != "token_ids":
+            assert a.columns == docs.columns and set(odd.columns) <= set(b.columns)
+            assert rows(a) == rows(b)
+            assert b.filter("size <> 'own' or root <> 'own' or row <> 'own'").count() == 0
+        else:
+            assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    kept = dict(plain)["simhash_near_dedup"]
+    texts = [t for _, t in rows(kept)]
+    assert len(texts) == len(kept_of(rows(dict(plain)["toxicity"]))) and sum(not (t or "").strip() for t in texts) == 1
+    for name, d in through(spark, none):
+        assert d.count() == 0, name
+
+
+def test_every_doc_id_null(spark, docs):
+    d = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    for name, out in through(spark, d):
+        assert out.count() > 0, name

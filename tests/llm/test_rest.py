@@ -376,3 +376,30 @@ def test_op9_pairs_and_edges(spark, docs, odd, none):
     assert toxicity.score(none, m).count() == 0
     assert 0 < toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).first().score <= 1
     assert toxicity.without_toxic(odd, m).columns == odd.columns
+
+
+def test_toxicity_score_by_plain_loops(spark, docs):
+    """The machine's weights over each text's distinct terms, every pair of terms by itself."""
+    import math
+    import re
+
+    table_ = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    m = toxicity.fit(table_, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    assert len(m.w) > 10
+
+    def rows_of(text):
+        out = set()
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", toxicity.fold(np.frombuffer((text or "").encode(), np.uint8)).tobytes()):
+            for term in [w] + [w[:n] for n in toxicity.STEMS if len(w) > n]:
+                _, h = toxicity.hashed_terms(np.frombuffer(term, np.uint8), np.array([0, len(term)]), m.bits)
+                if m.place[h[0]]:
+                    out.add(int(m.place[h[0]]) - 1)
+        return sorted(out)
+
+    some = table_.orderBy("doc_id").limit(60).select("doc_id", "text").unionByName(docs.select("doc_id", "text").filter("doc_id is not null and doc_id < 10").withColumn("doc_id", F.col("doc_id") + 10**6))
+    got = {r.doc_id: r.score for r in toxicity.score(some, m).collect()}
+    for r in some.collect():
+        terms = rows_of(r.text)
+        s = m.bias + sum(float(m.w[i]) for i in terms)
+        s += sum(float(m.v[a, k] * m.v[b, k]) for x, a in enumerate(terms) for b in terms[x + 1 :] for k in range(m.v.shape[1]))
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-max(-30, min(30, s))))) < 1e-9
