@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import WORD, materialize
+from .frames import WORD, join_hot, materialize
 
 EMPTY = "cast(array() as array<bigint>)"
 
@@ -88,7 +88,8 @@ def quality_verdicts(docs: DataFrame, host: str = "source", most: float = 0.5) -
     """
     rules = materialize(document_rules(docs, host), "quality-rules")
     verdicts = host_verdicts(rules, most)
-    joined = rules.withColumn("hkey", host_key()).join(verdicts, "hkey")
+    # One host may have a large share of all documents: its rows are dealt to several tasks.
+    joined = join_hot(rules.withColumn("hkey", host_key()), verdicts, "hkey", F.xxhash64("doc_id", "n_words", "word_chars"))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.col("host_failed")).alias("kept"), "host_rate",

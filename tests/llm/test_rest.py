@@ -403,3 +403,12 @@ def test_toxicity_score_by_plain_loops(spark, docs):
         s = m.bias + sum(float(m.w[i]) for i in terms)
         s += sum(float(m.v[a, k] * m.v[b, k]) for x, a in enumerate(terms) for b in terms[x + 1 :] for k in range(m.v.shape[1]))
         assert abs(got[r.doc_id] - 1 / (1 + math.exp(-max(-30, min(30, s))))) < 1e-9
+
+
+def test_quality_with_one_hot_host(spark):
+    """Nine rows in ten are of one host, most of which fail: the verdict reaches each of them."""
+    d = spark.range(3000).select("id", F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("h"), F.col("id") % 7)).alias("source"), F.when((F.col("id") % 10 > 0) & (F.col("id") % 5 > 0), "few").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda x: F.concat(F.lit("w"), x)), " ")).alias("text")).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality_verdicts(d).collect()}
+    assert len(got) == 3000
+    for i, (failed, kept) in got.items():
+        assert failed == (i % 10 > 0 and i % 5 > 0) and kept == (i % 10 == 0)
