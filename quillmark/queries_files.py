@@ -9,6 +9,7 @@ from .functions import normalize as nz, text as tx
 from .operators.lineage import scratch
 from .queries import query, table
 from .sources import bank as bk
+from .sources import json_ranges as jr
 from .sources import readers as rd
 from .sources import writers as wr
 
@@ -131,6 +132,17 @@ def scan_papers(spark, sf_dir):
     return got.select(F.coalesce("error", F.md5("text")).alias("text"), F.col("page").cast("long").alias("page")).groupBy("text", "page").agg(F.count("*").alias("cnt"))
 
 
+@query("SELECT o_orderkey, o_orderpriority, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderkey % 7 <> 3")
+def scan_damaged_json(spark, sf_dir):
+    """Orders as objects in one list that is never closed, every seventh of them cut; many ranges a file."""
+    at, k = scratch(spark, "damaged"), F.col("o_orderkey")
+    told = F.to_json(F.struct("o_orderkey", "o_orderpriority", F.round("o_totalprice", 2).alias("o_totalprice"), F.struct(F.lit("a {quoted} mark").alias("note")).alias("more")))
+    lines = F.concat(F.when(k % 5 == 0, F.lit('{"questions": [')).otherwise(F.lit("")), F.when(k % 7 == 3, F.expr("substring(t, 1, 20)")).otherwise(F.col("t")), F.when(k % 2 == 0, F.lit(", ")).otherwise(F.lit(" junk }")))
+    table(spark, sf_dir, "orders").withColumn("t", told).select(lines).write.option("lineSep", " ").text(at)
+    got = jr.read_damaged(spark, at, "o_orderkey long, o_orderpriority string, o_totalprice double", split=1 << 20, longest=4096)
+    return got.filter("o_orderkey IS NOT NULL").select("o_orderkey", "o_orderpriority", "o_totalprice")
+
+
 @query("SELECT url, '{' || chr(34) || 'id' || chr(34) || ': [' || page_id || ', ' || chr(34) || '}' || chr(34) || ']}' AS value FROM pages")
 def script_values(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("url", F.concat(F.lit('var other = 1; const data = {"id": ['), "page_id", F.lit(', "}"]}; data.more = {};')).alias("script"))
