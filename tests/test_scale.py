@@ -171,3 +171,31 @@ def test_interleaved_and_repeated_appends(spark, tmp_path):
     # New columns are kept; earlier versions stay readable.
     assert bank.append_unique(at, rows((30, "y")).withColumn("more", F.lit("m")), key, "id") == 1
     assert {r.more for r in bank.read_committed(spark, at).collect()} == {None, "m"} and bank.read_committed(spark, at, 1).count() == 1
+
+
+@pytest.mark.parametrize("hot", [3, 10, 2000])
+def test_pairs_of_cells_equal_all_pairs(spark, hot):
+    rng = random.Random(hot)
+    words = "abcdefghijkl"
+    docs = [(i, "gh"[i % 3 == 0], " ".join(rng.choices(words, weights=[40, 20] + [2] * 10, k=rng.randrange(1, 7)))) for i in range(160)] + [(200 + i, "g", "a a a b") for i in range(12)]
+    v = similarity.tfidf(similarity.terms(spark.createDataFrame(docs, "id int, g string, text string"), "id", "g", "text", [], least=1), "id", "g").cache()
+    rows: dict = {}
+    for r in v.collect():
+        rows.setdefault((r.g, r.id), {})[r.term] = r.weight
+    dot = {(g, a, b): sum(w * y.get(t, 0.0) for t, w in x.items()) for (g, a), x in rows.items() for (h, b), y in rows.items() if g == h and a < b}
+    for least in (0.3, 0.7, 0.95):
+        got = similarity.cosine_pairs(v, "id", "g", least, hot).collect()
+        want = {k: c for k, c in dot.items() if c > least + 1e-9}
+        assert {(r.g, r.a, r.b) for r in got} >= set(want) and all(dot[r.g, r.a, r.b] > least - 1e-9 for r in got)
+        assert len(got) == len({(r.g, r.a, r.b) for r in got}) and all(abs(r.cosine - dot[r.g, r.a, r.b]) < 1e-9 for r in got)
+
+
+def test_a_term_of_all_documents(spark):
+    """20,000 documents share a term that weighs much in each, but not enough by itself: no pair is formed for it, only for the words that two documents share."""
+    n = 20_000
+    i = F.col("id")
+    words = [(F.concat(F.lit("own"), i.cast("string")), F.lit(0.6)), (F.lit("all"), F.lit(0.77)), (F.concat(F.lit("two"), F.floor(i / 2).cast("string")), F.lit(0.217))]
+    v = spark.range(n).select("id", F.lit("g").alias("g"), F.explode(F.array(*(F.struct(t.alias("term"), w.alias("weight")) for t, w in words))).alias("x")).select("id", "g", "x.term", "x.weight")
+    got = similarity.candidate_pairs(v, "id", "g", 0.62).collect()
+    assert len(got) == n // 2 and all(r.b == r.a + 1 for r in got)
+    assert similarity.cosine_pairs(v, "id", "g", 0.62).count() == n // 2 and similarity.cosine_pairs(v, "id", "g", 0.65).count() == 0
