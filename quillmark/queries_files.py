@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from .operators.lineage import scratch
 from .queries import query, table
 from .sources import bank as bk
 from .sources import json_ranges as jr
+from .sources import pages as pg
 from .sources import readers as rd
 from .sources import writers as wr
 
@@ -132,6 +136,29 @@ def scan_papers(spark, sf_dir):
     return got.select(F.coalesce("error", F.md5("text")).alias("text"), F.col("page").cast("long").alias("page")).groupBy("text", "page").agg(F.count("*").alias("cnt"))
 
 
+@lru_cache(1)
+def sentences(content: bytes) -> list[str]:
+    """Of a file with an object a line; the last file is kept, as each of its pages asks for them."""
+    return [t for x in content.decode().split("\n") if x for t in json.loads(x)["text"].split(". ")]
+
+
+@query("""WITH p AS (SELECT unnest(string_split(coalesce(text, ''), '. ')) AS t FROM documents), q AS (SELECT t, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS s FROM p)
+SELECT CASE WHEN length(s) > 40 THEN 'native' WHEN contains(t, 'z') THEN 'steady' ELSE 'shaky' END AS engine, CASE WHEN length(s) > 40 THEN t WHEN s = '' THEN '' WHEN contains(t, 'z') THEN 'again ' || t ELSE t || '@300' END AS text, count(*) AS cnt, count(*) FILTER (length(s) <= 40 AND contains(t, 'z')) AS n_errors FROM q GROUP BY ALL""")
+def scan_pages_by_engines(spark, sf_dir):
+    """Documents' sentences as pages: long ones have their text, of the others one engine reads those without a z, the next one the rest."""
+    at = scratch(spark, "pages")
+    table(spark, sf_dir, "documents").select(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("value")).write.option("maxRecordsPerFile", 50).text(at)
+
+    def shaky(picture: str) -> list[tuple]:
+        if "z" in picture:
+            raise ValueError("a z")
+        return [(f"{picture}@300" if picture.strip() else "", 0.9, (0, 0, 1, 1))]
+
+    got = pg.read_pages(spark, at, lambda c: ({"text": t} for t in sentences(c)), lambda c, page, dpi: sentences(c)[page], [("shaky", lambda: shaky), ("steady", lambda: lambda p: [(f"again {p}", 0.5, (0, 0, 1, 1))])], "*.txt", least=40, together=256)
+    told = got.select("engine", F.coalesce(F.get("lines", 0)["text"], F.lit("")).alias("text"), F.size("errors").alias("n"))
+    return told.groupBy("engine", "text").agg(F.count("*").alias("cnt"), F.sum("n").cast("long").alias("n_errors"))
+
+
 @query("SELECT o_orderkey, o_orderpriority, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderkey % 7 <> 3")
 def scan_damaged_json(spark, sf_dir):
     """Orders as objects in one list that is never closed, every seventh of them cut; many ranges a file."""

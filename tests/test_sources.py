@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.sources import json_ranges as jr
+from quillmark.sources import pages as pagesrc
 
 
 def scan(text: str, longest: int) -> list[tuple[int, str]]:
@@ -83,3 +84,61 @@ def test_other_files_are_not_planned(spark, tmp_path):
         assert [r.value for r in one.collect()] == ['{"id": "a"}'] and one.rdd.getNumPartitions() == 1
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def absent():
+    raise ImportError("not installed")
+
+
+def shaky(picture):
+    if "blur" in picture:
+        raise ValueError("blur")
+    return [(picture, 0.9, (1, 2, 3.7, 4)), (" ", 0.9, (0, 0, 0, 0)), ("unsure", 0.0, (0, 0, 0, 0))]
+
+
+def steady(picture):
+    if "lost" in picture:
+        raise ValueError("lost")
+    return [(picture.upper(), 0.5, (0, 0, 1, 1))]
+
+
+CHAIN = [("none", absent), ("shaky", lambda: shaky), ("steady", lambda: steady)]
+
+
+def test_pages_by_own_text_or_engines(spark, tmp_path):
+    def native(content):
+        if content == b"broken":
+            raise ValueError("no paper")
+        for i, t in enumerate(content.decode().split("|")):
+            yield {"text": t, "width": 600, "height": 800, "images": [{"ref": 7, "box": (1.5, 2, 3, 4), "width": 10, "height": 20}] if i == 1 else None}
+
+    def picture(content, page, dpi):
+        text = content.decode().split("|")[page]
+        if text == "bad":
+            raise ValueError("no picture")
+        return f"{text}@{dpi}"
+
+    pages = [" " + "x" * 101, "scan", "x" * 100, "blur", "blur lost", "bad", ""]
+    (tmp_path / "p_2021.pdf").write_text("|".join(pages))
+    (tmp_path / "q.pdf").write_bytes(b"broken")
+    none = "none: ImportError: not installed"
+    for together in (1, 3, 100):
+        got = {r.page: r for r in pagesrc.read_pages(spark, str(tmp_path), native, picture, CHAIN, together=together).collect()}
+        assert sorted(got, key=str) == [0, 1, 2, 3, 4, 5, 6, None]
+        assert (got[0].engine, got[0].lines[0].confidence, got[0].lines[0].x1, got[0].errors, got[0].year) == ("native", 1.0, 600, [], 2021)
+        assert (got[1].engine, [tuple(x) for x in got[1].lines], got[1].errors) == ("shaky", [("scan@300", 0.9, 1, 2, 3, 4)], [none])
+        assert [tuple(x) for x in got[1].images] == [(7, 1, 2, 3, 4, 10, 20)] and got[2].engine == "shaky"
+        assert (got[3].engine, got[3].lines[0].text, got[3].errors) == ("steady", "BLUR@300", [none, "shaky: ValueError: blur"])
+        assert (got[4].engine, got[4].lines, got[4].errors) == (None, [], [none, "shaky: ValueError: blur", "steady: ValueError: lost"])
+        assert (got[5].engine, got[5].errors) == (None, ["picture: ValueError: no picture"]) and got[None].errors == ["ValueError: no paper"]
+    only = pagesrc.read_pages(spark, str(tmp_path), native, picture, CHAIN, quality="max_quality", pages=[1, 99]).filter("page IS NOT NULL").collect()
+    assert [(r.page, r.lines[0].text) for r in only] == [(1, "scan@400")]
+    assert pagesrc.read_pages(spark, str(tmp_path), native, picture, CHAIN, pattern="*.none").count() == 0
+
+
+def test_images(spark, tmp_path):
+    (tmp_path / "a_2020.png").write_text("scan")
+    (tmp_path / "b.png").write_bytes(b"\xff")
+    got = {r.path.rsplit("/", 1)[1]: r for r in pagesrc.read_images(spark, str(tmp_path), lambda c: c.decode(), CHAIN, "*.png").collect()}
+    assert (got["a_2020.png"].engine, got["a_2020.png"].lines[0].text, got["a_2020.png"].year) == ("shaky", "scan", 2020)
+    assert got["b.png"].engine is None and got["b.png"].errors[0].startswith("picture: UnicodeDecodeError")
