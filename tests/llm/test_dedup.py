@@ -284,3 +284,16 @@ def test_links_within_a_cell(seed, n, all_home):
 
     assert roots(known + got) == roots(known + every)
     assert len(got) == len(set(roots(known))) - len(set(roots(known + every)))
+
+
+def test_op1_sends_less_than_the_strings(spark):
+    """What is shuffled of the strings, places and owners included and compressed as a shuffle file is, is less than the strings alone."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toArrow()
+    parts = [suffix_dedup.Chunk(d.slice(a, 500), 2) for a in (0, 500)]
+    offers = pa.concat_tables([suffix_dedup.offer(c, j, 50) for j, c in enumerate(parts)])
+    replies = pa.concat_tables([suffix_dedup.answer(offers.filter(pc.equal(offers["bucket"], b)), 128, 1 << 16) for b in range(2)])
+    sent = pa.concat_tables([suffix_dedup.send(c, j, replies.filter(pc.equal(replies["chunk"], j)), 50) for j, c in enumerate(parts)])
+    sent = sent.filter(pc.is_valid(sent["owner"]))
+    shuffled = sum(len(pa.compress(b"".join(r[c] for c in sent.column_names[2:]), "lz4_raw", asbytes=True)) for r in sent.to_pylist())
+    strings = sum(int(suffix_dedup._joined(r["length"], "<i8").sum()) for r in sent.to_pylist())
+    assert 0 < shuffled < 0.8 * strings, (shuffled, strings)
