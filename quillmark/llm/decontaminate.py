@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .frames import pieces, ship, text_bytes, worker_cache
+from .frames import give_back, pieces, ship, text_bytes, worker_cache
 from .kernels import U, expand, fold, prefix_sums, span_hashes, window_hashes, word_spans
 
 #: Words are runs of ASCII letters, digits and bytes over 127, so that case, blanks and marks don't hide a passage.
@@ -28,6 +28,8 @@ _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 #: Pairs of a position and an item that are told apart at a time.
 PAIRS = 1 << 22
+#: Bytes of text that are searched at a time: a search takes about 50 times their memory, in each of an executor's workers.
+PIECE = 1 << 19
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -163,6 +165,12 @@ class Index:
         return best
 
 
+def searched(ix: Index, batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, int, float]]]]:
+    """Slices of a batch with what ix finds in them."""
+    for part in pieces(batch, column, PIECE):
+        yield part, ix.search(*text_bytes(part.column(column)))
+
+
 def blocks_of(benchmark: DataFrame, s: Settings) -> Iterator[Index]:
     """The benchmark in blocks of at most s.items rows and s.letters characters (one row at least), read one after the other."""
     ids, texts, n = [], [], 0
@@ -196,8 +204,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) ->
             worker_cache("decontamination")
             ix = shared.value
             for batch in batches:
-                for part in pieces(batch, "text"):
-                    found = [(d, m, a, int(ix.length[i]), sim) for d, i, a, sim in ix.search(*text_bytes(part.column("text"))) for m in ix.members[i]]
+                for part, got in searched(ix, batch, "text"):
+                    found = [(d, m, a, int(ix.length[i]), sim) for d, i, a, sim in got for m in ix.members[i]]
                     if found:
                         d, m, a, n, sim = zip(*found)
                         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), pa.array(m, item_type), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(sim)], schema.names)
@@ -223,10 +231,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
             worker_cache("decontamination")
             ix = shared.value
             for batch in batches:
-                for part in pieces(batch, "__text"):
+                for part, got in searched(ix, batch, "__text"):
                     hit = np.ones(part.num_rows, bool)
-                    hit[[d for d, *_ in ix.search(*text_bytes(part.column("__text")))]] = False
+                    hit[[d for d, *_ in got]] = False
                     yield part.select(columns).filter(pa.array(hit))
+            give_back()
 
         docs = docs.select(*columns, F.col("text").alias("__text")).mapInArrow(run, docs.schema)
     return docs

@@ -146,6 +146,8 @@ def _undecided(dealt: DataFrame, s: Settings) -> DataFrame:
             asks = (label[a] != label[b]) & (home[a] | home[b])
             keep[a[asks]] = keep[b[asks]] = True
         yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (cell, rid, fp, label, home)], names)
+        del got, columns, order, cell, rid, fp, label, home
+        give_back()
 
     return dealt.repartition(n, "cell").mapInArrow(run, dealt.schema)
 

@@ -412,3 +412,22 @@ def test_quality_with_one_hot_host(spark):
     assert len(got) == 3000
     for i, (failed, kept) in got.items():
         assert failed == (i % 10 > 0 and i % 5 > 0) and kept == (i % 10 == 0)
+
+
+def test_op3_searches_in_bounded_memory():
+    """A large batch is searched piece by piece: two workers of an executor share its memory with the heap."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000)]
+    texts = [" ".join(rng.choice(vocabulary, 300)) for _ in range(3000)]
+    ix = decontaminate.Index([7], [texts[5][:400]])
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    next(decontaminate.searched(ix, batch.slice(0, 1), "text"))
+    tracemalloc.start()
+    found = [hit for _, got in decontaminate.searched(ix, batch, "text") for hit in got]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1 and most < 64 << 20, most
