@@ -1,8 +1,8 @@
 """k nearest vectors by cosine for many queries at once: an inverted file.
 
 Centroids are trained on a bounded sample. Every vector is dealt to the list of its nearest centroid; a query reads the lists of its nearest centroids, as many as
-`cover` of the sample's own neighbours asked for. Lists are dealt in blocks of candidates by chunks of queries, so that a long list is many tasks. A task ranks its
-cell exactly, in double, and hands on k rows a query, which are merged.
+`cover` of the sample's own neighbours asked for. Candidates are dealt to blocks, which hold several short lists or a part of a long one, queries to chunks; a query goes
+once to each block with a list that it reads, not once a list. A task ranks its cell exactly, in double, list by list, and hands on k rows a query, which are merged.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Lists:
     """sample: vectors to train on, about as many at most. length: vectors meant for a list; members: sampled vectors a list needs, which bounds the number of
-    lists. block, chunk: candidates and queries of a cell, about."""
+    lists. block, chunk: candidates and queries of a cell, about; from 16 blocks on they grow with the table, up to `most`, so that what is shuffled grows no faster."""
 
     sample: int = 16384
     length: int = 1024
@@ -28,8 +28,13 @@ class Lists:
     cover: float = 0.98
     block: int = 16384
     chunk: int = 4096
+    most: int = 131072
     seed: int = 7
 
+    def sized(self, n: int, own: int) -> int:
+        """Rows of a block or chunk of `own` rows at least, for a side of n rows."""
+        return max(own, min(-(-n // 16), self.most))
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -65,17 +70,18 @@ def trained(x: np.ndarray, n: int, k: int, s: Lists) -> tuple[np.ndarray, int]:
 
 
 def _dealt(rows: DataFrame, centers: np.ndarray, lists: int) -> DataFrame:
-    """rows (id, v) with `list`: the `lists` nearest ones, a row each."""
+    """rows (id, v) with `lists`: the `lists` nearest ones."""
     shared = rows.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                order = np.argsort(-(matrix(b.column("v")) @ shared.value.T), axis=1, kind="stable")[:, :lists]
-                at = np.repeat(np.arange(b.num_rows), order.shape[1])
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns), pa.array(order.ravel().astype(np.int32))], [*b.schema.names, "list"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                order = np.argsort(-(matrix(b.column("v")) @ shared.value.T), axis=1, kind="stable")[:, :lists].astype(np.int32)
+                ends = np.arange(0, order.size + 1, order.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(order.ravel()))], [*b.schema.names, "lists"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, v array<double>, list int")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, v array<double>, lists array<int>")
 
 
 def best_of(q: np.ndarray, x: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int, others: bool, step: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,25 +116,51 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, key: str, vector: str,
     x = np.zeros((0, 1)) if exact else matrix(told[0].filter(F.pmod(F.xxhash64(F.lit(lists.seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").toArrow().column("v"))
     centers, probes = trained(x, n, k, lists) if len(x) else (None, 1)
     if centers is None or len(centers) == 1:
-        sides = [d.withColumn("list", F.lit(0)) for d in told]
+        sides = [d.withColumn("lists", F.array(F.lit(0))) for d in told]
+        held = {0: n} if n else {}
     else:
         sides = [_dealt(told[0], centers, 1), _dealt(told[1], centers, probes)]
-    held, asked = (dict(map(tuple, d.groupBy("list").count().collect())) for d in sides)  # a row for each list
-    grid = spark.createDataFrame([(i, -(-held[i] // lists.block), -(-asked[i] // lists.chunk)) for i in held if i in asked], "list int, blocks int, chunks int")
-
-    def cells(d: DataFrame, own: str, other: str) -> DataFrame:
-        part = F.pmod(F.xxhash64("id"), F.col(f"{own}s")).cast("int").alias(own)
-        return d.join(F.broadcast(grid), "list").select("id", "v", "list", part, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other))
-
+        held = dict(map(tuple, sides[0].groupBy(F.col("lists")[0].alias("list")).count().collect()))  # a row for each list
+    block, m = lists.sized(n, lists.block), told[1].count()
+    chunks = max(1, -(-m // lists.sized(m, lists.chunk)))
+    # Blocks of a list: short lists share one, long ones have several.
+    first, parts, number, room = {}, {}, 0, 0
+    for i in sorted(held):
+        if room + held[i] > block and room:
+            number, room = number + 1, 0
+        first[i], parts[i] = number, -(-held[i] // block)
+        number, room = (number, room + held[i]) if parts[i] == 1 else (number + parts[i], 0)
+    grid = F.create_map(*(F.lit(x) for i in held for x in (i, first[i]))) if held else F.lit(None).cast("map<int,int>")
+    wide = F.create_map(*(F.lit(x) for i in held for x in (i, parts[i]))) if held else F.lit(None).cast("map<int,int>")
+    own = F.col("lists")[0]
+    candidates = sides[0].withColumn("block", F.try_element_at(grid, own) + F.pmod(F.xxhash64("id"), F.try_element_at(wide, own)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    some = F.filter("lists", lambda i: F.try_element_at(grid, i).isNotNull())
+    visits = F.array_distinct(F.flatten(F.transform(some, lambda i: F.sequence(F.try_element_at(grid, i), F.try_element_at(grid, i) + F.try_element_at(wide, i) - 1))))
+    asking = sides[1].withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(visits))
     kind = vectors.schema[key].dataType.simpleString()
 
     def ranked(cell, left: pa.Table, right: pa.Table) -> pa.Table:
-        qid, xid = left.column("id").to_numpy(), right.column("id").to_numpy()
-        empty = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        a, b, cosine = best_of(matrix(left.column("v")), matrix(right.column("v")), qid, xid, k, others) if len(qid) and len(xid) else empty
+        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+        if left.num_rows and right.num_rows:
+            qid, xid, q, x = left.column("id").to_numpy(), right.column("id").to_numpy(), matrix(left.column("v")), matrix(right.column("v"))
+            reads = left.column("lists").combine_chunks()
+            asked, reader = reads.flatten().to_numpy(), np.repeat(np.arange(len(qid)), reads.value_lengths().to_numpy())
+            of = right.column("lists").combine_chunks().flatten().to_numpy()
+            for i in np.unique(of):
+                rows, held = reader[asked == i], np.flatnonzero(of == i)
+                for at in range(0, len(held), 16384):
+                    h = held[at : at + 16384]
+                    a, b, cosine = best_of(q[rows], x[h], qid[rows], xid[h], k, others)
+                    found.append((rows[a], h[b], cosine))
+        a, b, cosine = (np.concatenate(c) for c in zip(*found))
+        if len(a):
+            order = np.lexsort((xid[b], -cosine, a))
+            a, b, cosine = a[order], b[order], cosine[order]
+            keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+            a, b, cosine = a[keep], b[keep], cosine[keep]
         return pa.table({"query": left.column("id").take(pa.array(a)), "key": right.column("id").take(pa.array(b)), "cosine": cosine})
 
-    by = ["list", "block", "chunk"]
-    found = cells(sides[1], "chunk", "block").groupBy(*by).cogroup(cells(sides[0], "block", "chunk").groupBy(*by)).applyInArrow(ranked, f"query {kind}, key {kind}, cosine double")
+    by, sent = ["block", "chunk"], ["id", "v", "lists", "block", "chunk"]
+    found = asking.select(*sent).groupBy(*by).cogroup(candidates.select(*sent).groupBy(*by)).applyInArrow(ranked, f"query {kind}, key {kind}, cosine double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "key"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query", "rank", "key", "cosine")

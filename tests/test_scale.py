@@ -199,3 +199,17 @@ def test_a_term_of_all_documents(spark):
     got = similarity.candidate_pairs(v, "id", "g", 0.62).collect()
     assert len(got) == n // 2 and all(r.b == r.a + 1 for r in got)
     assert similarity.cosine_pairs(v, "id", "g", 0.62).count() == n // 2 and similarity.cosine_pairs(v, "id", "g", 0.65).count() == 0
+
+
+def test_queries_go_once_to_a_block(spark):
+    """A query that reads many lists is one row, in slices of bounded size, and what is shuffled of n rows grows no faster than n."""
+    x = np.random.default_rng(2).normal(size=(300, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = vectors._dealt(rows, x[:200], 150).collect()
+    assert len(got) == 300 and all(len(set(r.lists)) == 150 for r in got)
+    s = vectors.Lists()
+    assert all(-(-n // s.sized(n, s.chunk)) <= 16 and -(-n // s.sized(n, s.block)) <= 16 for n in (1, 5000, 60_000, 600_000, 2_000_000))
+    exact = {(r.query, r.key) for r in vectors.nearest_many(rows, rows, "id", "v", 5, exact=True).collect()}
+    lists = vectors.Lists(length=20, members=10, block=50, chunk=70)
+    found = {(r.query, r.key) for r in vectors.nearest_many(rows, rows, "id", "v", 5, lists=lists).collect()}
+    assert len(found) == len(exact) == 1500 and len(found & exact) > 0.9 * len(exact)
