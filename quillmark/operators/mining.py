@@ -25,11 +25,18 @@ def phrases(docs: DataFrame, doc: str, group: str, text: str, n: int, least: int
 
 
 def templates(docs: DataFrame, group: str, text: str, order: str, least: int = 2, top: int = 10) -> DataFrame:
-    """[A57] Texts with numbers as N: how often, and the first of each. Under five different ones, single ones count too."""
-    t = docs.select(group, order, F.col(text).alias("__t"), tx.digits_template(F.col(text)).alias("template"))
-    g = t.groupBy(group, "template").agg(F.count("*").alias("cnt"), F.min(order).alias("first_id"))
+    """[A57] Texts with numbers as N: how often, and the first of each. Under five different ones, single ones count too.
+
+    Templates are told apart by SHA-256; whole ones are read again for those that are told, so no text is shuffled for the others."""
+    t = docs.select(group, order, tx.digits_template(F.col(text)).alias("template")).withColumn("__h", F.unhex(F.sha2("template", 256)))
+    g = t.groupBy(group, "__h").agg(F.count("*").alias("cnt"), F.min(order).alias("first_id"))
     n = g.groupBy(group).agg(F.count("*").alias("n_templates"))
-    return top_per_group(g.join(n, group).filter((F.col("cnt") >= least) | (F.col("n_templates") < 5)), [group], [F.desc("cnt"), "first_id"], 1, top)
+    best = top_per_group(g.join(n, group).filter((F.col("cnt") >= least) | (F.col("n_templates") < 5)), [group], [F.desc("cnt"), "first_id"], 1, top)
+    told = best.select(F.col(group).alias("__g"), F.col("__h").alias("__k"), F.col("first_id").alias("__first"))
+    same = (F.col(group) == F.col("__g")) & F.col("__h").eqNullSafe(F.col("__k")) & F.col(order).eqNullSafe(F.col("__first"))
+    whole = t.join(told, same, "left_semi").groupBy(F.col(group).alias("__g"), F.col("__h").alias("__k")).agg(F.first("template").alias("template"))
+    columns = [group, "template", *(c for c in best.columns if c not in (group, "__h"))]
+    return best.join(whole, (F.col(group) == F.col("__g")) & F.col("__h").eqNullSafe(F.col("__k"))).select(*columns)
 
 
 def number_profile(docs: DataFrame, group: str, text: str, pattern: str) -> DataFrame:
