@@ -77,7 +77,9 @@ def scan_analyses(spark, sf_dir):
     )
     g = e.groupBy("user_id").agg(F.collect_list(question).alias("questions")).select(F.concat(F.lit("u"), "user_id").alias("source_file"), (F.lit(2010) + F.col("user_id") % 10).alias("year"), (F.col("user_id") % 3).alias("shift"), "questions")
     at = scratch(spark, "analyses")
-    g.select(F.to_json(F.struct("*"))).write.option("maxRecordsPerFile", 1).text(at)
+    # Files hold lists of 50 papers: one file a paper is a call of the driver a paper.
+    lists = g.groupBy(F.floor(F.monotonically_increasing_id() / 50)).agg(F.collect_list(F.struct("*")).alias("papers"))
+    lists.select(F.to_json("papers")).write.option("maxRecordsPerFile", 1).text(at)
     # Spark names its files itself; readers of papers look for *_analysis.json.
     files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     fs = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
