@@ -123,7 +123,7 @@ PAGES = "WITH p AS (SELECT doc_id, unnest(string_split(text, '. ')) AS text, unn
 def scan_papers(spark, sf_dir):
     """Files of documents, a line each, whose pages an extractor tells; and one bad file a region, of which each is a row with an error."""
     at = scratch(spark, "papers")
-    table(spark, sf_dir, "documents").select(F.to_json(F.struct("text")).alias("value")).write.text(f"{at}/good")
+    table(spark, sf_dir, "documents").select(F.to_json(F.struct("text")).alias("value")).write.option("maxRecordsPerFile", 1000).text(f"{at}/good")
     table(spark, sf_dir, "region").select(F.concat(F.lit("bad"), "r_name").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{at}/bad")
 
     def pages(content: bytes) -> list[tuple[int, str]]:

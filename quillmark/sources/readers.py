@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,21 +179,23 @@ def series_from_arrays(lists: DataFrame, values: str, first_year: int) -> DataFr
     return each.select("topic", "section", (F.col("i") + first_year).alias("year"), F.col("cnt").cast("long").alias("cnt"))
 
 
-def read_papers(spark: SparkSession, folder: str, extract: Callable[[bytes], list[tuple[int, str]]], pattern: str = "*.pdf") -> DataFrame:
-    """[S11, S12, S13, X17, E12] Binary files through an injected extractor: path, year of the name, page, text, error. One bad file is a row with an error."""
+def read_papers(spark: SparkSession, folder: str, extract: Callable[[bytes], Iterable[tuple[int, str]]], pattern: str = "*.pdf") -> DataFrame:
+    """[S11, S12, S13, X17, E12] Binary files through an injected extractor: path, year of the name, page, text, error. One bad file is a row with an error.
+
+    A task holds the pages of one file at a time and hands them on in slices."""
     import pandas as pd
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
             for path, content in b.itertuples(index=False):
                 try:
-                    rows += [(path, int(n), t, None) for n, t in extract(content)]
+                    rows = [(path, int(n), t, None) for n, t in extract(content)]
                 except Exception as e:
-                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "page", "text", "error"]).astype({"page": "Int32"})
+                    rows = [(path, None, None, f"{type(e).__name__}: {e}")]
+                for i in range(0, len(rows), 4096):
+                    yield pd.DataFrame(rows[i : i + 4096], columns=["path", "page", "text", "error"]).astype({"page": "Int32"})
 
     return files.mapInPandas(run, "path string, page int, text string, error string").withColumn("year", year_in(F.col("path")))
 
