@@ -15,6 +15,8 @@ from ..operators.lineage import written
 
 #: Dots an inch of a page's picture.
 DPI = {"fast": 200, "standard": 300, "max_quality": 400}
+#: Into how many cells all pages that want a picture are dealt where no file ends one; a cell has `together` pages at least.
+CELLS = 1024
 #: A page of at most so many characters has no text of its own.
 LEAST = 100
 BOX = "x0:int,y0:int,x1:int,y1:int"
@@ -74,7 +76,7 @@ def read_pages(spark: SparkSession, folder: str, native: Callable[[bytes], Itera
 
     native: bytes to a dict a page: text, and where known width, height and images (dicts of ref, box, width, height). A page with over `least` characters, blanks around them not counted, is one line of
     confidence 1 by the engine `native`. Of the others picture(content, page, dpi) makes a picture (where preprocessing belongs), and the engines read it. Such pages
-    are dealt `together` at a time, so a long scan is read by many tasks; its bytes travel once for each of these. pages: only these.
+    are dealt `together` at a time, or a CELLS-th of all if that is more, so a long scan is read by many tasks; its bytes travel once for each of these. pages: only these.
 
     A file that native can't read is one row with no page and its error; a page whose picture can't be made has no engine, no lines and its error, as has
     one that all engines fail on. Empty files are what native makes of them; an empty folder gives no rows.
@@ -114,7 +116,8 @@ def read_pages(spark: SparkSession, folder: str, native: Callable[[bytes], Itera
                 yield _batch(rows, second)
 
     scanned = told.filter("page IS NOT NULL AND engine IS NULL")
-    cells = scanned.groupBy("path", F.floor(F.col("page") / together).alias("cell")).agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    wide = max(together, -(-scanned.count() // CELLS))
+    cells = scanned.groupBy("path", F.floor(F.col("page") / wide).alias("cell")).agg(F.array_sort(F.collect_list("page")).alias("pages"))
     dealt = cells.join(files, "path").repartition("path", "cell").select("path", "pages", "content")
     seen = dealt.mapInArrow(read, second).join(scanned.select("path", "page", "images"), ["path", "page"])
     return told.filter("page IS NULL OR engine IS NOT NULL").unionByName(seen).withColumn("year", year_in(F.col("path")))
