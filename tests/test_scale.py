@@ -213,3 +213,20 @@ def test_queries_go_once_to_a_block(spark):
     lists = vectors.Lists(length=20, members=10, block=50, chunk=70)
     found = {(r.query, r.key) for r in vectors.nearest_many(rows, rows, "id", "v", 5, lists=lists).collect()}
     assert len(found) == len(exact) == 1500 and len(found & exact) > 0.9 * len(exact)
+
+
+def test_rows_alike_are_learnt_as_few(spark, monkeypatch):
+    """A thousand rows alike enter the fit as 64, and weigh as much as the thousand."""
+    from quillmark.plans import models
+
+    class Seen(Exception):
+        pass
+
+    def seen(df, name):
+        raise Seen(df.groupBy("label").agg(F.count("*").alias("n"), F.sum("__k").alias("k"), F.sum("__w").alias("w")).orderBy("label").collect())
+
+    monkeypatch.setattr(models, "written", seen)
+    rows = spark.range(1010).select(F.when(F.col("id") < 1000, "a").otherwise("b").alias("label"), F.lit(1.0).alias("x"))
+    with pytest.raises(Seen) as got:
+        models.difficulty_classifier(rows, ["x"], "label")
+    assert [(r.label, r.n, round(r.k, 6), round(r.w, 6)) for r in got.value.args[0]] == [("a", 64, 1000.0, 505.0), ("b", 10, 10.0, 505.0)]
