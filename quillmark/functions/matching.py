@@ -34,13 +34,25 @@ def match_places(rows: DataFrame, key: str, text: str, pattern: str) -> DataFram
     return rows.select(key, text).mapInArrow(run, schema)
 
 
+_FOLLOWED = re.compile(r"(?=\s|$|[,.])")
+
+
+def _put(text: str, number: str, put: str) -> str:
+    """The first `number` before a blank, comma, stop or the end becomes `put`. A pattern made for each number would be compiled anew each time."""
+    at = text.find(number)
+    while at >= 0:
+        if _FOLLOWED.match(text, at + len(number)):
+            return text[:at] + put + text[at + len(number) :]
+        at = text.find(number, at + 1)
+    return text
+
+
 def typed_template(text: str) -> str:
     """A question with its numbers replaced by what they measure: up to three a unit, then up to five others."""
     for unit, shown in SHOWN:
         found = [m if isinstance(m, str) else m[0] for m in re.findall(fixed.UNITS[unit], text, re.IGNORECASE)]
         for i, number in enumerate(found[:3], 1):
-            put = shown.format(i=i)
-            text = re.sub(re.escape(number) + r"(?=\s|$|[,.])", lambda _, put=put: put, text, count=1)
+            text = _put(text, number, shown.format(i=i))
     for i, number in enumerate(re.findall(r"\b(\d+\.?\d*)\b", text)[:5], 1):
         text = text.replace(number, f"{{num{i}}}", 1)
     return text

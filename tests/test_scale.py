@@ -230,3 +230,16 @@ def test_rows_alike_are_learnt_as_few(spark, monkeypatch):
     with pytest.raises(Seen) as got:
         models.difficulty_classifier(rows, ["x"], "label")
     assert [(r.label, r.n, round(r.k, 6), round(r.w, 6)) for r in got.value.args[0]] == [("a", 64, 1000.0, 505.0), ("b", 10, 10.0, 505.0)]
+
+
+def test_templates_compile_nothing_a_text(monkeypatch):
+    """Numbers are put one by one as a pattern would, without a pattern for each."""
+    import re
+
+    from quillmark.functions import matching
+
+    for t in ("12 km 12, 12", "a12b 12\n", "12%12.", "", "1212 12 x", "12"):
+        for n in ("12", "1", "2", ""):
+            assert matching._put(t, n, "N") == re.sub(re.escape(n) + r"(?=\s|$|[,.])", lambda _: "N", t, count=1)
+    monkeypatch.setattr(re, "escape", lambda _: pytest.fail("a pattern for a number"))
+    assert matching.typed_template("A train goes 40 km in 3 hours").startswith("A train goes 1_distance km")
