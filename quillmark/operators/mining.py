@@ -20,7 +20,7 @@ def phrases(docs: DataFrame, doc: str, group: str, text: str, n: int, least: int
     """[A56] n-grams within a text, found twice or more in the group."""
     words = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.length(w) > 0)
     d = docs.select(group, words.alias("w")).filter(F.size("w") >= n)
-    grams = d.select(group, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("phrase"))
+    grams = d.select(group, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.concat_ws(" ", *(F.get("w", i + j - 1) for j in range(n))))).alias("phrase"))
     return top_per_group(grams.groupBy(group, "phrase").agg(F.count("*").alias("cnt")).filter(F.col("cnt") >= least), [group], [F.desc("cnt"), "phrase"], 1, top)
 
 
