@@ -75,6 +75,21 @@ def test_op1_removes_nothing_on_a_hash_alone(docs, monkeypatch):
     assert sorted(map(tuple, suffix_dedup.dedup_digest(d).collect()), key=repr) == removed(rows)
 
 
+def test_op1_copies_of_whole_texts_send_no_strings(spark, docs):
+    """Six copies of a table under other ids: the strings that travel are those of one; results are brute force's, null ids and texts of under 50 bytes included."""
+    d = spark.read.parquet(f"{AT}/documents.parquet").select("doc_id", "text").limit(60)
+    rows = [(r.doc_id + 1000 * c, r.text) for c in (3, 0, 1, 5, 4, 2) for r in d.collect()] + [(i, t) for i in (7, None, 7, None, 9) for t in (None, "", "few bytes", "n" * 49, "y" * 50, "z" * 120)]
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = removed(rows)
+    assert sorted(map(tuple, suffix_dedup.dedup_digest(many).collect()), key=repr) == want
+    texts = sorted(((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest(), len(r.spans)) for r in suffix_dedup.without_repeats(many).filter("text = ''").collect()), key=repr)
+    assert texts == sorted(((i, sha, n) for i, _, _, n, sha in want if sha == hashlib.sha256(b"").hexdigest()), key=repr)
+
+    ids, text = pa.array([[i] for i, _ in rows], pa.list_(pa.int64())), pa.array([t or "" for _, t in rows])
+    one, six = (suffix_dedup.one_a_text(ids.slice(0, n), text.slice(0, n)) for n in (60, len(rows)))
+    assert one.num_rows + 5 >= six.num_rows and sum(map(len, six["ids"].to_pylist())) == len(rows) and six["doc_id"].to_pylist()[0] == rows[60][0]
+
+
 def test_op1_empty_and_texts(spark, none, docs):
     assert suffix_dedup.dedup_digest(none).count() == 0
     got = {(r.doc_id, r.text) for r in suffix_dedup.without_repeats(docs).collect()}
