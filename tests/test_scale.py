@@ -215,6 +215,34 @@ def test_queries_go_once_to_a_block(spark):
     assert len(found) == len(exact) == 1500 and len(found & exact) > 0.9 * len(exact)
 
 
+def test_most_products_are_dropped_unmeasured(monkeypatch):
+    """What single precision can tell is not measured; the k best are those of brute force, with ties of copies, rows without k others, and parts met in any order."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 16))
+    x[3000:3040] = x[:40] * (1 + 1e-9 * rng.standard_normal((40, 16)))
+    x, ids = vectors.unit(np.vstack([x, x[:5], x[:5]])), rng.permutation(6010)
+    measured, put = [], vectors.Best._put
+    monkeypatch.setattr(vectors.Best, "_put", lambda self, a, b: (measured.append(len(a)), put(self, a, b))[1])
+    cosine = np.round(x[:200] @ x.T, 9)
+    cosine[ids[:200, None] == ids] = -2
+    want = [np.lexsort((ids, -c))[:10].tolist() for c in cosine]
+    for cuts in ([0, 6010], [0, 7, 300, 301, 2500, 6010]):
+        best = vectors.Best(x[:200], x, ids[:200], ids, 10, True)
+        for i in rng.permutation(len(cuts) - 1):
+            best.meet(np.arange(200), np.arange(cuts[i], cuts[i + 1]))
+        assert best.at.tolist() == want
+    assert sum(measured) < 0.05 * 2 * cosine.size
+    few = vectors.Best(x[:3], x[:3], ids[:3], ids[:3], 10, True)
+    few.meet(np.arange(3), np.arange(3))
+    assert (few.at >= 0).sum() == 6
+
+
+def test_blocks_of_lists_are_visited_once():
+    """Lists 0 and 1 share block 0, list 2 has blocks 1 to 3, list 3 is empty."""
+    got = vectors._visits(np.array([[0, 1], [2, 0], [3, 3], [3, 2]]), np.array([0, 0, 1, 0]), np.array([1, 1, 3, 0]))
+    assert got.to_pylist() == [[0], [0, 1, 2, 3], [], [1, 2, 3]]
+
+
 def test_rows_alike_are_learnt_as_few(spark, monkeypatch):
     """A thousand rows alike enter the fit as 64, and weigh as much as the thousand."""
     from quillmark.plans import models
