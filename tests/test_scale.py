@@ -190,6 +190,20 @@ def test_pairs_of_cells_equal_all_pairs(spark, hot):
         assert len(got) == len({(r.g, r.a, r.b) for r in got}) and all(abs(r.cosine - dot[r.g, r.a, r.b]) < 1e-9 for r in got)
 
 
+def test_terms_are_counted_once(spark):
+    """What follows reads the written counts: the texts and their words are not in its plan."""
+    d = spark.createDataFrame([(1, "g", "aa bb aa"), (2, "g", "bb"), (3, None, "cc")], "id int, g string, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    v = similarity.tfidf(similarity.terms(d.mapInArrow(told, d.schema), "id", "g", "text", []), "id", "g")
+    assert {(r.id, r.term) for r in v.collect()} == {(1, "aa"), (1, "bb"), (2, "bb")} and seen.value == 3
+
+
 def test_a_term_of_all_documents(spark):
     """20,000 documents share a term that weighs much in each, but not enough by itself: no pair is formed for it, only for the words that two documents share."""
     n = 20_000
